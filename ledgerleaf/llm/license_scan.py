@@ -6,7 +6,8 @@ dice = 2 * shared / (pairs of the passage + pairs of the template), where a pair
 often as on the side with fewer. A dice of at least t needs a pair count between t / (2 - t) and (2 - t) / t times
 the template's, so a passage's word count alone rules out most templates before any pair is made.
 
-Equal passages are scored once and joined back, so a line that a third of the documents carry costs one comparison.
+Word pairs that no template has end in the scanning task, so only passages that share pairs with a template shuffle,
+keyed by passage: a line that a third of the documents carry is no hot key.
 
 Defined results: a null or empty text has no passage; a template of fewer than two words never matches; the template
 of the highest dice wins, of equals the first by id. Repeated documents each get their rows. Extra columns are ignored.
@@ -85,15 +86,16 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     lines = F.split(F.col("text"), "\n")
     passages = F.concat(F.array(F.when(F.size(lines) > 1, F.col("text"))), lines)
     cleaned = F.transform(passages, lambda p, i: F.struct(i.alias("passage"), normalise(p).alias("normal")))
-    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.inline(F.filter(cleaned, fits)))
-    keyed = cut.select("doc_id", "passage", F.sha2("normal", 256).alias("key"), "normal")
-
-    unique = keyed.groupBy("key").agg(F.first("normal").alias("normal"))
-    pairs = unique.select("key", pair_count(F.col("normal")).alias("n_pairs"), F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("key", "n_pairs", "pair").agg(F.count(F.lit(1)).alias("times"))
+    # The row's own number keeps repeated documents apart.
+    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(F.filter(cleaned, fits)))
+    passage = ["row", "doc_id", "passage", "n_pairs"]
+    pairs = cut.select("row", "doc_id", "passage", pair_count(F.col("normal")).alias("n_pairs"), F.explode(word_pairs(F.col("normal"))).alias("pair"))
     wanted = rows.select("license", "template", "t_pairs", F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("license", "template", "t_pairs", "pair").agg(F.count(F.lit(1)).alias("t_times"))
     inside = (F.col("n_pairs") >= F.col("t_pairs") * low) & (F.col("n_pairs") <= F.col("t_pairs") * high)
-    shared = pairs.join(wanted, "pair").where(inside).groupBy("key", "n_pairs", "license", "template", "t_pairs").agg(F.sum(F.least("times", "t_times")).alias("shared"))
+    # The given list of templates bounds the broadcast; pairs of no template end here, before any shuffle.
+    hits = pairs.join(F.broadcast(wanted), "pair").where(inside)
+    counted = hits.groupBy(*passage, "license", "template", "t_pairs", "pair", "t_times").agg(F.count(F.lit(1)).alias("times"))
+    shared = counted.groupBy(*passage, "license", "template", "t_pairs").agg(F.sum(F.least("times", "t_times")).alias("shared"))
     scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("n_pairs") + F.col("t_pairs"))).where(F.col("dice") >= threshold)
-    best = scored.groupBy("key", "n_pairs").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
-    best = best.select("key", "n_pairs", F.col("best.license").alias("license"), F.round(-F.col("best.d"), 6).alias("dice"))
-    return keyed.select("doc_id", "passage", "key").join(best, "key").select("doc_id", "passage", "license", "n_pairs", "dice")
+    best = scored.groupBy(*passage).agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
+    return best.select("doc_id", "passage", F.col("best.license").alias("license"), "n_pairs", F.round(-F.col("best.d"), 6).alias("dice"))
