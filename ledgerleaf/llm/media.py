@@ -457,9 +457,11 @@ def read_media(media: DataFrame, tensors: bool = True, payloads: bool = True, st
     """Read every image of ``media`` (doc_id, media) into a full-resolution RGB tensor.
 
     Returns doc_id, height, width, means (of R, G and B), payload (null unless asked for and held) and rgb (height x
-    width x 3 bytes in row order; null unless asked for).
+    width x 3 bytes in row order; null unless asked for), and the columns named in ``keep`` as they are.
     """
-    schema = "doc_id long, height int, width int, means array<double>, payload binary, rgb binary"
+    chosen = media.select("doc_id", "media", *keep)
+    made = "height int, width int, means array<double>, payload binary, rgb binary"
+    schema = T.StructType([chosen.schema["doc_id"], *T.StructType.fromDDL(made).fields, *(chosen.schema[c] for c in keep)])
 
     def one(data: bytes | None) -> tuple:
         try:
