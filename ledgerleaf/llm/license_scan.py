@@ -1,6 +1,6 @@
 """License scans: normalised passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line of a text or, if it has several lines, the whole text. Both sides are lower-cased (A-Z), every run
+A passage is a line of a text or, if it has several lines, the whole text. Both sides are lower-cased, every run
 of other characters than letters and digits becomes one space, and the bags of adjacent word pairs are compared:
 dice = 2 * shared / (pairs of the passage + pairs of the template), where a pair repeated on both sides is shared as
 often as on the side with fewer. A dice of at least t needs a pair count between t / (2 - t) and (2 - t) / t times
@@ -23,8 +23,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.url_filters import LOWER, UPPER
-
 #: Licence notices and grants as their authors publish them.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,7 +43,7 @@ OTHER = "[^a-z0-9\\u00C0-\\u024F]+"
 
 
 def normalise(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " "))
+    return F.trim(F.regexp_replace(F.lower(text), OTHER, " "))
 
 
 def pair_count(normal: Column) -> Column:
@@ -55,7 +53,8 @@ def pair_count(normal: Column) -> Column:
 
 def word_pairs(normal: Column) -> Column:
     words = F.split(normal, " ")
-    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
@@ -81,13 +80,21 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
             ranges[-1][1] = size * high
         else:
             ranges.append([size * low, size * high])
-    # Inside the array functions a passage is normalised once; a filter on rows would be pushed down and do it again.
-    fits = lambda p: reduce(or_, (pair_count(p["normal"]).between(x, y) for x, y in ranges))
-    lines = F.split(F.col("text"), "\n")
-    passages = F.concat(F.array(F.when(F.size(lines) > 1, F.col("text"))), lines)
-    cleaned = F.transform(passages, lambda p, i: F.struct(i.alias("passage"), normalise(p).alias("normal")))
+    fits = lambda n: reduce(or_, (n.between(x, y) for x, y in ranges))
+
+    def passages(normal: Column) -> Column:
+        """(passage, normal) of the fitting lines and, of several lines, of their whole: the lines joined."""
+        lines = F.filter(F.transform(normal, lambda p, i: F.struct((i + 1).alias("passage"), p.alias("normal"))), lambda p: fits(pair_count(p["normal"])))
+        words = F.aggregate(normal, F.lit(-1), lambda n, p: n + F.when(p == "", 0).otherwise(pair_count(p) + 1))
+        joined = F.array_join(F.filter(normal, lambda p: p != ""), " ")
+        whole = F.array(F.struct(F.lit(0).alias("passage"), joined.alias("normal")))
+        return F.when((F.size(normal) > 1) & fits(words), F.concat(whole, lines)).otherwise(lines)
+
+    # As an element of an array the normalised lines are made once, whatever reads them.
+    normal = F.transform(F.split(F.col("text"), "\n"), normalise)
+    cleaned = F.element_at(F.transform(F.array(normal), passages), 1)
     # The row's own number keeps repeated documents apart.
-    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(F.filter(cleaned, fits)))
+    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(cleaned))
     passage = ["row", "doc_id", "passage", "n_pairs"]
     pairs = cut.select("row", "doc_id", "passage", pair_count(F.col("normal")).alias("n_pairs"), F.explode(word_pairs(F.col("normal"))).alias("pair"))
     wanted = rows.select("license", "template", "t_pairs", F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("license", "template", "t_pairs", "pair").agg(F.count(F.lit(1)).alias("t_times"))

@@ -83,7 +83,7 @@ def _url_oracle() -> str:
 def _license_oracle() -> str:
     values = ", ".join(f"({_quoted(name)}, {i}, {_quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
     other = OTHER.replace("\\u", "\\x{").replace("{00C0", "{00C0}").replace("{024F", "{024F}")
-    normal = lambda c: f"trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(other)}, ' ', 'g'))"
+    normal = lambda c: f"trim(regexp_replace(lower({c}), {_quoted(other)}, ' ', 'g'))"
     pairs = lambda c: f"(length({c}) - length(replace({c}, ' ', '')))"
     return f"""
     with given(license, template, raw) as (values {values}),
