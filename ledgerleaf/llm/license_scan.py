@@ -4,7 +4,8 @@ A passage is a line of a text or, if it has several lines, the whole text. Both
 of other characters than letters and digits becomes one space, and the bags of adjacent word pairs are compared:
 dice = 2 * shared / (pairs of the passage + pairs of the template), where a pair repeated on both sides is shared as
 often as on the side with fewer. A dice of at least t needs a pair count between t / (2 - t) and (2 - t) / t times
-the template's, so a passage's word count alone rules out most templates before any pair is made.
+the template's, so a passage's word count alone rules out most templates before any pair is made; it also needs a
+share of the template's own pairs, so a passage without a word of any sufficient choice of them is out too.
 
 Word pairs that no template has end in the scanning task, so only passages that share pairs with a template shuffle,
 keyed by passage: a line that a third of the documents carry is no hot key.
@@ -16,6 +17,7 @@ Only DataFrame functions run.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -39,7 +41,8 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
-OTHER = "[^a-z0-9\\u00C0-\\u024F]+"
+#: What becomes one space: runs with anything but letters, digits and spaces, and runs of spaces (no single space).
+OTHER = " ?[^a-z0-9\\u00C0-\\u024F ][^a-z0-9\\u00C0-\\u024F]*| {2,}"
 
 
 def normalise(text: Column) -> Column:
@@ -57,6 +60,17 @@ def word_pairs(normal: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def anchor_words(normal: str, low: float) -> set[str]:
+    """Words of which every passage near enough to a normalised template has at least one.
+
+    Such a passage has ``low`` of the template's pairs, so of any choice of more pairs than may be missing it has one;
+    the longest pairs are chosen, as the rarest, and of each its longer word.
+    """
+    words = normal.split(" ")
+    pairs = sorted(zip(words, words[1:], strict=False), key=lambda p: (-len(p[0]) - len(p[1]), p))
+    return {max(p, key=len) for p in pairs[: len(pairs) - math.ceil(low * len(pairs)) + 1]}
+
+
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
     """license, template (its place in the list) and normal, as a relation of literals."""
     rows = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(i).alias("template"), F.lit(text).alias("raw")) for i, (name, text) in enumerate(templates)))
@@ -70,7 +84,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """
     spark = docs.sparkSession
     rows = template_table(spark, templates).select("license", "template", pair_count(F.col("normal")).alias("t_pairs"), "normal").where("t_pairs > 0")
-    sizes = [r.t_pairs for r in rows.select("t_pairs").distinct().collect()]  # one number a template of the given list
+    known = rows.select("t_pairs", "normal").collect()  # the given list of templates
+    sizes = {r.t_pairs for r in known}
     if not sizes:
         return docs.select("doc_id", F.lit(0).alias("passage"), F.lit("").alias("license"), F.lit(0).alias("n_pairs"), F.lit(0.0).alias("dice")).where("false")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -81,20 +96,22 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         else:
             ranges.append([size * low, size * high])
     fits = lambda n: reduce(or_, (n.between(x, y) for x, y in ranges))
+    anchors = F.array(*map(F.lit, sorted({w for r in known for w in anchor_words(r.normal, low)})))
+    named = lambda p: F.arrays_overlap(F.split(p["normal"], " "), anchors)
 
     def passages(normal: Column) -> Column:
         """(passage, normal) of the fitting lines and, of several lines, of their whole: the lines joined."""
-        lines = F.filter(F.transform(normal, lambda p, i: F.struct((i + 1).alias("passage"), p.alias("normal"))), lambda p: fits(pair_count(p["normal"])))
+        lines = F.filter(F.transform(normal, lambda p, i: F.struct((i + 1).alias("passage"), p.alias("normal"))), lambda p: fits(pair_count(p["normal"])) & named(p))
         words = F.aggregate(normal, F.lit(-1), lambda n, p: n + F.when(p == "", 0).otherwise(pair_count(p) + 1))
         joined = F.array_join(F.filter(normal, lambda p: p != ""), " ")
         whole = F.array(F.struct(F.lit(0).alias("passage"), joined.alias("normal")))
-        return F.when((F.size(normal) > 1) & fits(words), F.concat(whole, lines)).otherwise(lines)
+        return F.when((F.size(normal) > 1) & fits(words), F.concat(F.filter(whole, named), lines)).otherwise(lines)
 
     # As an element of an array the normalised lines are made once, whatever reads them.
     normal = F.transform(F.split(F.col("text"), "\n"), normalise)
     cleaned = F.element_at(F.transform(F.array(normal), passages), 1)
     # The row's own number keeps repeated documents apart.
-    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(cleaned))
+    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline_outer(cleaned)).where("normal is not null")  # outer: else the arrays are made again to find empty ones
     passage = ["row", "doc_id", "passage", "n_pairs"]
     pairs = cut.select("row", "doc_id", "passage", pair_count(F.col("normal")).alias("n_pairs"), F.explode(word_pairs(F.col("normal"))).alias("pair"))
     wanted = rows.select("license", "template", "t_pairs", F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("license", "template", "t_pairs", "pair").agg(F.count(F.lit(1)).alias("t_times"))
