@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import queries_bytes, queries_models, queries_native
+from ledgerleaf.llm import queries_bytes, queries_corpus, queries_models, queries_native
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_native, queries_bytes, queries_models):
+for _module in (queries_native, queries_bytes, queries_models, queries_corpus):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
