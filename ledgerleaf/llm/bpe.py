@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ledgerleaf.llm.shared import text_chunks
 
@@ -31,7 +32,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 NONE = np.int64(1) << np.int64(40)
 SHORT = 64
 KEPT_PIECES = 300_000
-SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -217,15 +217,20 @@ class Encoder:
         return b"".join(map(self.vocab.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Encode every whole text of ``docs`` (doc_id, text) and decode the ids again: doc_id, ids, decoded."""
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode every whole text of ``docs`` (doc_id, text) and decode the ids again.
+
+    Returns doc_id, the columns named in ``keep``, ids and decoded.
+    """
+    chosen = docs.select("doc_id", "text", *keep)
+    kept = [chosen.schema.fields[i] for i in (0, *range(2, 2 + len(keep)))]
+    schema = T.StructType([*kept, *T.StructType.fromDDL("ids array<int>, decoded string").fields])
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            names, column = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in text_chunks(column):
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 raw = data.tobytes()
                 at = offsets.tolist()
                 coded = encoder.encode([raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)])
@@ -233,6 +238,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
                 texts = pa.array([encoder.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo).cast(pa.int64()), lists, texts], ["doc_id", "ids", "decoded"])
+                others = [c.slice(lo, hi - lo) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([others[0], *others[2:], lists, texts], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.shared import lower_ascii, mix, shared_folder, text_chunks, word_hashes
+from ledgerleaf.llm.shared import lower_ascii, mix, shared_folder, text_chunks, word_hashes, written
 
 END, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PAIRS_A_SHARD, WORDS_A_SHARD = 2_000_000, 1_000_000
@@ -320,11 +320,6 @@ def _write_words(words: DataFrame, folder: str, count: int) -> int:
     return dealt.mapInArrow(run, "shard int, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _written(df: DataFrame, uri: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(uri)
-    return df.sparkSession.read.parquet(uri)
-
-
 def signed(x: np.uint64) -> int:
     return int(np.array([x], np.uint64).view(np.int64)[0])
 
@@ -333,7 +328,7 @@ def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs`` (text)."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-    words = _written(_count_words(docs), f"{folder}/counted")
+    words = written(_count_words(docs), f"{folder}/counted")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("v")).first()
     texts = words.where(F.col("word") == signed(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     if not sums.total:
@@ -342,7 +337,7 @@ def train(docs: DataFrame) -> Model:
     busy = words.where((F.col("c") > PAIRS_A_SHARD) & (F.col("word") != signed(END))).collect()  # at most as many as shards
     hot = sorted([(np.uint64(r.word % (1 << 64)), r.c) for r in busy] + ([(START, texts)] if texts > PAIRS_A_SHARD else []))
     shards = Shards(count, np.array([h for h, _ in hot], np.uint64), np.array([min(count, math.ceil(4 * c / PAIRS_A_SHARD)) for _, c in hot], np.uint64))
-    added = _written(_write_pairs(_deal_pairs(docs, shards), folder, shards).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("a", "n1", "n2", "n3"))), f"{folder}/added")
+    added = written(_write_pairs(_deal_pairs(docs, shards), folder, shards).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("a", "n1", "n2", "n3"))), f"{folder}/added")
     by_count = added.where("word is null").first()
     d1, d2, d3 = _discounts([by_count.a, by_count.n1, by_count.n2, by_count.n3])
     followed = added.where("word is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.get()
 
 
+def written(df: DataFrame, uri: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet, in the shared folder unless told otherwise, and read it again."""
+    uri = uri or f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(uri)
+    return df.sparkSession.read.parquet(uri)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix64): every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
