@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from ledgerleaf.plans import transcripts
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (transcripts,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
