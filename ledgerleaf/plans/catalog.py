@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.plans import transcripts
+from ledgerleaf.plans import quotations, transcripts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (transcripts,):
+for _module in (transcripts, quotations):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
