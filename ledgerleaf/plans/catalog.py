@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.plans import quotations, transcripts
+from ledgerleaf.plans import quotations, transcripts, validation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (transcripts, quotations):
+for _module in (transcripts, quotations, validation):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -106,7 +106,7 @@ def _clean(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '\A[{_WS}]+|[{_WS}]+\z', '', 'g')"
 
 
-def _documents(first: int = 1, where: str = "true") -> str:
+def document_ctes(first: int = 1, where: str = "true") -> str:
     """CTEs: segs (conv_id, sequence, participant_id, text) and docs with document_id, seg list and fingerprint."""
     return f"""
     segs as (select conv_id, turn + {first} as sequence, {_clean("role")} as participant_id, {_clean("text")} as text from conversations where {where}),
@@ -122,17 +122,17 @@ def _documents(first: int = 1, where: str = "true") -> str:
       from segs join docs using (conv_id))"""
 
 
-def _distinct_turns() -> str:
+def distinct_turns() -> str:
     return "conv_id in (select conv_id from segs group by conv_id having count(*) = count(distinct sequence))"
 
 
 ORACLES = {
-    "transcript_identity": f"with {_documents()} select conv_id, document_id, fingerprint, len(segments)::int as segment_count from marked where {_distinct_turns()}",
-    "segment_identity": f"with {_documents()} select document_id, sequence, segment_id from ids where {_distinct_turns()}",
-    "transcript_participants": f"with {_documents()} select distinct document_id, participant_id, participant_id as display_name, participant_id as role from segs join docs using (conv_id)",
-    "rejected_transcripts": f"""with {_documents(0)} select conv_id, 'sequence_not_positive' as first_error, count(*) filter (where sequence <= 0)::int as n_errors
+    "transcript_identity": f"with {document_ctes()} select conv_id, document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}",
+    "segment_identity": f"with {document_ctes()} select document_id, sequence, segment_id from ids where {distinct_turns()}",
+    "transcript_participants": f"with {document_ctes()} select distinct document_id, participant_id, participant_id as display_name, participant_id as role from segs join docs using (conv_id)",
+    "rejected_transcripts": f"""with {document_ctes(0)} select conv_id, 'sequence_not_positive' as first_error, count(*) filter (where sequence <= 0)::int as n_errors
         from segs group by conv_id having count(*) filter (where sequence <= 0) > 0""",
-    "transcript_summary": f"with {_documents()} select document_id, fingerprint, len(segments)::int as segment_count, 'transcript_v1' as engine, 'valid' as validation_status from marked where {_distinct_turns()}",
+    "transcript_summary": f"with {document_ctes()} select document_id, fingerprint, len(segments)::int as segment_count, 'transcript_v1' as engine, 'valid' as validation_status from marked where {distinct_turns()}",
     "line_segments": rf"""with lines as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) as raw,
           generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), 1)::int as line_number from documents)
         select doc_id, line_number, sha256({_clean("raw")}) as line_sha256 from lines where {_clean("raw")} <> ''""",
@@ -140,9 +140,9 @@ ORACLES = {
         where not exists (select 1 from conversations o where o.turn = 0 and o.conv_id = c.conv_id and o.role = c.role)""",
     "time_order_violations": """select o_orderkey, 'time_order' as reason from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_orderdate
         having max(l_shipdate) > min(l_shipdate) or min(l_shipdate) > o_orderdate or max(l_shipdate) > o_orderdate""",
-    "integrity_failures": f"""with {_documents()} select conv_id, case conv_id % 3 when 1 then 'fingerprint' when 2 then 'segments,segment_id,fingerprint' else '' end as failures
-        from docs where {_distinct_turns()}""",
-    "document_revisions": f"""with {_documents()}, old as (select conv_id, document_id, len(segments) as n from docs where {_distinct_turns()})
+    "integrity_failures": f"""with {document_ctes()} select conv_id, case conv_id % 3 when 1 then 'fingerprint' when 2 then 'segments,segment_id,fingerprint' else '' end as failures
+        from docs where {distinct_turns()}""",
+    "document_revisions": f"""with {document_ctes()}, old as (select conv_id, document_id, len(segments) as n from docs where {distinct_turns()})
         select document_id, case when conv_id % 7 = 5 then 'removed' when conv_id % 2 = 0 and n > 1 then 'revised' else 'unchanged' end as change,
           0 as n_added, case when conv_id % 7 = 5 then n when conv_id % 2 = 0 and n > 1 then 1 else 0 end::int as n_removed from old""",
 }
