@@ -14,9 +14,9 @@ threshold t, so they differ in at most (1 - t) / (1 + t) * (|a| + |b|) shingles.
 3. Signatures. Candidate pairs are compared by size and by parity bitmaps: bits that differ are a lower bound of the
    differing shingles, hence an upper bound of the overlap. What passes is intersected exactly, as sorted arrays.
 4. Groups. Verified links form connected components (alternating star contraction over written edges). First each
-   document is held against the leader that it shares most tiles with, then against its other leaders outside its
-   component, then all pairs of a tile across components are, in blocks: no link is lost, and within a component
-   no further link can change the result.
+   document is held against the leader that it shares most tiles with. Then, in tiles that hold several components,
+   all pairs across components are: signatures in blocks of bounded size, one task a pair of blocks, and what they
+   allow is intersected. No link is lost, and within a component no further link can change the result.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than a shingle make one
 shingle of the whole sequence. Equal texts are linked. Rows with the same doc_id are one document if their texts are
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.shared import cut_lineage, lower_ascii, mix, text_chunks, windows, word_hashes
 
 BAND_RATIO = 1.5
-SIGNATURE_BITS = 256
+SIGNATURE_BITS = 1024
 BLOCK_ROWS = 512
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
@@ -245,13 +245,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     return joined.select("a", "b", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
 
 
+def _compact(df: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
+    """Checkpoint, read as no more partitions than the rows need: small tables shuffle as few files."""
+    df = cut_lineage(df)
+    return df.coalesce(-(-df.count() // rows_a_part) or 1)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (a, b) and the smallest node that it reaches.
 
     Alternates large and small stars over checkpointed edges until they no longer change; minima combine before the
     shuffle and the joins back are split where skewed, so a node with very many neighbours is no bottleneck.
     """
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def tally(df: DataFrame) -> tuple:
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -263,7 +269,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = _compact(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = tally(edges)
         if after == before:
             break
@@ -273,20 +279,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of different components that a tile holds together and that may link; tiles are taken in bounded blocks."""
+    """Pairs of different components that a tile holds together and that may link, in blocks of bounded size."""
     member = stars.select("key", F.col("doc_id").alias("node")).union(stars.select("key", F.col("other").alias("node"))).distinct()
     member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     rows = member.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
+    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "n", *SIGNATURE), "node")
+    # A block of a tile meets itself and every other block; most tiles have one block and make no copies.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    signed = ["n", *SIGNATURE]
-    rows = rows.join(sets.select(F.col("doc_id").alias("node"), *signed), "node")
-    # A block meets every block not before it; most tiles have one block and make no copies.
-    one = rows.select("key", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("last"), F.col("node").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in signed))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("first"), F.col("block").alias("last"), F.col("node").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in signed))
-    two = two.withColumnRenamed("first", "block")
-    ordered = F.expr("a_component <> b_component and (block <> last or a < b)")
-    return one.join(two, ["key", "block", "last"]).where(ordered & _possible(threshold)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block", "node", "component", "n", *SIGNATURE)
+    place = ["key", "first", "second"]
+    p, q = threshold.numerator, threshold.denominator
+
+    def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one block pair of one tile that sizes and bitmaps allow."""
+        first, second, block, node, component, n = columns[1:7]
+        bits = np.stack(columns[7:], axis=1).view(np.uint64)
+        one, two = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
+        found = []
+        for lo in range(0, len(one), 64):
+            i = one[lo : lo + 64]
+            differ = np.bitwise_count(bits[i, None, :] ^ bits[None, two, :]).sum(2, dtype=np.int64)
+            total = n[i, None] + n[None, two]
+            overlap = np.minimum(np.minimum(n[i, None], n[None, two]), (total - differ) // 2)
+            good = (component[i, None] != component[None, two]) & (q * overlap >= p * (total - overlap))
+            if first[0] == second[0]:
+                good &= node[i, None] < node[None, two]
+            x, y = np.nonzero(good)
+            found.append((node[i[x]], node[two[y]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return np.maximum(a, b), np.minimum(a, b)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            moves = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            yield from told(held, np.concatenate([[0], moves]))
+            held = [c[moves[-1] if len(moves) else 0 :] for c in held]
+        if held is not None and len(held[0]):
+            yield from told(held, np.array([0, len(held[0])]))
+
+    def told(held: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = [compare([c[lo:hi] for c in held]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
@@ -298,21 +340,16 @@ def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFram
     pairs = cut_lineage(stars.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
     sets = cut_lineage(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width).dropDuplicates(["doc_id"]))
 
-    def apart(candidates: DataFrame, components: DataFrame) -> DataFrame:
-        """Candidates whose ends are not in one component yet."""
-        side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
-        both = candidates.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return both.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
-
-    # Most links are found from each document to the leader that it shares most tiles with; then the other leaders.
+    # Most links are found from each document to the leader that it shares most tiles with.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tiles", -F.col("b"))).alias("b"))
-    edges = cut_lineage(edges.union(_verified(best, sets, threshold)))
-    components = connected_components(edges)
-    for more in (lambda: apart(pairs, components), lambda: _across(stars, components, sets, threshold)):
-        found = cut_lineage(_verified(more(), sets, threshold))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            components = connected_components(edges)
+    components = cut_lineage(connected_components(edges.union(_verified(best, sets, threshold))))
+    found = _verified(_across(stars, components, sets, threshold), sets, threshold)
+    # These links join whole components, so only components are contracted further.
+    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
+    joining = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    higher = cut_lineage(connected_components(joining)).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    lone = higher.join(components.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    components = components.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone)
     out = rows.where(F.col("kind") == SIZE).select("doc_id", F.col("other").alias("n_shingles")).join(components, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionAll(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
