@@ -106,10 +106,10 @@ def reconcile_relational(header: DataFrame, items: DataFrame, key: str) -> DataF
     """
     wrong = F.coalesce(differs(F.col("quantity") * F.col("unit_price"), F.col("line_total")), F.lit(False))
     lacking = F.col("unit_price").isNull() | F.col("line_total").isNull()
-    sums = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong & ~lacking).alias("wrong"), F.count_if(lacking).alias("lacking"), F.count_if(F.col("line_total").isNull()).alias("untotalled"), F.sum(F.col("line_total").cast("decimal(28,6)")).alias("lines"))
+    sums = items.groupBy(key).agg(F.count(F.lit(1)).alias("_items"), F.count_if(wrong & ~lacking).alias("_wrong"), F.count_if(lacking).alias("_lacking"), F.count_if(F.col("line_total").isNull()).alias("_untotalled"), F.sum(F.col("line_total").cast("decimal(28,6)")).alias("_lines"))
     c = F.col
     joined = header.join(sums, key, "left")
-    lines = F.when(c("n").isNull(), "skipped").when(c("wrong") > 0, "failed").when(c("lacking") > 0, "skipped").otherwise("passed")
+    lines = F.when(c("_items").isNull(), "skipped").when(c("_wrong") > 0, "failed").when(c("_lacking") > 0, "skipped").otherwise("passed")
 
     def compared(missing: Column, expected: Column, actual: Column) -> Column:
         return F.when(missing, "skipped").when(differs(expected, actual), "failed").otherwise("passed")
@@ -117,7 +117,7 @@ def reconcile_relational(header: DataFrame, items: DataFrame, key: str) -> DataF
     joined = joined.withColumns(
         {
             "line_totals": lines,
-            "subtotal_check": compared(c("subtotal").isNull() | c("n").isNull() | (c("untotalled") > 0), c("lines"), c("subtotal")),
+            "subtotal_check": compared(c("subtotal").isNull() | c("_items").isNull() | (c("_untotalled") > 0), c("_lines"), c("subtotal")),
             "vat_check": compared(c("subtotal").isNull() | c("vat_rate").isNull() | c("vat_amount").isNull(), vat_of(c("subtotal"), c("vat_rate")), c("vat_amount")),
             "grand_total_check": compared(c("subtotal").isNull() | c("vat_amount").isNull() | c("total").isNull(), c("subtotal") + c("vat_amount"), c("total")),
         }
