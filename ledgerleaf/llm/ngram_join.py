@@ -14,9 +14,10 @@ threshold t, so they differ in at most (1 - t) / (1 + t) * (|a| + |b|) shingles.
 3. Signatures. Candidate pairs are compared by size and by parity bitmaps: bits that differ are a lower bound of the
    differing shingles, hence an upper bound of the overlap. What passes is intersected exactly, as sorted arrays.
 4. Groups. Verified links form connected components (alternating star contraction over written edges). First each
-   document is held against the leader that it shares most tiles with. Then, in tiles that hold several components,
-   all pairs across components are: signatures in blocks of bounded size, one task a pair of blocks, and what they
-   allow is intersected. No link is lost, and within a component no further link can change the result.
+   document is held against the leader that it shares most tiles with. Then tiles that hold several components are
+   compared by signatures, in blocks of bounded size, one task a pair of blocks: first only as many of the pairs that
+   these allow are intersected as would connect a block, then, across what components are left, all of them. No link
+   is lost, and within a component no further link can change the result.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than a shingle make one
 shingle of the whole sequence. Equal texts are linked. Rows with the same doc_id are one document if their texts are
@@ -278,8 +279,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of different components that a tile holds together and that may link, in blocks of bounded size."""
+def _forest(pairs: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Places of the pairs (rows of two component ids), nearest first, that join what earlier ones have not."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    top, kept, left = list(range(len(ids))), [], len(ids) - 1
+    ends = at.reshape(pairs.shape)
+    for k in np.argsort(differ, kind="stable").tolist():
+        x, y = ends[k].tolist()
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[y] = x
+            kept.append(k)
+            left -= 1
+            if not left:
+                break
+    return np.array(kept, np.int64)
+
+
+def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold: Fraction, spanning: bool) -> DataFrame:
+    """Pairs of different components that a tile holds together and that may link, in blocks of bounded size.
+
+    ``spanning``: of each block only as many as would connect the same components, nearest first; else all.
+    """
     member = stars.select("key", F.col("doc_id").alias("node")).union(stars.select("key", F.col("other").alias("node"))).distinct()
     member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
@@ -307,9 +331,12 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
             if first[0] == second[0]:
                 good &= node[i, None] < node[None, two]
             x, y = np.nonzero(good)
-            found.append((node[i[x]], node[two[y]]))
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return np.maximum(a, b), np.minimum(a, b)
+            found.append((i[x], two[y], differ[x, y]))
+        a, b, differ = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if spanning and len(a):
+            kept = _forest(np.stack([component[a], component[b]], axis=1), differ)
+            a, b = a[kept], b[kept]
+        return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -331,6 +358,15 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
     return rows.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
 
 
+def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links (a, b): these join whole components, so only component ids are contracted."""
+    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
+    joining = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    higher = cut_lineage(connected_components(joining)).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    lone = higher.join(components.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return components.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone)
+
+
 def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -343,13 +379,10 @@ def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFram
     # Most links are found from each document to the leader that it shares most tiles with.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tiles", -F.col("b"))).alias("b"))
     components = cut_lineage(connected_components(edges.union(_verified(best, sets, threshold))))
-    found = _verified(_across(stars, components, sets, threshold), sets, threshold)
-    # These links join whole components, so only components are contracted further.
-    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component"))
-    joining = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
-    higher = cut_lineage(connected_components(joining)).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    lone = higher.join(components.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-    components = components.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone)
+    # Then, across components, pairs that would connect what may link; last, all that still may link.
+    for spanning in (True, False):
+        found = _verified(_across(stars, components, sets, threshold, spanning), sets, threshold)
+        components = cut_lineage(_contracted(components, found))
     out = rows.where(F.col("kind") == SIZE).select("doc_id", F.col("other").alias("n_shingles")).join(components, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionAll(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
