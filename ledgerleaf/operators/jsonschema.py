@@ -197,7 +197,7 @@ class Compiler:
         return self.error(F.size(self.items(v)) > n, path, at, "maxItems", f"must have {n} items or fewer")
 
     def on_uniqueitems(self, v, wanted, schema, path, at):
-        written = F.transform(self.items(v), F.to_json)
+        written = F.transform(self.items(v), lambda x: F.to_json(x))  # noqa: PLW0108  to_json has a second parameter
         return self.error((F.size(F.array_distinct(written)) < F.size(written)) if wanted else F.lit(False), path, at, "uniqueItems", "items must differ")
 
     def on_contains(self, v, sub, schema, path, at):
