@@ -241,8 +241,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in (0, 1)], ["a", "b"])
 
     signed = ["n", *SIGNATURE]
-    maybe = pairs.select("a", "b").join(_side(sets, "a", signed), "a").join(_side(sets, "b", signed), "b").where(_possible(threshold)).select("a", "b")
-    joined = maybe.join(_side(sets, "a", ["grams"]), "a").join(_side(sets, "b", ["grams"]), "b")
+    maybe = _compact(pairs.select("a", "b").join(_side(sets, "a", signed), "a").join(_side(sets, "b", signed), "b").where(_possible(threshold)).select("a", "b"))
+    # Only the sets of what is still possible shuffle.
+    chosen = semi_join(sets.select("doc_id", "grams"), maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")), "left_semi")
+    joined = maybe.join(_side(chosen, "a", ["grams"]), "a").join(_side(chosen, "b", ["grams"]), "b")
     return joined.select("a", "b", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
 
 
@@ -300,7 +302,7 @@ def _forest(pairs: np.ndarray, differ: np.ndarray) -> np.ndarray:
 
 
 def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold: Fraction, spanning: bool) -> DataFrame:
-    """Pairs of different components that a tile holds together and that may link, in blocks of bounded size.
+    """(key, a, b): pairs of different components that a tile holds together and that may link, in blocks of bounded size.
 
     ``spanning``: of each block only as many as would connect the same components, nearest first; else all.
     """
@@ -316,7 +318,7 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
     place = ["key", "first", "second"]
     p, q = threshold.numerator, threshold.denominator
 
-    def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of one block pair of one tile that sizes and bitmaps allow."""
         first, second, block, node, component, n = columns[1:7]
         bits = np.stack(columns[7:], axis=1).view(np.uint64)
@@ -336,7 +338,7 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
         if spanning and len(a):
             kept = _forest(np.stack([component[a], component[b]], axis=1), differ)
             a, b = a[kept], b[kept]
-        return np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        return np.full(len(a), columns[0][0]), np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -352,10 +354,10 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
     def told(held: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = [compare([c[lo:hi] for c in held]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "key long, a long, b long")
 
 
 def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,15 +376,18 @@ def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFram
     stars = rows.where(F.col("kind") == STAR)
     edges = rows.where(F.col("kind") == EQUAL).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     pairs = cut_lineage(stars.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
-    sets = cut_lineage(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width).dropDuplicates(["doc_id"]))
+    sets = cut_lineage(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width))
 
     # Most links are found from each document to the leader that it shares most tiles with.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tiles", -F.col("b"))).alias("b"))
     components = cut_lineage(connected_components(edges.union(_verified(best, sets, threshold))))
-    # Then, across components, pairs that would connect what may link; last, all that still may link.
+    # Then, across components, pairs that would connect what may link; last, in tiles where one of these does not
+    # link, all pairs that still may.
     for spanning in (True, False):
-        found = _verified(_across(stars, components, sets, threshold, spanning), sets, threshold)
+        maybe = _compact(_across(stars, components, sets, threshold, spanning))
+        found = cut_lineage(_verified(maybe.select("a", "b").distinct(), sets, threshold))
         components = cut_lineage(_contracted(components, found))
+        stars = stars.join(maybe.join(found, ["a", "b"], "left_anti").select("key").distinct(), "key", "left_semi")
     out = rows.where(F.col("kind") == SIZE).select("doc_id", F.col("other").alias("n_shingles")).join(components, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionAll(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
