@@ -30,22 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, for files that tasks write and other tasks read."""
+    """The checkpoint folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
     sc = spark.sparkContext
-    where = sc._jsc.sc().getCheckpointDir()
-    if where.isEmpty():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        where = sc._jsc.sc().getCheckpointDir()
-    return where.get()
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder, at once."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, uri: str | None = None) -> DataFrame:
