@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,8 +28,10 @@ def register_results_stream(incoming: DataFrame, documents_path: str, store: str
 
 def registered(spark: SparkSession, store: str, documents: DataFrame, before: int | None = None) -> DataFrame:
     """document_id of the results that earlier batches registered."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+    try:
+        done = spark.read.parquet(store).where("outcome = 201")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return documents.select(F.col("id").alias("document_id")).where("false")
-    done = spark.read.parquet(store).where("outcome = 201")
     return (done if before is None else done.where(F.col("batch") < before)).select("document_id")
