@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.shared import cut_lineage, lower_ascii, mix, text_chunks, windows, word_hashes
+from ledgerleaf.llm.shared import cut_lineage, lower_ascii, mix, text_chunks, windows, word_hashes, written
 
 BAND_RATIO = 1.5
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 512
 BLOCK_ROWS = 512
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
@@ -306,7 +306,8 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
 
     ``spanning``: of each block only as many as would connect the same components, nearest first; else all.
     """
-    member = stars.select("key", F.col("doc_id").alias("node")).union(stars.select("key", F.col("other").alias("node"))).distinct()
+    # Every document of a tile but its smallest is the member of a star, and that one leads the last of these.
+    member = stars.select("key", F.col("doc_id").alias("node")).union(stars.groupBy("key").agg(F.min("other").alias("node")))
     member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     rows = member.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
@@ -372,11 +373,11 @@ def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = cut_lineage(_stars(_tile_rows(named, width, Bands(threshold))))
+    rows = written(_stars(_tile_rows(named, width, Bands(threshold))))  # Parquet: far smaller than a checkpoint's rows
     stars = rows.where(F.col("kind") == STAR)
     edges = rows.where(F.col("kind") == EQUAL).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     pairs = cut_lineage(stars.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
-    sets = cut_lineage(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width))
+    sets = written(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width))
 
     # Most links are found from each document to the leader that it shares most tiles with.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tiles", -F.col("b"))).alias("b"))
