@@ -1,14 +1,16 @@
 """License scans: normalised passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line of a text or, if it has several lines, the whole text. Both sides are lower-cased, every run
-of other characters than letters and digits becomes one space, and the bags of adjacent word pairs are compared:
-dice = 2 * shared / (pairs of the passage + pairs of the template), where a pair repeated on both sides is shared as
+A passage is a line of a text, the whole text if it has several lines, or any run of its words, which may begin and
+end inside lines and cross line breaks: so a wrapped notice, or one among other prose, is compared as a unit. Of runs
+that overlap only the best counts, and none that shares a line with a passage of the same licence. Both sides are
+lower-cased, every run of other characters than letters and digits becomes one space, and the bags of adjacent word
+pairs are compared: dice = 2 * shared / (pairs of the passage + pairs of the template), where a pair repeated on both sides is shared as
 often as on the side with fewer. A dice of at least t needs a pair count between t / (2 - t) and (2 - t) / t times
-the template's, so a passage's word count alone rules out most templates before any pair is made; it also needs a
-share of the template's own pairs, so a passage without a word of any sufficient choice of them is out too.
+the template's, so a passage's word count alone rules out most templates; it also needs a share of the template's own
+pairs, so a text without a word of any sufficient choice of them is out before it is normalised.
 
-Word pairs that no template has end in the scanning task, so only passages that share pairs with a template shuffle,
-keyed by passage: a line that a third of the documents carry is no hot key.
+Word pairs that no template has end in the scanning task; the others are written once, with their places, and only they
+shuffle, keyed by row: a line that a third of the documents carry is no hot key.
 
 Defined results: a null or empty text has no passage; a template of fewer than two words never matches; the template
 of the highest dice wins, of equals the first by id. Repeated documents each get their rows. Extra columns are ignored.
@@ -22,9 +24,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.shared import written
+
 #: Licence notices and grants as their authors publish them.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -80,7 +84,7 @@ def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) ->
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Every passage of ``docs`` (doc_id, text) that matches a template.
 
-    Returns doc_id, passage (0: the whole text, else the line's number), license, n_pairs and dice (six digits).
+    Returns doc_id, passage (0: the whole text, else the number of the line or of the run's first line), license, n_pairs and dice (six digits).
     """
     spark = docs.sparkSession
     rows = template_table(spark, templates).select("license", "template", pair_count(F.col("normal")).alias("t_pairs"), "normal").where("t_pairs > 0")
@@ -89,37 +93,84 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     if not sizes:
         return docs.select("doc_id", F.lit(0).alias("passage"), F.lit("").alias("license"), F.lit(0).alias("n_pairs"), F.lit(0.0).alias("dice")).where("false")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    ranges: list[list[float]] = []
-    for size in sorted(sizes):
-        if ranges and size * low <= ranges[-1][1]:
-            ranges[-1][1] = size * high
-        else:
-            ranges.append([size * low, size * high])
-    fits = lambda n: reduce(or_, (n.between(x, y) for x, y in ranges))
-    anchors = F.array(*map(F.lit, sorted({w for r in known for w in anchor_words(r.normal, low)})))
-    named = lambda p: F.arrays_overlap(F.split(p["normal"], " "), anchors)
-
-    def passages(normal: Column) -> Column:
-        """(passage, normal) of the fitting lines and, of several lines, of their whole: the lines joined."""
-        lines = F.filter(F.transform(normal, lambda p, i: F.struct((i + 1).alias("passage"), p.alias("normal"))), lambda p: fits(pair_count(p["normal"])) & named(p))
-        words = F.aggregate(normal, F.lit(-1), lambda n, p: n + F.when(p == "", 0).otherwise(pair_count(p) + 1))
-        joined = F.array_join(F.filter(normal, lambda p: p != ""), " ")
-        whole = F.array(F.struct(F.lit(0).alias("passage"), joined.alias("normal")))
-        return F.when((F.size(normal) > 1) & fits(words), F.concat(F.filter(whole, named), lines)).otherwise(lines)
-
+    anchors = sorted({w for r in known for w in anchor_words(r.normal, low)})
+    wanted = rows.select("license", "template", "t_pairs", F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("license", "template", "t_pairs", "pair").agg(F.count(F.lit(1)).alias("t_times"))
+    given = wanted.select("pair", "t_times").distinct().collect()  # pairs of the given templates
+    listed = sorted({r.pair for r in given})
+
+    def found(normal: Column) -> Column:
+        """The text's word pairs that templates have: place, first and last line, pairs of the line and of the text."""
+        lines = F.filter(F.transform(normal, lambda p, i: F.struct((i + 1).alias("line"), pair_count(p).alias("n_line"), p.alias("normal"))), lambda p: p["normal"] != "")
+        words = F.flatten(F.transform(lines, lambda p: F.transform(F.split(p["normal"], " "), lambda w: F.struct(w.alias("word"), p["line"].alias("line"), p["n_line"].alias("n_line")))))
+        return F.element_at(F.transform(F.array(words), lambda w: neighbours(w, F.size(normal))), 1)
+
+    def neighbours(words: Column, n_lines: Column) -> Column:
+        n = F.size(words) - 1
+        both = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(F.concat_ws(" ", a["word"], b["word"]).alias("pair"), a["line"].alias("line"), b["line"].alias("last"), a["n_line"].alias("n_line")))
+        placed = F.transform(both, lambda p, i: F.struct(i.alias("pos"), p["pair"].alias("pair"), p["line"].alias("line"), p["last"].alias("last"), p["n_line"].alias("n_line"), n.alias("n_text"), n_lines.alias("n_lines")))
+        return F.when(n > 0, F.filter(placed, lambda p: p["pair"].isin(listed)))
+
+    # A text without a letter sequence of any anchor word has no passage near enough; only the others are normalised.
+    named = F.exists(F.array(F.lower("text")), lambda t: reduce(or_, (F.contains(t, F.lit(a)) for a in anchors)))
     # As an element of an array the normalised lines are made once, whatever reads them.
     normal = F.transform(F.split(F.col("text"), "\n"), normalise)
-    cleaned = F.element_at(F.transform(F.array(normal), passages), 1)
-    # The row's own number keeps repeated documents apart.
-    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline_outer(cleaned)).where("normal is not null")  # outer: else the arrays are made again to find empty ones
+    cleaned = F.element_at(F.transform(F.array(normal), found), 1)
+    # The row's own number keeps repeated documents apart; it is given before the row is exploded.
+    numbered = docs.where(named).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    cut = numbered.select("doc_id", "row", F.inline_outer(cleaned)).where("pair is not null")  # outer: else the arrays are made again to find empty ones
+    # The given list of templates bounds the broadcast; written once, as lines and runs both read the pairs found.
+    hits = written(cut.join(F.broadcast(wanted), "pair"))
+    named_alike = ["row", "doc_id", "license", "template", "t_pairs", "pair", "t_times"]
+    lines = hits.where("line = last").select(*named_alike, F.col("line").alias("passage"), F.col("n_line").alias("n_pairs"))
+    whole = hits.where("n_lines > 1").select(*named_alike, F.lit(0).alias("passage"), F.col("n_text").alias("n_pairs"))
     passage = ["row", "doc_id", "passage", "n_pairs"]
-    pairs = cut.select("row", "doc_id", "passage", pair_count(F.col("normal")).alias("n_pairs"), F.explode(word_pairs(F.col("normal"))).alias("pair"))
-    wanted = rows.select("license", "template", "t_pairs", F.explode(word_pairs(F.col("normal"))).alias("pair")).groupBy("license", "template", "t_pairs", "pair").agg(F.count(F.lit(1)).alias("t_times"))
     inside = (F.col("n_pairs") >= F.col("t_pairs") * low) & (F.col("n_pairs") <= F.col("t_pairs") * high)
-    # The given list of templates bounds the broadcast; pairs of no template end here, before any shuffle.
-    hits = pairs.join(F.broadcast(wanted), "pair").where(inside)
-    counted = hits.groupBy(*passage, "license", "template", "t_pairs", "pair", "t_times").agg(F.count(F.lit(1)).alias("times"))
+    counted = lines.unionByName(whole).where(inside).groupBy(*passage, "license", "template", "t_pairs", "pair", "t_times").agg(F.count(F.lit(1)).alias("times"))
     shared = counted.groupBy(*passage, "license", "template", "t_pairs").agg(F.sum(F.least("times", "t_times")).alias("shared"))
     scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("n_pairs") + F.col("t_pairs"))).where(F.col("dice") >= threshold)
     best = scored.groupBy(*passage).agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
-    return best.select("doc_id", "passage", F.col("best.license").alias("license"), "n_pairs", F.round(-F.col("best.d"), 6).alias("dice"))
+    best = best.select("row", "doc_id", "passage", F.col("best.license").alias("license"), "n_pairs", (-F.col("best.d")).alias("dice"))
+    runs = matching_runs(hits, threshold, max(sizes), sorted({r.t_times for r in given}))
+    # A run that shares a line with a passage of the same licence is that passage's notice.
+    told = best.select(F.col("row").alias("at"), F.col("license").alias("as"), F.col("passage").alias("on"))
+    rest = runs.join(told, (F.col("row") == F.col("at")) & (F.col("license") == F.col("as")) & ((F.col("on") == 0) | F.col("on").between(F.col("line"), F.col("last"))), "left_anti")
+    out = ["doc_id", "passage", "license", "n_pairs", F.round("dice", 6).alias("dice")]
+    return best.select(*out).unionAll(rest.withColumn("passage", F.col("line")).select(*out))
+
+
+def matching_runs(hits: DataFrame, threshold: float, longest: int, times: Sequence[int]) -> DataFrame:
+    """The runs of words, within and across lines, that match a template: the best first, then what overlaps no better one.
+
+    ``hits``: the templates' pairs found in texts, with their places. A best run begins and ends with a shared pair, so
+    for each pair as its beginning the shared ones that follow are its ends. Returns row, doc_id, license, start, end,
+    line, last, n_pairs and dice.
+    """
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    reach = math.ceil(longest * high)
+    alike = Window.partitionBy("row", "template", "pair").orderBy("pos")
+    # Where the pair stood as many times before as the template has it: in a run from there on it is one too many.
+    before = F.coalesce(*(F.when(F.col("t_times") == n, F.lag("pos", n).over(alike)) for n in times), F.lit(-1))
+    within = F.floor(F.col("pos") * F.lit(1000) / F.col("t_pairs"))  # places in thousandths of the template
+    span = math.ceil(high * 1000) + 1
+    near = Window.partitionBy("row", "template").orderBy("within")
+    dense = hits.withColumn("before", before).withColumn("within", within).withColumn("around", F.count(F.lit(1)).over(near.rangeBetween(-span, span))).where(F.col("around") >= F.col("t_pairs") * low)
+    after = F.sort_array(F.collect_list(F.struct("pos", "before", "last")).over(near.rangeBetween(0, span)))
+    held = dense.withColumn("after", after).withColumn("kept", F.filter("after", lambda x: (x["before"] < F.col("pos")) & (x["pos"] >= F.col("pos"))))
+    size = lambda x: x["pos"] - F.col("pos") + 1
+    ends = F.transform("kept", lambda x, i: F.struct((2 * (i + 1) / (size(x) + F.col("t_pairs"))).alias("dice"), size(x).alias("n_pairs"), x["pos"].alias("end"), x["last"].alias("last")))
+    # All ends near enough, not the best alone: a run that ends earlier may be free where the best is not.
+    found = held.select("row", "doc_id", "license", "template", F.col("pos").alias("start"), "line", F.inline(F.filter(ends, lambda x: x["dice"] >= threshold)))
+    found = found.withColumn("rank", F.struct((-F.col("dice")).alias("d"), "license", "start", (-F.col("n_pairs")).alias("n"), "template"))
+    beside = Window.partitionBy("row").orderBy("start").rangeBetween(-reach, reach)
+    # A pair of the end is a word more: runs that share a word overlap.
+    meets = lambda x: (x["start"] <= F.col("end") + 1) & (F.col("start") <= x["end"] + 1)
+    ranked = found.withColumn("all", F.collect_list(F.struct("rank", "start", "end")).over(beside))
+    ranked = ranked.withColumn("first", ~F.exists("all", lambda x: meets(x) & (x["rank"] < F.col("rank")))).drop("all")
+    ranked = ranked.withColumn("firsts", F.collect_list(F.when(F.col("first"), F.struct("start", "end"))).over(beside))
+    ranked = ranked.where(F.col("first") | ~F.exists("firsts", meets)).drop("firsts")
+    # Few are left that lost only to one that is out itself: they are taken in order of rank.
+    run = F.struct("rank", "start", "end", "license", "line", "last", "n_pairs", "dice")
+    lists = ranked.groupBy("row", "doc_id").agg(F.collect_list(F.when(F.col("first"), run)).alias("firsts"), F.sort_array(F.collect_list(F.when(~F.col("first"), run))).alias("others"))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] <= x["end"] + 1) & (x["start"] <= y["end"] + 1))
+    more = F.aggregate("others", F.filter("firsts", lambda x: F.lit(False)), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return lists.select("row", "doc_id", F.inline(F.concat("firsts", more))).drop("rank")

@@ -1,5 +1,9 @@
 """URL filters, license scans and chat formatting: small cases and their SQL."""
 
+import random
+import textwrap
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +116,53 @@ def test_queries_equal_their_sql(spark, small, name):
     columns = ", ".join(sorted(df.columns))
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, df.selectExpr(*sorted(df.columns)).collect())) == sorted(map(key, con.execute(f"select {columns} from ({queries_native.ORACLES[name]})").fetchall()))
+
+
+def test_wrapped_and_inline_notices(docs):
+    templates = dict((n, t) for n, t in license_scan.TEMPLATES)
+    code = "\n".join(f"    value{i} = compute(value{i - 1}, {i})" for i in range(60))
+    isc = "\n".join(" * " + line for line in textwrap.wrap(templates["isc"], 72))
+    cc = templates["cc-by-4.0"]
+    rows = [
+        (1, f"/* Copyright\n{isc}\n */\n{code}"),
+        (2, f"some prose\nAll of the pictures were taken by us last summer. {cc} Ask before you print them in a book of yours."),
+        (3, f"one {templates['unlicense']} two three four five {cc} six\nseven " + "words " * 200),
+        (4, "\n".join(["prose"] * 5 + [isc] * 40)),
+        (5, f"{cc} " * 3),
+        (6, code + "\nthis software is provided with permission and the license of the public\n" + code),
+    ]
+    got = scanned(docs, [*rows, rows[0]])
+    assert got.count((1, 2, "isc", 1.0)) == 2 and (2, 2, "cc-by-4.0", 1.0) in got
+    assert [g for g in got if g[0] == 3] == [(3, 1, "cc-by-4.0", 1.0), (3, 1, "unlicense", 1.0)]
+    height = isc.count("\n") + 1
+    assert [g[1:] for g in got if g[0] == 4] == [(6 + height * i, "isc", 1.0) for i in range(40)]
+    assert [g[1:] for g in got if g[0] == 5] == [(1, "cc-by-4.0", 1.0)] * 3 and not [g for g in got if g[0] == 6]
+
+
+def test_runs_equal_trying_all(docs):
+    rng = random.Random(4)
+    given = (("s", "a b c a b d"), ("t", "c d e f a c d"))
+    texts = []
+    for _ in range(40):
+        words = " ".join(rng.choice(given)[1] for _ in range(4)).split()
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["x"], [words[at], "y"]])
+        texts.append(" ".join(words))
+    pairs = lambda w: list(zip(w, w[1:]))
+
+    def dice(run, template):
+        x, y = Counter(pairs(run)), Counter(pairs(template.split()))
+        return 2 * (x & y).total() / (x.total() + y.total())
+
+    want = []
+    for k, text in enumerate(texts):
+        w = text.split()
+        tried = sorted((-d, name, a, -b) for a in range(len(w)) for b in range(a + 2, len(w) + 1) for name, t in given if (d := dice(w[a:b], t)) >= 0.7)
+        taken = []
+        for d, name, a, b in tried:
+            if all(-b <= x or a >= y for x, y in taken):
+                taken.append((a, -b))
+                want.append((k, 1, name, round(-d, 6)))
+    lines = {(k, name) for k, text in enumerate(texts) for name, t in given if dice(text.split(), t) >= 0.7}
+    assert len(want) > 100 and not lines and scanned(docs, list(enumerate(texts)), templates=given, threshold=0.7) == sorted(want)
