@@ -1,6 +1,7 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
-Texts and items are lower-cased and runs of white space become one space. An item of n characters may occur in a
+Texts and items are lower-cased, punctuation (the Unicode categories P) goes and runs of white space become one space.
+An item of nothing but punctuation is compared with the text that still has it. An item of n characters may occur in a
 document with at most ``rate * n`` edits. Cut into one piece more than its error budget, an item that occurs has a
 piece that occurs exactly, so an automaton over all pieces finds every candidate place; Myers' bit-parallel
 algorithm, its bit vectors as long as the item, then gives the distance of the item to the best stretch around it.
@@ -15,6 +16,8 @@ counts, then the first. An empty table gives no rows; extra columns are ignored
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -24,13 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE, BLOCK = 0.06, 2000
+RATE, BLOCK = 0.1, 2000
+_PUNCTUATION = dict.fromkeys(i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "P")
 
 
-def normalise(text: str) -> str:
+def spaced(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def normalise(text: str) -> str:
+    return " ".join(text.lower().translate(_PUNCTUATION).split())
+
+
 def pieces(text: str, budget: int) -> list[tuple[int, str]]:
     """(offset, piece) of budget + 1 pieces of nearly equal length."""
     cuts = [i * len(text) // (budget + 1) for i in range(budget + 2)]
@@ -70,15 +78,20 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = []
+        self.marks: list[tuple[int, str, int, dict[str, int]]] = []
         at: dict[str, list[tuple[int, int]]] = {}
         for ident, raw in items:
             text = normalise(raw or "")
-            if not text:
+            bare = not text
+            if bare and not (text := spaced(raw or "")):
                 continue
             budget = int(rate * len(text))
             positions: dict[str, int] = {}
             for i, c in enumerate(text):
                 positions[c] = positions.get(c, 0) | 1 << i
+            if bare:
+                self.marks.append((ident, text, budget, positions))
+                continue
             for offset, piece in pieces(text, budget):
                 at.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((ident, text, budget, positions))
@@ -91,11 +104,17 @@ class Matcher:
 
     def find(self, raw: str | None) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the normalised text) of every item that occurs."""
-        if self.empty or not raw:
+        if not raw:
             return []
+        out = []
+        if self.marks:
+            plain = spaced(raw)
+            out = [(ident, *hit) for ident, item, budget, positions in self.marks if (hit := best_match(item, positions, plain, budget))]
+        if self.empty:
+            return out
         text = normalise(raw)
         best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, list[tuple[int, int]]] = {}
+        tried: dict[int, tuple[int, int]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for k, offset in places:
                 if k in best and not best[k][0]:
@@ -106,12 +125,12 @@ class Matcher:
                     best[k] = min((0, start + len(item)), best.get(k, (0, 1 << 60)))
                     continue
                 lo, hi = max(0, start - budget), start + len(item) + budget
-                if any(a <= lo and hi <= b for a, b in tried.get(k, ())):
+                if tried.get(k) == (lo, hi):
                     continue
-                tried.setdefault(k, []).append((lo, hi))
+                tried[k] = lo, hi
                 if found := best_match(item, positions, text[lo:hi], budget):
                     best[k] = min((found[0], lo + found[1]), best.get(k, (1 << 60, 0)))
-        return [(self.items[k][0], d, e) for k, (d, e) in sorted(best.items())]
+        return out + [(self.items[k][0], d, e) for k, (d, e) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:

@@ -151,6 +151,14 @@ def test_contamination_equals_all_comparisons(spark, docs, block):
     assert clean == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_lightly_altered_leaks_are_found(spark, docs):
+    item = "the harbour master wrote down every ship that came before noon in his red book"
+    texts = [item.replace("harbour", "station"), "so: " + item.replace(" ", ", ").upper() + "!", item.replace("every", "any").replace("red", "old"), "nothing of the kind", "a ?!?... b"]
+    benchmark = spark.createDataFrame([(1, item), (2, "?!?...")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in contamination.find_contamination(docs(list(enumerate(texts))), benchmark).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2)} and got[1, 1] == got[4, 2] == 0 and got[0, 1] > int(0.06 * len(item))
+
+
 def test_contamination_of_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.find_contamination(docs([(1, "a")]), none).count() == 0
