@@ -6,6 +6,11 @@ texts is the size of the intersection over the root of the product of their size
 method, on which one ridge regression per language is fitted. Every text of the table is then scored by batched matrix
 products: presences times landmarks, then landmarks times languages.
 
+The scores of a text unlike every landmark tend to 0, the middle of their range, so no cut on them rejects it. The
+evidence that a text is in a learnt language is instead the part of its consecutive pieces' (all of the text's) n-grams
+that a landmark has too, by the nearest landmark, each less a cut for pieces of its length. A cut comes from pieces of the learning texts, without
+the landmark of the text itself: ``SLACK`` times the evidence that all but one in 200 exceed.
+
 Folds go by crc32 of doc_id as text: remainder 2 modulo 4 is held out. lang, source and doc_id enter no score.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null lang is not learnt from; if no
@@ -16,7 +21,7 @@ get their row. An empty table gives no rows; extra columns are ignored unless as
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ from ledgerleaf.llm.shared import lower_ascii, text_chunks
 DIMENSIONS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+#: The shortest pieces with a cut of their own, the longest pieces, and the room left under the learnt cut.
+SHORTEST, LONGEST, SLACK = 8, 2048, 0.8
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = True
 
@@ -78,11 +85,39 @@ class LanguageModel:
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    #: Least evidence of pieces of SHORTEST, 2 * SHORTEST, ... bytes; as long as the learning texts give pieces.
+    cuts: list[float] = field(default_factory=list)
 
-    def scores(self, present: np.ndarray) -> np.ndarray:
+    def kernels(self, present: np.ndarray) -> np.ndarray:
+        x = present.astype(np.float32)
+        return (x @ self.landmarks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+
+    def shares(self, present: np.ndarray) -> np.ndarray:
+        """The part of each text's places that each landmark has too."""
         x = present.astype(np.float32)
-        kernel = (x @ self.landmarks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-        return kernel @ self.weights
+        return (x @ (self.landmarks > 0).astype(np.float32).T) / np.maximum(x.sum(1), 1)[:, None]
+
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text the mean over its pieces, by their length, of evidence less cut; below 0: no learnt language."""
+        sizes = np.diff(offsets)
+        if not self.cuts:
+            return np.zeros(len(sizes))
+        piece = SHORTEST << (len(self.cuts) - 1)
+        counts = -(-sizes // piece)
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        starts = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * piece
+        bounds = np.append(starts, offsets[-1])
+        spans = np.diff(bounds)
+        over = np.zeros(len(owner))
+        cuts = np.array([0.0, *self.cuts])  # none below the shortest pieces
+        for lo in range(0, len(owner), 512):
+            hi = min(len(owner), lo + 512)
+            top = self.shares(presences(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])).max(1)
+            over[lo:hi] = top - cuts[np.floor(np.log2(spans[lo:hi] / SHORTEST)).astype(int).clip(-1) + 1]
+        return np.bincount(owner, over * spans, len(sizes)) / np.maximum(sizes, 1)
+
+    def scores(self, present: np.ndarray) -> np.ndarray:
+        return self.kernels(present) @ self.weights
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         rows = len(offsets) - 1
@@ -113,7 +148,8 @@ def fit_language(docs: DataFrame, per_language: int = 600, landmarks: int = 96,
                 bits = [r.tobytes() for r in np.packbits(presences(data, offsets), axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(bits, pa.binary())], ["draw", "lang", "bits"])
 
-    sample = usable.where(draw < share).select(draw.alias("draw"), "lang", "text").mapInArrow(packed, "draw long, lang string, bits binary").collect()
+    drawn = usable.where(draw < share)
+    sample = drawn.select(draw.alias("draw"), "lang", "text").mapInArrow(packed, "draw long, lang string, bits binary").collect()
     sample.sort(key=lambda r: (r.draw, r.lang, r.bits))
     languages = sorted({r.lang for r in sample})
     taken = {lang: 0 for lang in languages}
@@ -136,7 +172,36 @@ def fit_language(docs: DataFrame, per_language: int = 600, landmarks: int = 96,
     mapped = kernel @ root
     target = np.where(np.array([r.lang for r in rows])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     solved = np.linalg.solve(mapped.T @ mapped + ridge * len(rows) * np.eye(len(chosen)), mapped.T @ target)
-    return LanguageModel(languages, marks, (root @ solved).astype(np.float32))
+    model = LanguageModel(languages, marks, (root @ solved).astype(np.float32))
+    model.cuts = least_evidence(drawn, model)
+    return model
+
+
+def least_evidence(drawn: DataFrame, model: LanguageModel) -> list[float]:
+    """The cuts of ``model`` by the length of pieces, from first, middle and last pieces of the learning texts."""
+    shared = drawn.sparkSession.sparkContext.broadcast(model)
+    sizes = [SHORTEST << k for k in range((LONGEST // SHORTEST).bit_length())]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.landmarks > 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                steps, values = [], []
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                    text = data[a:b]
+                    others = (own != presences(text, np.array([0, len(text)]))[0].astype(bool)).any(1)
+                    cut = [(k, text[at : at + n]) for k, n in enumerate(sizes) if n <= len(text) for at in (0, (len(text) - n) // 2, len(text) - n)]
+                    if cut and others.any():
+                        parts = [p for _, p in cut]
+                        near = shared.value.shares(presences(np.concatenate(parts), np.cumsum([0, *map(len, parts)])))
+                        steps += [k for k, _ in cut]
+                        values += near[:, others].max(1).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(steps, pa.int32()), pa.array(values, pa.float64())], ["step", "evidence"])
+
+    # Bounded like the sample: a few numbers of each of its texts.
+    least = drawn.select("text").mapInArrow(run, "step int, evidence double").groupBy("step").agg(F.percentile("evidence", F.lit(0.005)).alias("least")).collect()
+    found = {r.step: SLACK * r.least for r in least}
+    return [found[k] for k in range(len(found))]
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -153,7 +218,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model puts into a language with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, that the model puts into a language with a score of at least ``least``, on enough evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -162,7 +227,8 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0
             keep = []
             for _, _, data, offsets in text_chunks(batch.column(at), 1 << 19):
                 names, scores = shared.value.predict(data, offsets)
-                keep += [n != "und" and s >= least for n, s in zip(names, scores.tolist(), strict=True)]
+                margins = shared.value.margins(data, offsets)
+                keep += [n != "und" and s >= least and m >= 0 for n, s, m in zip(names, scores.tolist(), margins.tolist(), strict=True)]
             if keep:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -1,6 +1,7 @@
 """Quality, language and language-model scores: held-out accuracy, brute force and edge cases."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,21 @@ def test_language_edge_cases(docs):
     assert {r.lang_pred for r in language_id.identify_languages(rows, none).collect()} == {"und"}
 
 
+def test_texts_in_no_learnt_language_go(spark, docs):
+    rng = random.Random(5)
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang").collect() if r.text]
+    russian = "Старый рыбак вышел из дома рано утром и долго смотрел на холодное море, а потом вернулся к своей лодке. "
+    chinese = "老渔夫清早离开家，望着寒冷的大海看了很久，然后回到自己的船上。"
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    foreign = [russian, russian * 20, russian * 2000, chinese, chinese * 60, noise(2000), noise(200_000), "7 1 9 x " + " ".join(str(rng.random()) for _ in range(200))]
+    long = [(-100 - i, " ".join(t for _, t, at in real if at == lang), None) for i, lang in enumerate(sorted({x for _, _, x in real if x}))]
+    model = language_id.fit_language(docs(real))
+    table = docs([*real, *long, *((-1 - i, t, None) for i, t in enumerate(foreign))])
+    kept = {r.doc_id for r in language_id.keep_known_languages(table, model).select("doc_id").collect()}
+    assert not [i for i in range(len(foreign)) if -1 - i in kept]
+    assert all(i in kept for i, _, _ in long) and len(kept) - len(long) > 0.99 * len(real)
+
+
 def brute_force(texts, train):
     """Scores by dictionaries: (tokens, known, base, score) of each text."""
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
