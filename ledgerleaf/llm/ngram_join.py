@@ -1,28 +1,32 @@
 """N-gram Jaccard join: which documents share enough word shingles, and the groups they form.
 
 A document's set is its distinct shingles, as 64-bit hashes. Two sets a and b link when |a n b| / |a u b| reaches the
-threshold t, so they differ in at most (1 - t) / (1 + t) * (|a| + |b|) shingles.
+threshold t, so they differ in at most (1 - t) / (1 + t) * (|a| + |b|) shingles. Sets are the nodes of the join, named
+by a 64-bit hash of all their shingles: copies are one node from the start, whatever their ids.
 
-1. Size-banded tiles. Sizes fall into bands. For pairs whose larger set is in a band, hashing cuts every set into
+1. Marks. One pass gives each row its set's name, size and parity bitmap; each set keeps its smallest doc_id.
+2. Size-banded tiles. Sizes fall into bands. For pairs whose larger set is in a band, hashing cuts every set into
    more tiles than the pair can differ in, so a linked pair has a tile with the same content; a set emits the hash of
    each of its tiles for its own band, and for the next one if a partner could be there. Empty tiles say nothing: a
    band has spare tiles for them, and a set with more empty tiles than spares emits its smallest hashes besides
    (prefix filtering), which is exact for any two such sets.
-2. Stars. Rows with one tile hash are linked to their smallest document only, first inside the scanning task, then
-   in the shuffle, which so gets a row per task and hash, not one per document: a third of all rows with the same
-   text sends no more than a few rows from each task.
-3. Signatures. Candidate pairs are compared by size and by parity bitmaps: bits that differ are a lower bound of the
-   differing shingles, hence an upper bound of the overlap. What passes is intersected exactly, as sorted arrays.
-4. Groups. Verified links form connected components (alternating star contraction over written edges). First each
-   document is held against the leader that it shares most tiles with. Then tiles that hold several components are
+3. Stars. Sets with one tile hash are linked to the smallest of them only, first inside the scanning task, then in
+   the shard of the hash, which so gets an entry per task and hash, not one per document. Entries travel packed, as
+   sorted differences; the number of shards grows with the number of shingles, so a shard stays small.
+4. Signatures. Candidate pairs are compared by size and by parity bitmaps: bits that differ are a lower bound of the
+   differing shingles, hence an upper bound of the overlap. Of what passes the texts are dealt by the pair's second
+   set, whose shingles a task holds while those of its partners stream past; sorted arrays are intersected exactly.
+   A set with very many partners has them dealt in groups of bounded size.
+5. Groups. Verified links form connected components (alternating star contraction over written edges). First each
+   set is held against the leader that it shares most tiles with. Then tiles that hold several components are
    compared by signatures, in blocks of bounded size, one task a pair of blocks: first only as many of the pairs that
    these allow are intersected as would connect a block, then, across what components are left, all of them. No link
    is lost, and within a component no further link can change the result.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than a shingle make one
-shingle of the whole sequence. Equal texts are linked. Rows with the same doc_id are one document if their texts are
-equal; doc_id must otherwise be unique and not null (null ids get rows of their own and link with nothing). An empty
-table gives no rows; extra columns are ignored.
+shingle of the whole sequence. Equal texts are linked. Rows that share a doc_id but not a set are different
+documents, each with its own links. A row without an id gets its number of shingles, no component, and links with
+nothing. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +41,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerleaf.llm.shared import cut_lineage, lower_ascii, mix, text_chunks, windows, word_hashes, written
 
 BAND_RATIO = 1.5
 SIGNATURE_BITS = 512
 BLOCK_ROWS = 512
+#: Tile entries that a task packs at once and that a shard should hold; partners of a set that are dealt together.
+HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 1_500_000, 2_000_000, 4096
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -115,101 +122,141 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-SIZE, EQUAL, STAR, TILE = 0, 1, 2, 3
-ROW = "kind byte, key long, doc_id long, other long"
+SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
+
+
+def set_names(mixed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The name of each set, from its shingles' hashes mixed anew; 0 for an empty one."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+    sizes = np.diff(bounds).astype(np.uint64)
+    return np.where(sizes > 0, mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes), np.uint64(0)).view(np.int64)
 
 
-def _tile_rows(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """Rows of (kind, key, doc_id, other): SIZE, other shingles; EQUAL, a link to the same set; STAR, a link to the
-    tile's smallest document of the same chunk; TILE, that document. SIZE and EQUAL rows have a key of their own."""
+def _marks(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, node, signature columns) of every row; the node of an empty set is null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same: dict[bytes, int] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_chunks(batch.column(1), 2 << 20):
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 grams, bounds = shingle_sets(data, offsets, width)
-                mixed, names = mix(grams ^ _FEW), ids[lo:hi]
-                spread = lambda x: mix(x.view(np.uint64)).view(np.int64)
-                out = [(SIZE, spread(names), names, np.diff(bounds).astype(np.int64))]
-                equal, keyed, owners = [], [], []
-                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
-                    if a == b:
-                        continue
-                    own, name = grams[a:b], int(names[i])
-                    whole = b"%d:%d:%d" % (b - a, int(own.sum()), int(mixed[a:b].sum()))
-                    if (first := same.setdefault(whole, name)) != name:
-                        equal.append((name, first))
-                        continue
-                    keyed.append(bands.keys(own, mixed[a:b]))
-                    owners.append(np.full(len(keyed[-1]), name, np.int64))
-                if equal:
-                    pairs = np.array(equal, np.int64)
-                    member = np.ascontiguousarray(pairs[:, 0])
-                    out.append((EQUAL, spread(member), member, pairs[:, 1]))
-                if keyed:
-                    keys, who = np.concatenate(keyed).view(np.int64), np.concatenate(owners)
-                    order = np.argsort(keys, kind="stable")
-                    keys, who = keys[order], who[order]
-                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    lead = np.minimum.reduceat(who, first)
-                    each = np.repeat(lead, np.diff(first, append=len(keys)))
-                    star = who != each
-                    out += [(STAR, keys[star], who[star], each[star]), (TILE, keys[first], lead, np.zeros(len(first), np.int64))]
-                kind = np.concatenate([np.full(len(k), what, np.int8) for what, k, _, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate([o[c] for o in out])) for c in (1, 2, 3))], ["kind", "key", "doc_id", "other"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, ROW)
-
-
-def _stars(rows: DataFrame) -> DataFrame:
-    """Turn the TILE rows of each key into STAR rows to its smallest document, streaming over sorted rows; keep the others."""
+                sizes = np.diff(bounds)
+                nodes = pa.array(set_names(mix(grams ^ _FEW), bounds), mask=sizes == 0)
+                bits = np.array([signature(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes.astype(np.int64)), nodes, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["doc_id", "n", "node", *SIGNATURE])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_lead = None
-        for batch in batches:
-            tile = batch.column(0).to_numpy() == TILE
-            if not tile.all():
-                yield batch.filter(pa.array(~tile))
-            key, who = batch.column(1).to_numpy()[tile], batch.column(2).to_numpy()[tile]
-            if not len(key):
-                continue
-            starts = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
-            lead = np.where(at < 0, 0 if last_lead is None else last_lead, who[np.maximum(at, 0)])
-            last_key, last_lead = key[-1], lead[-1]
-            star = lead != who
-            if star.any():
-                kind = np.full(int(star.sum()), STAR, np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key[star]), pa.array(who[star]), pa.array(lead[star])], ["kind", "key", "doc_id", "other"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, ROW)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, node long, {', '.join(f'{s} long' for s in SIGNATURE)}")
 
 
-SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest of all first: of small numbers most is zeros, which shuffle files compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
 
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
-def _signed_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, signature columns, grams) of the documents in ``wanted`` (doc_id)."""
+
+PACK = ["shard", "keys", "nodes", "who", "lead"]
+
+
+def _tile_packs(docs: DataFrame, width: int, bands: Bands, shards: int) -> DataFrame:
+    """Packed rows for each shard: tile hashes (sorted, as differences) and the set that each leads here; with
+    ``lead``, the stars found inside the task, whose sets and leaders are places in ``nodes``."""
+
+    def packs(keys: np.ndarray, nodes: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        least = np.minimum.reduceat(nodes, first)
+        each = np.repeat(least, np.diff(first, append=len(keys)))
+        if (star := nodes != each).any():
+            names, who = np.unique(np.concatenate([nodes[star], each[star]]), return_inverse=True)
+            who, lead = np.split(who.astype(np.uint32), 2)
+            yield int(keys[0] % np.uint64(shards)), _planes(np.diff(keys[star], prepend=np.uint64(0))), names.tobytes(), _planes(who), _planes(lead)
+        keys = keys[first]
+        part = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            names, who = np.unique(least[a:b], return_inverse=True)
+            yield int(part[a]), _planes(np.diff(keys[a:b], prepend=np.uint64(0))), names.tobytes(), _planes(who.astype(np.uint32)), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        seen: set[int] = set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if keys:
+                columns = zip(*packs(np.concatenate(keys), np.concatenate(nodes)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], PACK)
+            for x in (keys, nodes, seen):
+                x.clear()
+
+        held = 0
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            for _, _, data, offsets in text_chunks(batch.column(0)):
                 grams, bounds = shingle_sets(data, offsets, width)
-                bits = np.array([signature(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T), lists], ["doc_id", "n", *SIGNATURE, "grams"])
+                mixed = mix(grams ^ _FEW)
+                for name, a, b in zip(set_names(mixed, bounds).tolist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    if a == b or name in seen:
+                        continue
+                    seen.add(name)
+                    keys.append(bands.keys(grams[a:b], mixed[a:b]))
+                    nodes.append(np.full(len(keys[-1]), name, np.int64))
+                    held += len(keys[-1])
+                if held > HELD_ENTRIES:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    return docs.select("text").mapInArrow(run, "shard int, keys binary, nodes binary, who binary, lead binary")
+
 
-    chosen = semi_join(docs.select("doc_id", "text"), wanted, "left_semi")
-    return chosen.mapInArrow(run, f"doc_id long, n long, {', '.join(f'{s} long' for s in SIGNATURE)}, grams array<long>")
+def _stars(packs: DataFrame, shards: int) -> DataFrame:
+    """(key, node, lead): each set of a tile hash and the smallest of them, from the packed rows of a shard."""
 
+    def rows(key: np.ndarray, node: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(lead)], ["key", "node", "lead"])
 
-def semi_join(docs: DataFrame, ids: DataFrame, how: str, most: int = 2_000_000) -> DataFrame:
-    """Rows of ``docs`` with (left_semi) or without (left_anti) their doc_id in ``ids``: up to ``most`` ids are
-    broadcast, which spares the texts a shuffle; more are joined by one."""
-    ids = cut_lineage(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed, names, who, lead = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
+                key, name = np.cumsum(_from_planes(packed, np.uint64)), np.frombuffer(names, np.int64)
+                node = name[_from_planes(who, np.uint32)]
+                if lead is not None:
+                    yield rows(key, node, name[_from_planes(lead, np.uint32)])
+                else:
+                    keys.append(key)
+                    nodes.append(node)
+        if keys:
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            keys.clear()
+            nodes.clear()
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lead = np.repeat(np.minimum.reduceat(node, first), np.diff(first, append=len(key)))
+            star = np.flatnonzero(node != lead)
+            for lo in range(0, len(star), 1 << 18):
+                at = star[lo : lo + (1 << 18)]
+                yield rows(key[at], node[at], lead[at])
+
+    return packs.repartitionById(shards, F.col("shard")).mapInArrow(run, "key long, node long, lead long")
+
+
+def small_or_joined(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A cut-off ``df`` of narrow rows, to be broadcast if it has at most ``most`` of them and joined by a shuffle if more."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def semi_join(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (left_semi) or without (left_anti) their doc_id in ``ids``; few ids are broadcast, which
+    spares the texts a shuffle."""
+    return docs.join(small_or_joined(cut_lineage(ids.select("doc_id").distinct())), "doc_id", how)
 
 
 def _possible(threshold: Fraction) -> Column:
@@ -219,33 +266,53 @@ def _possible(threshold: Fraction) -> Column:
     return overlap * threshold.denominator >= (F.col("a_n") + F.col("b_n") - overlap) * threshold.numerator
 
 
-def _side(sets: DataFrame, x: str, columns: list[str]) -> DataFrame:
-    return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of sets that link: bounded by sizes and bitmaps first, then intersected."""
+    p, q = threshold.numerator, threshold.denominator
 
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)))
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) that link: bounded by sizes and bitmaps first, then intersected."""
-    p, q = threshold.numerator, threshold.denominator
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                grams, bounds = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(mix(grams ^ _FEW), bounds)), batch.column(1).slice(lo, hi - lo)], ["node", "text"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            (at_a, flat_a), (at_b, flat_b) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3)))
-            good = []
-            for i in range(batch.num_rows):
-                both = np.concatenate([flat_a[at_a[i] : at_a[i + 1]], flat_b[at_b[i] : at_b[i + 1]]])
-                both.sort(kind="stable")  # merges the two sorted arrays
-                shared = int((both[1:] == both[:-1]).sum())
-                if q * shared >= p * (len(both) - shared):
-                    good.append(i)
-            if good:
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in (0, 1)], ["a", "b"])
-
-    signed = ["n", *SIGNATURE]
-    maybe = _compact(pairs.select("a", "b").join(_side(sets, "a", signed), "a").join(_side(sets, "b", signed), "b").where(_possible(threshold)).select("a", "b"))
-    # Only the sets of what is still possible shuffle.
-    chosen = semi_join(sets.select("doc_id", "grams"), maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")), "left_semi")
-    joined = maybe.join(_side(chosen, "a", ["grams"]), "a").join(_side(chosen, "b", ["grams"]), "b")
-    return joined.select("a", "b", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
+            for lo, hi, data, offsets in text_chunks(batch.column(2)):
+                grams, bounds = shingle_sets(data, offsets, width)
+                good = []
+                for i, (lead, node) in enumerate(zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), strict=True)):
+                    own = grams[bounds[i] : bounds[i + 1]]
+                    if node is None:
+                        held = lead, own.copy()
+                        continue
+                    both = np.concatenate([held[1], own])
+                    both.sort(kind="stable")  # merges the two sorted arrays
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if q * shared >= p * (len(both) - shared):
+                        good.append((node, lead))
+                if good:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
+
+    maybe = _compact(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_possible(threshold)).select("a", "b"))
+    # Each b meets its partners in groups of bounded size: its own row, without a partner, sorts before theirs.
+    groups = maybe.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups"))
+    partners = maybe.join(groups, "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"), F.col("a").alias("partner"))
+    leads = groups.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("partner"))
+    roles = cut_lineage(partners.unionByName(leads))
+    # One text a set: of the row with its smallest doc_id.
+    wanted = roles.select("node").distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
+    texts = semi_join(docs.select("doc_id", "text"), wanted, "left_semi").mapInArrow(named, "node long, text string")
+    dealt = texts.join(small_or_joined(roles), "node").repartition(_parts(docs), "lead", "group").sortWithinPartitions("lead", "group", F.col("partner").asc_nulls_first())
+    return dealt.select("lead", "partner", "text").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _compact(df: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
@@ -306,12 +373,12 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
 
     ``spanning``: of each block only as many as would connect the same components, nearest first; else all.
     """
-    # Every document of a tile but its smallest is the member of a star, and that one leads the last of these.
-    member = stars.select("key", F.col("doc_id").alias("node")).union(stars.groupBy("key").agg(F.min("other").alias("node")))
+    # Every set of a tile but its smallest is the member of a star, and that one leads the last of these.
+    member = stars.select("key", "node").union(stars.groupBy("key").agg(F.min("lead").alias("node")))
     member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     rows = member.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
-    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "n", *SIGNATURE), "node")
+    rows = rows.join(sets.select("node", "n", *SIGNATURE), "node")
     # A block of a tile meets itself and every other block; most tiles have one block and make no copies.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -357,8 +424,7 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "a", "b"])
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "key long, a long, b long")
+    return rows.repartition(_parts(rows), *place).sortWithinPartitions(*place).mapInArrow(run, "key long, a long, b long")
 
 
 def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -370,35 +436,60 @@ def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
     return components.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone)
 
 
-def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
-    named = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = written(_stars(_tile_rows(named, width, Bands(threshold))))  # Parquet: far smaller than a checkpoint's rows
-    stars = rows.where(F.col("kind") == STAR)
-    edges = rows.where(F.col("kind") == EQUAL).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = cut_lineage(stars.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
-    sets = written(_signed_sets(named, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), width))
-
-    # Most links are found from each document to the leader that it shares most tiles with.
+def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, n, node, group, component_id) of every row of ``docs``; group names the set's component."""
+    texts = docs.select("doc_id", "text")
+    marks = written(_marks(texts, width))
+    named = texts.where(F.col("doc_id").isNotNull())
+    known = marks.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    sets = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in SIGNATURE)))
+    shards = max(_parts(docs), math.ceil((marks.agg(F.sum("n")).first()[0] or 0) / SHARD_ENTRIES))
+    stars = written(_stars(_tile_packs(named, width, Bands(threshold), shards), shards))
+    pairs = cut_lineage(stars.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
+
+    # Most links are found from each set to the leader that it shares most tiles with.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tiles", -F.col("b"))).alias("b"))
-    components = cut_lineage(connected_components(edges.union(_verified(best, sets, threshold))))
+    components = cut_lineage(connected_components(_verified(best, sets, named, width, threshold)))
     # Then, across components, pairs that would connect what may link; last, in tiles where one of these does not
     # link, all pairs that still may.
     for spanning in (True, False):
         maybe = _compact(_across(stars, components, sets, threshold, spanning))
-        found = cut_lineage(_verified(maybe.select("a", "b").distinct(), sets, threshold))
+        found = cut_lineage(_verified(maybe.select("a", "b").distinct(), sets, named, width, threshold))
         components = cut_lineage(_contracted(components, found))
         stars = stars.join(maybe.join(found, ["a", "b"], "left_anti").select("key").distinct(), "key", "left_semi")
-    out = rows.where(F.col("kind") == SIZE).select("doc_id", F.col("other").alias("n_shingles")).join(components, F.col("doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.unionAll(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
+    of_set = sets.select("node", "doc_id").join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
+    least = of_set.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_set = of_set.drop("doc_id").join(least, "group")
+    lone = marks.where(F.col("doc_id").isNull() | F.col("node").isNull()).select("doc_id", "n", "node", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return known.select("doc_id", "n", "node").join(of_set, "node").select(*lone.columns).unionAll(lone)
+
+
+def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``."""
+    return _grouped(docs, width, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest doc_id of their group; rows without an id stay."""
-    groups = jaccard_groups(docs, width, threshold)
-    kept = semi_join(docs, groups.where("component_id <> doc_id"), "left_anti")
-    repeated = cut_lineage(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id"))
+    """The rows of ``docs``, all columns, that are the smallest doc_id of their group; rows without an id stay.
+
+    Of a doc_id with several rows each text is judged by its own group; rows with the same id and set are one document.
+    """
+    rows = cut_lineage(_grouped(docs, width, threshold).where(F.col("doc_id").isNotNull()))
+    repeated = cut_lineage(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id"))
+    gone = rows.where("component_id <> doc_id").select("doc_id").union(repeated)
+    kept = semi_join(docs, gone, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    return semi_join(kept, repeated, "left_anti").unionAll(semi_join(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    several = semi_join(docs, repeated, "left_semi").select(*docs.columns)
+    own = "__set"
+    names, at = [*docs.columns, own], docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(at)):
+                grams, bounds = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(set_names(mix(grams ^ _FEW), bounds))], names)
+
+    several = several.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    stays = rows.where("component_id = doc_id").join(repeated, "doc_id", "left_semi").groupBy("doc_id", "group").agg(F.coalesce(F.min("node"), F.lit(0)).alias(own)).select("doc_id", own)
+    return kept.unionAll(several.join(stays, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns))

@@ -82,11 +82,30 @@ def test_linked_sets_share_a_tile(t):
 
 def test_groups_of_odd_tables(docs):
     assert ngram_join.jaccard_groups(docs([]), 3, Fraction(9, 10)).count() == 0
-    rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "a b c d"), (9, "x " * 50_000)]
+    rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "a b c d"), (9, "x " * 50_000), (None, None)]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), 3, Fraction(9, 10)).collect())
-    assert got == [(-1, None, None), (3, 2, 3), (7, 2, 3), (7, 2, 3), (9, 1, 9)]
+    assert got == [(-1, 0, None), (-1, 2, None), (3, 2, 3), (7, 2, 3), (7, 2, 3), (9, 1, 9)]
     kept = sorted(str(r.doc_id) for r in ngram_join.keep_one_of_each_group(docs(rows)).collect())
-    assert kept == ["3", "9", "None"]
+    assert kept == ["3", "9", "None", "None"]
+
+
+def test_one_id_with_several_texts(docs):
+    a, b, c = ("%s one two three four five six" % x for x in ("left", "right", "none"))
+    other = "quite another text without any word of those before"
+    rows = [(1, a), (5, a), (5, other), (5, other), (8, other + " "), (9, b), (9, b), (9, c), (4, ""), (4, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs(rows), 5, Fraction(8, 10)).collect())
+    assert got == [(1, 3, 1), (4, 0, 4), (4, 0, 4), (5, 3, 1), (5, 5, 5), (5, 5, 5), (8, 5, 5), (9, 3, 9), (9, 3, 9), (9, 3, 9)]
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.keep_one_of_each_group(docs(rows)).collect())
+    assert kept == [(1, a), (4, ""), (5, other), (9, c), (9, b)]
+
+
+def test_very_many_partners_are_dealt_in_groups(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PARTNERS", 3)
+    monkeypatch.setattr(ngram_join, "HELD_ENTRIES", 50)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:58] + [f"own{i}"])) for i in range(40)] + [(90, " ".join(base))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(docs(rows).repartition(6), 5, Fraction(8, 10)).collect()}
+    assert set(got.values()) == {0}
 
 
 def test_components_of_chains_and_stars(spark):
