@@ -376,7 +376,10 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
     # Every set of a tile but its smallest is the member of a star, and that one leads the last of these.
     member = stars.select("key", "node").union(stars.groupBy("key").agg(F.min("lead").alias("node")))
     member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
+    same = {"rows": F.count(F.lit(1)), "least": F.min("node"), "most": F.max("node"), "hashed": F.bit_xor(F.xxhash64("node"))}
+    mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), *(c.alias(n) for n, c in same.items())).where("x <> y")
+    # Near copies share very many tiles: of those with the same sets one is enough.
+    mixed = mixed.groupBy(*same).agg(F.min("key").alias("key"))
     rows = member.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
     rows = rows.join(sets.select("node", "n", *SIGNATURE), "node")
     # A block of a tile meets itself and every other block; most tiles have one block and make no copies.

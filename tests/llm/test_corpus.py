@@ -151,22 +151,23 @@ def edited(rng, text, n):
     return "".join(out)
 
 
-@pytest.mark.parametrize("block", [2, 100])
+@pytest.mark.parametrize("block", [90, 1 << 20])
 def test_contamination_equals_all_comparisons(spark, docs, block):
     rng = random.Random(9)
     items = [" ".join(rng.choices(WORDS, k=rng.choice([3, 12, 40]))) for _ in range(9)] + ["", None]
-    items.append(items[0])
+    items += [items[3], items[0]]  # one without an id, one repeated
     texts = [None, "", "short", items[1].upper(), "x " + items[2].replace(" ", " \n ") + " y", " ".join(rng.choices(WORDS, k=3000))]
     texts += [" ".join(rng.choices(WORDS, k=30)) + " " + edited(rng, rng.choice(items[:9]), n) + " tail" for n in (0, 1, 2, 4, 6, 9, 12, 15) for _ in range(3)]
-    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in contamination.find_contamination(docs(list(enumerate(texts))), benchmark, block=block).collect()}
+    ids = [*range(len(items) - 2), None, 99]
+    benchmark = spark.createDataFrame(list(zip(ids, items, strict=True)), "item_id bigint, text string").withColumn("mark", F.lit("x"))
+    got = {(r.doc_id, r.item_id): r.distance for r in contamination.find_contamination(docs(list(enumerate(texts))), benchmark, block_bytes=block).collect()}
     want = {}
-    for (i, t), (k, item) in itertools.product(enumerate(texts), enumerate(items)):
+    for (i, t), (k, item) in itertools.product(enumerate(texts), zip(ids, items, strict=True)):
         item, t = contamination.normalise(item or ""), contamination.normalise(t or "")
         if item and (d := distance(item, t)) <= int(contamination.RATE * len(item)):
             want[i, k] = d
     assert got == want
-    clean = {r.doc_id for r in contamination.drop_contaminated(docs(list(enumerate(texts))), benchmark, block=block).collect()}
+    clean = {r.doc_id for r in contamination.drop_contaminated(docs(list(enumerate(texts))), benchmark, block_bytes=block).collect()}
     assert clean == set(range(len(texts))) - {i for i, _ in want}
 
 
@@ -178,6 +179,22 @@ def test_lightly_altered_leaks_are_found(spark, docs):
     assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2)} and got[1, 1] == got[4, 2] == 0 and got[0, 1] > int(0.06 * len(item))
 
 
+def test_contamination_query_equals_all_comparisons(spark, small):
+    """The query on the real tables; an exact prefilter-free comparison by the plain Myers distance of every pair."""
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet").collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in queries_corpus.op10_decontamination(spark, small).collect()}
+    want = {}
+    items = [(r.item_id, contamination.normalise(r.text)) for r in read("benchmark")]
+    for r in read("documents"):
+        text = contamination.normalise(r.text or "")
+        for k, item in items:
+            bits = {c: sum(1 << i for i, x in enumerate(item) if x == c) for c in set(item)}
+            if len(text) < 1200 and (hit := contamination.best_match(item, bits, text, int(contamination.RATE * len(item)))):
+                want[r.doc_id, k] = hit[0]
+    short = {r.doc_id for r in read("documents") if len(contamination.normalise(r.text or "")) < 1200}
+    assert want and {k: d for k, d in got.items() if k[0] in short} == want
+
+
 def test_contamination_of_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.find_contamination(docs([(1, "a")]), none).count() == 0
