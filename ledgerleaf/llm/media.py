@@ -11,8 +11,10 @@ is stored as such: 64 bytes are the 64 coefficients of a block, high seven bits
 the refining ones. Y, Cb and Cr (4:2:0) take the blocks in turn. Any progressive decoder can show these files.
 
 Defined results: a null or empty payload is 64 zero bytes; bytes that are no progressive JPEG give nulls when
-``strict`` is off and raise otherwise. Repeated rows each get their row; equal payloads give equal files. An empty
-table gives no rows; extra columns are ignored.
+``strict`` is off and raise otherwise. Repeated rows each get their row; equal payloads give equal files. An image grows
+with its payload up to the format's 65535 x 65535 pixels, some 6 GB, more than a column holds; reading takes memory for
+one image at a time. An empty table gives no rows; extra columns are ignored unless kept, and none may be kept under
+the name of a column that reading makes.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ from ledgerleaf.llm.shared import text_chunks
 BLOCK = 64
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 BANDS = ((1, 5), (6, 63))
-MOST_ACROSS = 64
+#: Units of 16 x 16 pixels across an image unless it is too tall; the most that the format's 65535 pixels hold.
+ACROSS, MOST_UNITS = 64, 65535 // 16
+#: Media that are read before their rows are handed on: images or bytes.
+HELD_IMAGES, HELD_BYTES = 256, 4 << 20
 
 
 def zigzag_order() -> np.ndarray:
@@ -401,10 +406,10 @@ def store_payload(payload: bytes) -> bytes:
     if not n or len(payload) % BLOCK:
         raise ValueError("a payload is a positive multiple of 64 bytes")
     mcus = -(-n // 6)
-    down = -(-mcus // MOST_ACROSS)
+    down = -(-mcus // max(ACROSS, -(-mcus // MOST_UNITS)))
     across = -(-mcus // down)
-    if max(across, down) * 16 > 65535:
-        raise ValueError("the payload is too large for one image")
+    if across > MOST_UNITS:
+        raise ValueError("a payload of over 6 GB is too large for one image")
     blocks = np.zeros((across * down * 6, BLOCK), np.uint8)
     blocks[:n] = np.frombuffer(payload, np.uint8).reshape(n, BLOCK)
     out = [b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _QUANT, _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(SAMPLING))), _SEVEN_BITS]
@@ -453,12 +458,17 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+MADE = ("height", "width", "means", "payload", "rgb")
+
+
 def read_media(media: DataFrame, tensors: bool = True, payloads: bool = True, strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Read every image of ``media`` (doc_id, media) into a full-resolution RGB tensor.
 
     Returns doc_id, height, width, means (of R, G and B), payload (null unless asked for and held) and rgb (height x
     width x 3 bytes in row order; null unless asked for), and the columns named in ``keep`` as they are.
     """
+    if clash := {"doc_id", "media", *MADE} & set(keep):
+        raise ValueError(f"columns made by reading can't be kept: {', '.join(sorted(clash))}")
     chosen = media.select("doc_id", "media", *keep)
     made = "height int, width int, means array<double>, payload binary, rgb binary"
     schema = T.StructType([chosen.schema["doc_id"], *T.StructType.fromDDL(made).fields, *(chosen.schema[c] for c in keep)])
@@ -478,10 +488,15 @@ def read_media(media: DataFrame, tensors: bool = True, payloads: bool = True, st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.binary(), pa.binary()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = [one(x.as_py()) for x in batch.column(1).slice(lo, 256)]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                kept = [c.slice(lo, 256) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[2:]], names=schema.names)
+            rows, lo, held = [], 0, 0
+            for i, x in enumerate(batch.column(1)):
+                data = x.as_py()
+                rows.append(one(data))
+                held += len(data or b"")
+                if i + 1 == batch.num_rows or len(rows) == HELD_IMAGES or held > HELD_BYTES:
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    kept = [c.slice(lo, len(rows)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[2:]], names=schema.names)
+                    rows, lo, held = [], i + 1, 0
 
     return chosen.mapInArrow(run, schema)

@@ -21,15 +21,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored in the coefficients of a progressive JPEG and read back, as digests.
 
-    The feature is the image's size and the mean of each colour of its full-resolution tensor.
+    The feature is the image's size and the mean of each colour of its full-resolution tensor, which is stored as a
+    column and of which the query shows a digest.
     """
     stored = store_texts(table(spark, sf_dir, "documents"))
     digests = stored.select(F.struct("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("stored"), "media")
-    read = read_media(digests.select(F.col("stored.doc_id").alias("doc_id"), "media", "stored"), tensors=False, keep=("stored",))
+    read = read_media(digests.select(F.col("stored.doc_id").alias("doc_id"), "media", "stored"), keep=("stored",))
     feature = F.concat_ws("x", "height", "width", F.array_join(F.transform("means", lambda m: F.format_number(m, 4)), ","))
     size = F.octet_length("payload")
     tail = F.substring(F.col("payload"), -64, 64)
-    return read.select("doc_id", "stored.n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "stored.media_bytes", "stored.media_sha256", feature.alias("feature"))
+    return read.select("doc_id", "stored.n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "stored.media_bytes", "stored.media_sha256", feature.alias("feature"), F.sha2("rgb", 256).alias("tensor_sha256"))
 
 
 QUERIES = {"op6_bpe": op6_bpe, "op9_media_columns": op9_media_columns}
