@@ -4,21 +4,24 @@ For every participant the whole dialogue is rendered with that speaker as the as
 users; the mask holds the character spans that the assistant says (its text and the closing mark), which are the
 training targets. System turns are rendered as such and are no participant.
 
-A dialogue is rendered in parts of at most ``turns_per_part`` turns, in order; texts and spans of a part stand on
-their own, and the parts joined are the dialogue. So no task gathers an unbounded conversation. Where very many
-messages share one turn, they are ordered by a hash bucket first, and each bucket is a part of its own.
+A dialogue's messages are in one total order, by (turn, speaker, SHA-256 of the text), and are rendered in parts of
+``messages_per_part``, the last one shorter; texts and spans of a part stand on their own, and the parts joined in
+order are the dialogue, however many messages share a turn. So no task gathers an unbounded conversation. A message's
+place is found in two levels: the messages are dealt by ranges of that order, numbered within their range, and the
+numbers of messages in a conversation's earlier ranges are added.
 
 Defined results: a null role is the speaker ``unknown``; a null text is empty; a null turn comes first, as turn -1;
-a null conv_id is one conversation of its own; rows equal in all four columns are one message; messages of one turn
-are ordered by (bucket, speaker, text). A conversation of system turns alone has no perspective. An empty table gives
-no rows; extra columns are ignored.
+a null conv_id is one conversation of its own; rows equal in all four columns are one message. A conversation of
+system turns alone has no perspective. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.shared import written
+
 END = "<|end|>\n"
 
 
@@ -26,23 +29,35 @@ def header(speaker: Column, perspective: Column) -> Column:
     return F.when(speaker == perspective, F.lit("<|assistant|>\n")).when(speaker == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), speaker, F.lit("|>\n")))
 
 
-def rotate_perspectives(turns: DataFrame, turns_per_part: int = 512) -> DataFrame:
+def numbered_messages(turns: DataFrame) -> DataFrame:
+    """Distinct messages of ``turns`` (conv_id, turn, role, text) with their place in their conversation, from 0 on.
+
+    Returns conv_id, turn, speaker, digest, text and place.
+    """
+    text = F.coalesce("text", F.lit(""))
+    said = turns.select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    said = said.groupBy("conv_id", "turn", "speaker", "digest", "text").agg(F.lit(1).alias("one")).drop("one")
+    order = ["turn", "speaker", "digest"]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, as the counts and the numbers must see the same ranges.
+    ranged = written(said.repartitionByRange(parts, "conv_id", *order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    counts = counts.select(F.col("conv_id").alias("of_conv"), F.col("range").alias("of_range"), F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order))
+    numbered = ranged.withColumn("nth", nth).join(counts, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("range") == F.col("of_range")))
+    return numbered.select("conv_id", *order, "text", (F.col("earlier") + F.col("nth") - 1).alias("place"))
+
+
+def rotate_perspectives(turns: DataFrame, messages_per_part: int = 512) -> DataFrame:
     """Render ``turns`` (conv_id, turn, role, text) once for every participant.
 
-    Returns conv_id, perspective, part, bucket, n_turns, text and mask (array of start, end in characters).
+    Returns conv_id, perspective, part, n_turns, text and mask (array of start, end in characters).
     """
-    said = turns.select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.groupBy("conv_id", "turn", "speaker", "text").agg(F.lit(1).alias("one")).drop("one")
-    full = said.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("at_once")).where(F.col("at_once") > turns_per_part)
-    full = full.select(F.col("conv_id").alias("full_conv"), F.col("turn").alias("full_turn"), F.ceil(F.col("at_once") / turns_per_part).alias("buckets"))
-    said = said.join(full, said.conv_id.eqNullSafe(F.col("full_conv")) & (said.turn == F.col("full_turn")), "left")
-    bucket = F.coalesce(F.pmod(F.xxhash64("speaker", "text"), F.col("buckets")), F.lit(0))
-    part = F.floor(F.col("turn") / turns_per_part).cast("long")
-    said = said.select("conv_id", part.alias("part"), F.struct("turn", bucket.alias("bucket"), "speaker", "text").alias("message"))
-    # A crowded turn splits its part: what comes before it, its buckets, and what follows are told apart by (turn, bucket).
-    key = F.when(F.col("message.bucket") > 0, F.concat_ws(":", F.col("message.turn"), F.col("message.bucket"))).otherwise("")
-    parts = said.withColumn("bucket", key).groupBy("conv_id", "part", "bucket").agg(F.sort_array(F.collect_list("message")).alias("messages"))
-    people = said.select(F.col("conv_id").alias("who_conv"), F.col("message.speaker").alias("perspective")).where("perspective <> 'system'").distinct()
+    said = numbered_messages(turns).select("conv_id", F.floor(F.col("place") / messages_per_part).cast("long").alias("part"), F.struct("place", "speaker", "text").alias("message"))
+    parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("message")).alias("messages"))
+    speaker = F.coalesce("role", F.lit("unknown"))
+    people = turns.select(F.col("conv_id").alias("who_conv"), speaker.alias("perspective")).where("perspective <> 'system'").distinct()
     wide = parts.join(people, parts.conv_id.eqNullSafe(people.who_conv))
 
     def step(acc: Column, m: Column) -> Column:
@@ -55,4 +70,4 @@ def rotate_perspectives(turns: DataFrame, turns_per_part: int = 512) -> DataFram
     empty = F.array().cast("array<struct<start:int,end:int>>")
     spans = F.aggregate("messages", F.struct(F.lit(0).alias("pos"), empty.alias("mask")), step)["mask"]
     text = F.array_join(F.transform("messages", lambda m: F.concat(header(m["speaker"], F.col("perspective")), m["text"], F.lit(END))), "")
-    return wide.select("conv_id", "perspective", "part", "bucket", F.size("messages").alias("n_turns"), text.alias("text"), spans.alias("mask"))
+    return wide.select("conv_id", "perspective", "part", F.size("messages").alias("n_turns"), text.alias("text"), spans.alias("mask"))

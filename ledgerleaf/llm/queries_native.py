@@ -16,13 +16,20 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DOCUMENT_NUMBER = r"/([0-9]{1,18})(?:[^0-9]|$)"
 
 
+def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, n_outcomes, n_good): of every page row the quality labels of the document that the page shows."""
+    host, path = split_url(F.col("url"))
+    shown = F.regexp_extract(path, DOCUMENT_NUMBER, 1).try_cast("long")
+    # Rows that show the same document on the same host are counted before they meet its labels.
+    views = pages.select(host.alias("host"), shown.alias("doc_id")).where("doc_id is not null").groupBy("host", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    known = labels.groupBy("doc_id").agg(F.count("quality").alias("n"), F.sum("quality").alias("k"))
+    return views.join(known, "doc_id").groupBy("host").agg(F.sum(F.col("rows") * F.col("n")).alias("n_outcomes"), F.sum(F.col("rows") * F.col("k")).alias("n_good"))
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page; an outcome is the quality label of the document that the page shows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    shown = F.regexp_extract(split_url(F.col("url"))[1], DOCUMENT_NUMBER, 1).try_cast("long")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("outcome"))
-    outcomes = pages.select("page_id", shown.alias("doc_id")).join(labels, "doc_id").select("page_id", "outcome")
-    return filter_urls(pages, outcomes, RULES)
+    return filter_urls(pages, labelled_outcomes(pages, table(spark, sf_dir, "labels")), RULES)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ";")
     target = F.aggregate("mask", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"])
-    return parts.select("conv_id", "perspective", "part", "bucket", "n_turns", F.length("text").alias("n_chars"), target.alias("n_target_chars"), spans.alias("mask"), F.sha2("text", 256).alias("text_sha256"))
+    return parts.select("conv_id", "perspective", "part", "n_turns", F.length("text").alias("n_chars"), target.alias("n_target_chars"), spans.alias("mask"), F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES = {"op1_url_filters": op1_url_filters, "op4_license_scan": op4_license_scan, "op5_chat_formatting": op5_chat_formatting}
@@ -107,17 +114,18 @@ def _license_oracle() -> str:
 
 _CHAT_ORACLE = """
     with said as (select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
+      placed as (select *, row_number() over (partition by conv_id order by turn, speaker, sha256(text)) - 1 as place from said),
       people as (select distinct conv_id, speaker as perspective from said where speaker <> 'system'),
-      wide as (select s.*, p.perspective, floor(turn / 512)::bigint as part,
+      wide as (select s.*, p.perspective, (place // 512)::bigint as part,
         case when speaker = perspective then '<|assistant|>' || chr(10) when speaker = 'system' then '<|system|>' || chr(10)
           else '<|user name=' || speaker || '|>' || chr(10) end as head
-        from said s join people p on s.conv_id is not distinct from p.conv_id),
+        from placed s join people p on s.conv_id is not distinct from p.conv_id),
       sized as (select *, head || text || '<|end|>' || chr(10) as piece, sum(length(head) + length(text) + 8) over (
-        partition by conv_id, perspective, part order by turn, speaker, text rows unbounded preceding)::bigint as stop from wide)
-    select conv_id, perspective, part, '' as bucket, count(*)::int as n_turns, sum(length(piece))::int as n_chars,
+        partition by conv_id, perspective, part order by place rows unbounded preceding)::bigint as stop from wide)
+    select conv_id, perspective, part, count(*)::int as n_turns, sum(length(piece))::int as n_chars,
       coalesce(sum(length(text) + 8) filter (where speaker = perspective), 0)::bigint as n_target_chars,
-      coalesce(string_agg((stop - length(text) - 8) || '-' || stop, ';' order by turn, speaker, text) filter (where speaker = perspective), '') as mask,
-      sha256(string_agg(piece, '' order by turn, speaker, text)) as text_sha256
+      coalesce(string_agg((stop - length(text) - 8) || '-' || stop, ';' order by place) filter (where speaker = perspective), '') as mask,
+      sha256(string_agg(piece, '' order by place)) as text_sha256
     from sized group by conv_id, perspective, part"""
 
 ORACLES = {"op1_url_filters": _url_oracle(), "op4_license_scan": _license_oracle(), "op5_chat_formatting": _CHAT_ORACLE}

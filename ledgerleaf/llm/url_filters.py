@@ -9,8 +9,9 @@ comes from its moments, written as ratios of whole-number sums, so every engine
 A host passes if the lower bound of its posterior (mean less ``z`` standard deviations) reaches ``min_rate``.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by the reputation of
-the empty host. A host without outcomes has its domain's posterior mean and the host level's strength. Repeated
-pages each count and each get a row. Without any outcome the corpus rate is 0.5. Extra columns are ignored.
+the empty host. A host without outcomes has its domain's posterior mean and the host level's strength. Every row of
+``pages`` gets a row, repeated and null page_ids too, as nothing is joined by page_id; null counts are 0. Without any
+outcome the corpus rate is 0.5. An empty table gives no rows; extra columns are ignored.
 
 Only DataFrame functions run; the joins are keyed by host, domain and suffix, so AQE splits a host that holds a
 large share of the pages, and counting combines before it shuffles.
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.shared import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
@@ -81,13 +84,15 @@ def _strength(counts: DataFrame) -> tuple[float, float]:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """Posterior of every host. ``outcomes``: (host, outcome), outcome 1, 0 or null where a page has no label.
+    """Posterior of every host of ``outcomes`` (host, n_outcomes, n_good: any number of rows a host, counts or null).
 
     Returns host, n_outcomes, n_good, reputation (posterior mean) and bound (its lower bound).
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    # Written once: the sums of every level and the shrinking read it.
+    hosts = cut_lineage(outcomes.groupBy("host").agg(total("n_outcomes").alias("n"), total("n_good").alias("k")).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"))
+    domains = cut_lineage(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     (rate, by_suffix), (_, by_domain), (_, by_host) = (_strength(x) for x in (suffixes, domains, hosts))
 
@@ -98,19 +103,20 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     suffixes = suffixes.select("suffix", shrunk(rate, by_suffix).alias("suffix_mean"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("suffix_mean"), by_domain).alias("domain_mean"))
     scored = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "k", shrunk(F.col("domain_mean"), by_host).alias("mean"))
-    mean, total = F.col("mean"), F.col("n") + F.lit(by_host)
-    bound = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (total + 1))
+    mean, counted = F.col("mean"), F.col("n") + F.lit(by_host)
+    bound = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (counted + 1))
     return scored.select("host", F.col("n").alias("n_outcomes"), F.col("k").alias("n_good"), F.round("mean", 9).alias("reputation"), F.round(bound, 9).alias("bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], min_rate: float = 0.5, z: float = 1.645) -> DataFrame:
-    """Judge every row of ``pages`` (page_id, url). ``outcomes``: (page_id, outcome), any number for a page.
+    """Judge every row of ``pages`` (page_id, url). ``outcomes``: (host, n_outcomes, n_good), any number of rows a host.
 
     Returns page_id, host, path, rule, verdict ('allow' or 'block'), n_outcomes, n_good, reputation, bound.
     """
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rated = host_reputation(split.select("page_id", "host").join(outcomes.select("page_id", "outcome"), "page_id", "left").select("host", "outcome"), z)
+    none = F.lit(0).cast("long")
+    rated = host_reputation(outcomes.select("host", "n_outcomes", "n_good").unionAll(split.select("host", none, none)), z)
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("bound") >= min_rate, "allow").otherwise("block")
-    return split.join(rated, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), "n_outcomes", "n_good", "reputation", "bound")
+    return split.join(rated, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, judged).alias("verdict"), "n_outcomes", "n_good", "reputation", "bound")

@@ -16,8 +16,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 def judged(spark, urls, outcomes=(), rules=RULES, **more):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
-    labels = spark.createDataFrame(list(outcomes), "page_id bigint, outcome int")
-    return {r.page_id: r for r in url_filters.filter_urls(pages, labels, rules, **more).collect()}
+    counts = spark.createDataFrame(list(outcomes), "host string, n_outcomes bigint, n_good bigint")
+    return {r.page_id: r for r in url_filters.filter_urls(pages, counts, rules, **more).collect()}
 
 
 def test_urls_and_rules(spark):
@@ -45,7 +45,7 @@ def test_levels(spark):
 
 def test_reputation_shrinks_and_inherits(spark):
     urls = ["http://good.a.com/1"] * 40 + ["http://bad.b.com/1"] * 40 + ["http://new.b.com/1", "http://new.a.com/1", "http://one.c.com/1"]
-    outcomes = [(i, 1) for i in range(40)] + [(40 + i, 0) for i in range(40)] + [(82, 0), (0, None), (9999, 1)]
+    outcomes = [("good.a.com", 30, 30), ("good.a.com", 10, 10), ("bad.b.com", 40, 0), ("one.c.com", 1, 0), ("bad.b.com", None, None)]
     got = judged(spark, urls, outcomes, rules=(), min_rate=0.5)
     assert got[0].verdict == "allow" and got[40].verdict == "block" and (got[0].n_outcomes, got[0].n_good) == (40, 40)
     assert got[80].reputation < 0.5 < got[81].reputation and got[80].n_outcomes == 0
@@ -97,25 +97,47 @@ def test_perspectives(spark):
 
 
 def test_long_and_crowded_dialogues_come_in_parts(spark):
-    rows = [(1, t, f"p{t % 2}", f"t{t}") for t in range(10)] + [(2, 0, "p", f"t{i}") for i in range(20)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = rotate_perspectives(df, turns_per_part=4).collect()
-    whole = {r.text for r in rotate_perspectives(df).where("conv_id = 1 and perspective = 'p0'").collect()}
-    parts = sorted((r.part, r.text) for r in got if r.conv_id == 1 and r.perspective == "p0")
-    assert [p for p, _ in parts] == [0, 1, 2] and {"".join(t for _, t in parts)} == whole
-    crowded = [r for r in got if r.conv_id == 2]
-    assert len(crowded) > 1 and sum(r.n_turns for r in crowded) == 20
-
-
-@pytest.mark.parametrize("name", sorted(queries_native.QUERIES))
-def test_queries_equal_their_sql(spark, small, name):
+    rows = [(1, t, f"p{t % 2}", f"t{t}") for t in range(10)] + [(2, 0, "p", f"t{i}") for i in range(90)] + [(2, 1, "q", "last"), (2, -5, "q", "first"), (2, None, "q", "none")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    got = rotate_perspectives(df, messages_per_part=4).collect()
+    whole = {(r.conv_id, r.perspective): r.text for r in rotate_perspectives(df).collect()}
+    for conv, who, n in ((1, "p0", 10), (1, "p1", 10), (2, "p", 93), (2, "q", 93)):
+        parts = sorted((r.part, r.n_turns, r.text) for r in got if (r.conv_id, r.perspective) == (conv, who))
+        assert [p for p, _, _ in parts] == list(range(-(-n // 4))) and {k for _, k, _ in parts[:-1]} == {4} and sum(k for _, k, _ in parts) == n
+        assert "".join(t for _, _, t in parts) == whole[conv, who]
+    said = [line for line in whole[2, "p"].split("\n") if line and not line.startswith("<|")]
+    assert [x.removesuffix("<|end|>") for x in (said[0], said[1], said[-1])] == ["first", "none", "last"]
+
+
+def equal_to_sql(spark, folder, name):
     con = duckdb.connect()
     for t in ("pages", "labels", "documents", "conversations"):
-        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
-    df = queries_native.QUERIES[name](spark, small)
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'' if folder.startswith('/root') else '/*.parquet'}'")
+    df = queries_native.QUERIES[name](spark, folder)
     columns = ", ".join(sorted(df.columns))
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(map(key, df.selectExpr(*sorted(df.columns)).collect())) == sorted(map(key, con.execute(f"select {columns} from ({queries_native.ORACLES[name]})").fetchall()))
+    got = sorted(map(key, df.selectExpr(*sorted(df.columns)).collect()))
+    assert got == sorted(map(key, con.execute(f"select {columns} from ({queries_native.ORACLES[name]})").fetchall()))
+    return got
+
+
+@pytest.mark.parametrize("name", sorted(queries_native.QUERIES))
+def test_queries_equal_their_sql(spark, small, name):
+    assert equal_to_sql(spark, small, name)
+
+
+def test_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
+    """Repeated and null page ids, repeated labels, crowded turns, nulls everywhere."""
+    folder = str(tmp_path)
+    pages = [(1, "http://a.example.com/en/1"), (1, "http://a.example.com/en/1"), (None, "http://a.example.com/en/2"), (None, "http://b.org/fr/3"), (5, None), (6, "none"), (1, "http://b.org/en/77")]
+    labels = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, None, 0), (None, 1, 0)]
+    talks = [(1, 0, "p", f"t{i}") for i in range(1100)] + [(1, 1, "q", "x"), (None, None, None, None), (2, None, "system", "y")]
+    frames = {"pages": (pages, "page_id bigint, url string"), "labels": (labels, "doc_id bigint, quality int, toxic int"), "conversations": (talks, "conv_id bigint, turn bigint, role string, text string")}
+    frames["documents"] = ([(1, "Released under the MIT License."), (1, None), (None, "")], "doc_id bigint, text string")
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    for name in sorted(queries_native.QUERIES):
+        assert len(equal_to_sql(spark, folder, name)) == {"op1_url_filters": 7, "op4_license_scan": 1, "op5_chat_formatting": 7}[name]
 
 
 def test_wrapped_and_inline_notices(docs):
