@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import canonical, text
+from ledgerleaf.functions.nested import exploded
 
 RAW_SCHEMA = (
     "title string, document_type string, "
@@ -200,8 +201,8 @@ def document_summary(df: DataFrame, engine: Column | None = None, status: Column
 
 
 def explode_segments(df: DataFrame) -> DataFrame:
-    return df.select("document_id", F.inline("segments"))
+    return exploded(df, "segments", "_at", "_item", "document_id").select("document_id", "_item.*")
 
 
 def explode_participants(df: DataFrame) -> DataFrame:
-    return df.select("document_id", F.inline("participants"))
+    return exploded(df, "participants", "_at", "_item", "document_id").select("document_id", "_item.*")

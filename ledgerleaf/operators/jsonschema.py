@@ -8,7 +8,11 @@ our own. Text that is no JSON, duplicate keys and NaN count as invalid JSON.
 from __future__ import annotations
 
 import json
+import operator
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
+from ledgerleaf.functions.nested import exploded
 
 ERROR = "array<struct<path:string,schema_path:string,validator:string,message:string>>"
 TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
@@ -34,7 +39,7 @@ class SchemaRequest:
 
 
 def schema_request(name: str, version: int, schema: dict, **unknown: object) -> SchemaRequest:
-    """Check a request before anything runs: a one-line name, a positive version, a schema whose root is an object."""
+    """Check a request before anything runs: a one-line name, a positive version, a well-formed schema of an object."""
     if unknown:
         raise SchemaRequestError(f"unknown members: {', '.join(sorted(unknown))}")
     if not isinstance(name, str) or not name.strip() or "\n" in name.strip():
@@ -43,14 +48,83 @@ def schema_request(name: str, version: int, schema: dict, **unknown: object) ->
         raise SchemaRequestError("the version must be a positive integer")
     if not isinstance(schema, dict) or schema.get("type") != "object":
         raise SchemaRequestError("the root of the schema must be of type object")
+    check_schema(schema)
     request = SchemaRequest(name.strip(), version, schema)
     Compiler(schema).errors(F.lit(None).cast("variant"), schema, F.lit("$"), ())
     return request
 
 
-def instance_path(parent: Column, key: str | None = None, index: Column | None = None) -> Column:
-    """``parent`` and a quoted key or an index."""
-    return F.concat(parent, F.lit(f"[{json.dumps(key)}]")) if key is not None else F.concat(parent, F.lit("["), index.cast("string"), F.lit("]"))
+def _is_number(x: object) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x and abs(x) != float("inf")
+
+
+def _is_count(x: object) -> bool:
+    return _is_number(x) and x == int(x) and x >= 0
+
+
+def _is_names(x: object) -> bool:
+    return isinstance(x, list) and all(isinstance(n, str) for n in x) and len(set(x)) == len(x)
+
+
+def _is_regex(x: object) -> bool:
+    try:
+        return isinstance(x, str) and re.compile(x) is not None
+    except re.error:
+        return False
+
+
+def _is_type(x: object) -> bool:
+    return x in TYPES if isinstance(x, str) else _is_names(x) and bool(x) and set(x) <= set(TYPES)
+
+
+#: What the value of each keyword must be; keywords that hold schemas stand below.
+SHAPES: dict[str, Callable[[object], bool]] = {
+    "type": _is_type,
+    "enum": lambda x: isinstance(x, list),
+    "multipleOf": lambda x: _is_number(x) and x > 0,
+    "required": _is_names,
+    "dependentRequired": lambda x: isinstance(x, dict) and all(map(_is_names, x.values())),
+    "pattern": _is_regex,
+    **dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), _is_number),
+    **dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems", "minContains", "maxContains", "minProperties", "maxProperties"), _is_count),
+    **dict.fromkeys(("uniqueItems", "deprecated", "readOnly", "writeOnly"), lambda x: isinstance(x, bool)),
+    **dict.fromkeys(("$ref", "$schema", "$id", "$comment", "$anchor", "title", "description", "format"), lambda x: isinstance(x, str)),
+    "examples": lambda x: isinstance(x, list),
+}
+HOLD_SCHEMA = ("items", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else")
+HOLD_LIST = ("prefixItems", "allOf", "anyOf", "oneOf")
+HOLD_MEMBERS = ("properties", "patternProperties", "$defs", "definitions")
+
+
+def check_schema(schema: object, at: tuple[str, ...] = ()) -> None:
+    """Raise SchemaRequestError unless a schema is well formed by Draft 2020-12, all its parts included."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise SchemaRequestError(f"{schema_path(at)} is no schema")
+    for word, value in schema.items():
+        here = (*at, word)
+        if word in SHAPES and not SHAPES[word](value):
+            raise SchemaRequestError(f"{schema_path(here)} is malformed")
+        if word in HOLD_SCHEMA:
+            check_schema(value, here)
+        elif word in HOLD_LIST:
+            if not isinstance(value, list) or not value:
+                raise SchemaRequestError(f"{schema_path(here)} must be a list of schemas")
+            for k, part in enumerate(value):
+                check_schema(part, (*here, str(k)))
+        elif word in HOLD_MEMBERS:
+            if not isinstance(value, dict) or (word == "patternProperties" and not all(map(_is_regex, value))):
+                raise SchemaRequestError(f"{schema_path(here)} must hold schemas by name")
+            for name, part in value.items():
+                check_schema(part, (*here, name))
+
+
+def instance_path(parent: Column, key: str | Column | None = None, index: Column | None = None) -> Column:
+    """``parent`` and a key, quoted as JSON, or an index."""
+    if isinstance(key, Column):
+        return F.concat(parent, F.to_json(F.array(key)))
+    return F.concat(parent, F.lit(f"[{json.dumps(key, ensure_ascii=False)}]")) if key is not None else F.concat(parent, F.lit("["), index.cast("string"), F.lit("]"))
 
 
 def schema_path(parts: tuple[str, ...]) -> str:
@@ -128,7 +202,7 @@ class Compiler:
     def same(self, v: Column, value: object) -> Column:
         """Whether ``v`` equals a JSON value; numbers by value, members in any order."""
         if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return kind(v).isin("integer", "number") & (F.try_variant_get(v, "$", "double") == float(value))
+            return self.compared(v, value, operator.eq)
         return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value, ensure_ascii=False))))
 
     def on_enum(self, v, values, schema, path, at):
@@ -144,23 +218,33 @@ class Compiler:
     def number(self, v: Column) -> Column:
         return F.when(kind(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
 
+    def whole(self, v: Column) -> Column:
+        """A whole number of up to 38 digits, exactly."""
+        return F.when(kind(v) == "integer", F.try_variant_get(v, "$", "decimal(38,0)"))
+
+    def compared(self, v: Column, x: int | float, op: Callable) -> Column:
+        """``op`` of a number and a limit: exactly if both are whole, else as doubles; null for no number."""
+        plain = op(self.number(v), F.lit(float(x)))
+        return F.coalesce(op(self.whole(v), F.lit(Decimal(int(x)))), plain) if x == int(x) and abs(x) < 10**38 else plain
+
     def on_minimum(self, v, x, schema, path, at):
-        return self.error(self.number(v) < float(x), path, at, "minimum", f"must be at least {x}")
+        return self.error(self.compared(v, x, operator.lt), path, at, "minimum", f"must be at least {x}")
 
     def on_maximum(self, v, x, schema, path, at):
-        return self.error(self.number(v) > float(x), path, at, "maximum", f"must be at most {x}")
+        return self.error(self.compared(v, x, operator.gt), path, at, "maximum", f"must be at most {x}")
 
     def on_exclusiveminimum(self, v, x, schema, path, at):
-        return self.error(self.number(v) <= float(x), path, at, "exclusiveMinimum", f"must be more than {x}")
+        return self.error(self.compared(v, x, operator.le), path, at, "exclusiveMinimum", f"must be more than {x}")
 
     def on_exclusivemaximum(self, v, x, schema, path, at):
-        return self.error(self.number(v) >= float(x), path, at, "exclusiveMaximum", f"must be less than {x}")
+        return self.error(self.compared(v, x, operator.ge), path, at, "exclusiveMaximum", f"must be less than {x}")
 
     def on_multipleof(self, v, x, schema, path, at):
-        if not x > 0:
-            raise SchemaRequestError(f"{schema_path(at)} must be positive")
         share = self.number(v) / F.lit(float(x))
-        return self.error(F.abs(share - F.round(share)) > 1e-9, path, at, "multipleOf", f"must be a multiple of {x}")
+        uneven = F.abs(share - F.round(share)) > 1e-9
+        if x == int(x) and x < 10**38:
+            uneven = F.coalesce(self.whole(v) % F.lit(Decimal(int(x))) != 0, uneven)
+        return self.error(uneven, path, at, "multipleOf", f"must be a multiple of {x}")
 
     # strings
     def string(self, v: Column) -> Column:
@@ -222,11 +306,11 @@ class Compiler:
         if sub is False:
             return self.error(F.size(extra) > 0, path, at, "additionalProperties", F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(extra), ", ")))
         values = F.map_filter(F.when(kind(v) == "object", v.cast("map<string,variant>")), lambda k, _: F.array_contains(extra, k))
-        return self.each(F.transform(F.map_entries(values), lambda e: self.errors(e["value"], sub, F.concat(path, F.lit('["'), e["key"], F.lit('"]')), at)))
+        return self.each(F.transform(F.map_entries(values), lambda e: self.errors(e["value"], sub, instance_path(path, e["key"]), at)))
 
     def on_patternproperties(self, v, subs, schema, path, at):
         entries = F.map_entries(F.when(kind(v) == "object", v.cast("map<string,variant>")))
-        of = lambda p, s: self.each(F.transform(F.filter(entries, lambda e: e["key"].rlike(p)), lambda e: self.errors(e["value"], s, F.concat(path, F.lit('["'), e["key"], F.lit('"]')), (*at, p))))
+        of = lambda p, s: self.each(F.transform(F.filter(entries, lambda e: e["key"].rlike(p)), lambda e: self.errors(e["value"], s, instance_path(path, e["key"]), (*at, p))))
         return F.concat(F.array().cast(ERROR), *(of(p, s) for p, s in subs.items()))
 
     def on_propertynames(self, v, sub, schema, path, at):
@@ -295,7 +379,7 @@ def validate_json(df: DataFrame, column: str, request: SchemaRequest) -> DataFra
 
 def schema_error_summary(df: DataFrame) -> DataFrame:
     """How often each validator fails at each place; array indices count as one place."""
-    errors = df.select(F.explode("schema_errors").alias("e"))
+    errors = exploded(df, "schema_errors", "_at", "e")
     place = F.regexp_replace("e.path", r"\[[0-9]+\]", "[]")
     return errors.groupBy(place.alias("path"), F.col("e.validator").alias("validator")).agg(F.count(F.lit(1)).alias("n"))
 

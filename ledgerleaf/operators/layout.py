@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
+from ledgerleaf.functions.nested import exploded
 
 _BOX = "struct<x0 double, y0 double, x1 double, y1 double>"
 LAYOUT_SCHEMA = (
@@ -73,12 +74,12 @@ def clean_layout(df: DataFrame) -> DataFrame:
 
 def explode_layout(df: DataFrame, level: str, *keys: str) -> DataFrame:
     """One row a page, block, word, table or cell, with its position, beside the columns ``keys``."""
-    pages = df.select(*keys, F.posexplode("pages").alias("page_index", "page"))
+    pages = exploded(df, "pages", "page_index", "page", *keys)
     if level == "page":
         return pages.select(*keys, "page_index", "page.*")
     inner = {"block": "blocks", "word": "words", "table": "tables", "cell": "tables"}[level]
-    parts = pages.select(*keys, "page_index", F.posexplode(f"page.{inner}").alias("part_index", "part"))
+    parts = exploded(pages, f"page.{inner}", "part_index", "part", *keys, "page_index")
     if level != "cell":
         return parts.select(*keys, "page_index", F.col("part_index").alias(f"{level}_index"), "part.*")
-    rows = parts.select(*keys, "page_index", F.col("part_index").alias("table_index"), F.posexplode("part.rows").alias("row_index", "cells"))
-    return rows.select(*keys, "page_index", "table_index", "row_index", F.posexplode("cells").alias("column_index", "cell"))
+    rows = exploded(parts, "part.rows", "row_index", "cells", *keys, "page_index", F.col("part_index").alias("table_index"))
+    return exploded(rows, "cells", "column_index", "cell", *keys, "page_index", "table_index", "row_index")

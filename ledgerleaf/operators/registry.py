@@ -138,18 +138,31 @@ def register_results(documents: DataFrame, results: DataFrame, incoming: DataFra
     """Judge incoming results (document_id, arrival, payload) against the registry.
 
     Adds outcome (201 registered, 400 with a reason, 404 no such document, 409 there is a result already), and what
-    is stored. Of several good results for a document the first arrival wins. The rows of one document compete by
-    their least arrival, found by an aggregate that combines before the shuffle, so a document with very many
-    incoming results gathers nowhere.
+    is stored. Of several good results for a document the first arrival wins, a null one being last; of equal arrivals
+    the payload with the smallest SHA-256; of rows equal in both any one. The rows of one document compete by an
+    aggregate that combines before the shuffle, and equal rows in two steps, first among those of a partition, so a
+    document with very many incoming results gathers nowhere.
     """
     reason, stored = check_result_payload(F.col("payload"))
     judged = incoming.withColumn("reason", reason).withColumn("stored", F.when(F.col("reason").isNull(), stored))
     known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("known")).dropDuplicates(["document_id"])
     taken = results.select("document_id", F.lit(True).alias("taken")).distinct()
-    first = judged.where("reason is null").groupBy("document_id").agg(F.min("arrival").alias("first_arrival"))
+    judged = judged.withColumn("_rank", F.struct(F.col("arrival").isNull().alias("late"), F.col("arrival").alias("arrival"), F.sha2("payload", 256).alias("mark")))
+    first = judged.where("reason is null").groupBy("document_id").agg(F.min("_rank").alias("_first"))
     joined = judged.join(known, "document_id", "left").join(taken, "document_id", "left").join(first, "document_id", "left")
-    outcome = F.when(F.col("reason").isNotNull(), 400).when(F.col("known").isNull(), 404).when(F.col("taken").isNotNull() | (F.col("arrival") > F.col("first_arrival")), 409).otherwise(201)
-    return joined.withColumn("outcome", outcome).drop("known", "taken", "first_arrival")
+    outcome = F.when(F.col("reason").isNotNull(), 400).when(F.col("known").isNull(), 404).when(F.col("taken").isNotNull() | ~F.col("_rank").eqNullSafe(F.col("_first")), 409).otherwise(201)
+    told = joined.withColumn("outcome", outcome).drop("known", "taken", "_first", "_rank")
+    return told.where("outcome <> 201").unionByName(_one_of_equals(told.where("outcome = 201")))
+
+
+def _one_of_equals(best: DataFrame) -> DataFrame:
+    """Keep one 201 of each document's equal rows and make the others 409."""
+    part = Window.partitionBy("document_id", "_part").orderBy("_part")
+    whole = Window.partitionBy("document_id", "_rest").orderBy("_part")
+    best = best.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.row_number().over(part))
+    # What is first in its partition meets in group 0; the others stay with their partition.
+    best = best.withColumn("_rest", F.when(F.col("_nth") == 1, 0).otherwise(F.col("_part") + 1)).withColumn("_nth", F.row_number().over(whole))
+    return best.withColumn("outcome", F.when((F.col("_rest") == 0) & (F.col("_nth") == 1), 201).otherwise(409)).drop("_part", "_nth", "_rest")
 
 
 def stored_results(registered: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -159,8 +172,12 @@ def stored_results(registered: DataFrame, created_at: Column | None = None) -> D
 
 
 def apply_status(documents: DataFrame, registered: DataFrame, processed_at: Column | None = None) -> DataFrame:
-    """Documents after registration: Processed if valid, NeedsReview otherwise; type and time are set."""
-    new = registered.where("outcome = 201").select(F.col("document_id").alias("_id"), F.col("stored.document_type").alias("_type"), F.col("stored.validation_status").alias("_status"))
+    """Documents after registration: Processed if valid, NeedsReview otherwise; type and time are set.
+
+    Every document stays one row, even if ``registered`` tells of several results for it: then the least of them counts.
+    """
+    told = F.struct(F.col("stored.document_type").alias("_type"), F.col("stored.validation_status").alias("_status"))
+    new = registered.where("outcome = 201").groupBy(F.col("document_id").alias("_id")).agg(F.min(told).alias("_told")).select("_id", "_told.*")
     joined = documents.join(new, documents.id == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
     status = F.when(hit, F.when(F.col("_status") == "Valid", "Processed").otherwise("NeedsReview")).otherwise(F.col("status"))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import canonical, text
+from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
 from ledgerleaf.operators.jsonschema import SchemaRequest, is_text_identifier, json_errors, kind
 
 #: How each style of backend is called, and the request limits.
 BACKENDS = {"openai": "openai_responses_v1", "groq": "groq_chat_completions_v1"}
 MAX_REQUEST_BYTES, MAX_MODEL, MAX_DOCUMENT_NAME = 1_048_576, 200, 256
+SCHEMA_MEMBERS = ("name", "version", "schema")
 REQUEST_MEMBERS = ("schemaVersion", "rawDocument", "schemaRequest", "provider", "model", "documentName")
 
 
@@ -81,19 +83,29 @@ def model_input(df: DataFrame) -> DataFrame:
 
 
 def response_envelope(df: DataFrame) -> DataFrame:
-    """document_id and the JSON response of every document with a result."""
-    body = F.struct(F.lit(1).alias("schemaVersion"), normalized_struct().alias("normalizedDocument"), F.col("result").alias("structuredResult"))
-    return df.where(F.col("result").isNotNull()).select("document_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+    """document_id and the JSON response of every document with a result: its data and its errors as JSON, unchanged."""
+    whole = {"ignoreNullFields": "false"}
+    r = F.col("result")
+    inner = lambda c: F.regexp_replace(F.to_json(c, whole), r"^\{|\}$", "")
+    check = r["validation"]["checks"]["json_schema"]
+    checked = F.concat(F.lit("{"), inner(F.struct(check["status"].alias("status"), check["message"].alias("message"))), F.lit(',"details":{"errors":'), check["details"]["errors"], F.lit("}}"))
+    validation = F.concat(F.lit('{"status":'), F.concat(F.lit('"'), r["validation"]["status"], F.lit('"')), F.lit(',"checks":{"json_schema":'), checked, F.lit('},"confidence":'), r["validation"]["confidence"].cast("string"), F.lit("}"))
+    result = F.concat(F.lit("{"), inner(F.struct(r["engine"].alias("engine"), r["document_type"].alias("document_type"))), F.lit(',"data":'), r["data"], F.lit(","), inner(F.struct(r["confidence"].alias("confidence"), r["validation_status"].alias("validation_status"))), F.lit(',"validation":'), validation, F.lit("}"))
+    body = F.concat(F.lit('{"schemaVersion":1,"normalizedDocument":'), canonical.canonical_json(normalized_struct()), F.lit(',"structuredResult":'), result, F.lit("}"))
+    return df.where(r.isNotNull()).select("document_id", body.alias("response"))
 
 
 def check_evidence_ids(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows of ``evidence`` (document_id, segment_id, ...) that name no segment of their document."""
-    known = docs.select("document_id", F.explode("segments.segment_id").alias("segment_id"))
+    known = exploded(docs, "segments.segment_id", "_at", "segment_id", "document_id").drop("_at")
     return evidence.join(known, ["document_id", "segment_id"], "left_anti")
 
 
 def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``outcome`` to rows of JSON request bodies: too_large, invalid_request or accepted."""
+    """Add ``outcome`` to rows of JSON request bodies: too_large, invalid_request or accepted.
+
+    Of the JSON Schema inside a body only the root's type is checked; ``schema_request`` checks all of a schema.
+    """
     v = F.try_parse_json(F.col(body))
     got = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
     string = lambda k: F.when(kind(got(k)) == "string", F.try_variant_get(v, f"$.{k}", "string"))
@@ -102,6 +114,8 @@ def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     unknown = F.size(F.array_except(F.map_keys(v.cast("map<string,variant>")), F.array(*map(F.lit, REQUEST_MEMBERS)))) > 0
     schema_root = F.try_variant_get(v, "$.schemaRequest.schema.type", "string")
     version = F.try_variant_get(v, "$.schemaRequest.version", "variant")
+    asked = F.when(kind(got("schemaRequest")) == "object", F.map_keys(got("schemaRequest").cast("map<string,variant>")))
+    strange = F.coalesce(F.size(F.array_except(asked, F.array(*map(F.lit, SCHEMA_MEMBERS)))) > 0, F.lit(True))
     ok = (
         (kind(v) == "object")
         & ~unknown
@@ -113,6 +127,7 @@ def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:
         & (F.coalesce(F.length(string("documentName")), F.lit(0)) <= MAX_DOCUMENT_NAME)
         & (kind(got("rawDocument")) == "object")
         & (F.size(D.unknown_fields(raw)) == 0)
+        & ~strange
         & (schema_root == "object")
         & (kind(version) == "integer")
         & (F.try_variant_get(version, "$", "double") > 0)

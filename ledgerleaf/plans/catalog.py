@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.plans import quotations, transcripts, validation
+from ledgerleaf.plans import artifacts, details, quotations, transcripts, validation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (transcripts, quotations, validation):
+for _module in (transcripts, quotations, validation, artifacts, details):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import layout as L
 from ledgerleaf.operators import quotation as Q
 from ledgerleaf.operators import reconcile as R
@@ -112,7 +113,8 @@ def quotation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items extracted from the layouts, one row each."""
-    return Q.extract_quotations(quotation_layouts(spark, sf_dir)).select("quotation", F.posexplode("items").alias("at", "item")).select("quotation", (F.col("at") + 1).alias("line"), "item.*")
+    items = exploded(Q.extract_quotations(quotation_layouts(spark, sf_dir)), "items", "at", "item", "quotation")
+    return items.select("quotation", (F.col("at") + 1).alias("line"), "item.*")
 
 
 def layout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

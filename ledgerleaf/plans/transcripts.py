@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
+from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
 
 
@@ -53,7 +54,7 @@ def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document, stripped and numbered."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_lines(F.col("text"))).alias("at", "line"))
+    docs = exploded(table(spark, sf_dir, "documents"), text.split_lines(F.col("text")), "at", "line", "doc_id")
     line = text.optional_text(F.col("line"))
     return docs.select("doc_id", (F.col("at") + 1).alias("line_number"), line.alias("line")).where(F.col("line").isNotNull()).select("doc_id", "line_number", F.sha2("line", 256).alias("line_sha256"))
 

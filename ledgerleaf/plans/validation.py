@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
 from ledgerleaf.operators import jsonschema as J
 from ledgerleaf.operators import registry as G
 from ledgerleaf.operators import results as X
 from ledgerleaf.plans.transcripts import distinct_turns, document_ctes, table, transcripts
 
-EVENT_REQUEST = J.SchemaRequest("event props", 1, {"type": "object", "additionalProperties": False, "required": ["k", "source"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}}})
-LABEL_REQUEST = J.SchemaRequest("label", 1, {"type": "object", "additionalProperties": False, "required": ["category", "score"], "properties": {"category": {"type": "string", "enum": ["good", "bad"]}, "score": {"type": "number", "exclusiveMinimum": 0}}})
+def event_request() -> J.SchemaRequest:
+    return J.schema_request("event props", 1, {"type": "object", "additionalProperties": False, "required": ["k", "source"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}}})
+
+
+def label_request() -> J.SchemaRequest:
+    return J.schema_request("label", 1, {"type": "object", "additionalProperties": False, "required": ["category", "score"], "properties": {"category": {"type": "string", "enum": ["good", "bad"]}, "score": {"type": "number", "exclusiveMinimum": 0}}})
 
 
 def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every schema error of the events' properties."""
-    done = J.validate_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", EVENT_REQUEST)
-    return done.select("event_id", F.explode("schema_errors").alias("e")).select("event_id", "e.path", "e.schema_path", "e.validator")
+    done = J.validate_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", event_request())
+    return exploded(done, "schema_errors", "at", "e", "event_id").select("event_id", "e.path", "e.schema_path", "e.validator")
 
 
 def schema_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema errors of the events' properties, counted."""
-    return J.schema_error_summary(J.validate_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", EVENT_REQUEST))
+    return J.schema_error_summary(J.validate_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", event_request()))
 
 
 def backend_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +58,13 @@ def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its backend output: a result that fits the schema or not, or a failure."""
-    done = X.extract_with_results(_labelled_documents(spark, sf_dir), backend_outputs(spark, sf_dir).drop("doc_id"), LABEL_REQUEST)
+    done = X.extract_with_results(_labelled_documents(spark, sf_dir), backend_outputs(spark, sf_dir).drop("doc_id"), label_request())
     return done.select("doc_id", "failure", "result.engine", "result.document_type", "result.data", "result.confidence", "result.validation_status", F.size("schema_errors").alias("n_errors"))
 
 
 def extraction_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents end in each outcome."""
-    done = X.extract_with_results(_labelled_documents(spark, sf_dir), backend_outputs(spark, sf_dir).drop("doc_id"), LABEL_REQUEST)
+    done = X.extract_with_results(_labelled_documents(spark, sf_dir), backend_outputs(spark, sf_dir).drop("doc_id"), label_request())
     return X.outcome_of(done).groupBy("outcome", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -71,7 +76,7 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unknown_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence that names no segment: a copied id in conversations 0 modulo 4 is changed."""
     good = D.split_valid(transcripts(spark, sf_dir))[0]
-    cited = good.select("conv_id", "document_id", F.inline("segments"))
+    cited = exploded(good, "segments", "at", "s", "conv_id", "document_id").select("conv_id", "document_id", "s.*")
     ident = F.when(F.col("conv_id") % 4 == 0, F.concat("segment_id", F.lit("x"))).otherwise(F.col("segment_id"))
     return X.check_evidence_ids(good, cited.select("document_id", ident.alias("segment_id"), "sequence"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ledgerleaf.functions.nested import exploded
 
 
 def write_documents(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -18,7 +19,7 @@ def write_artifacts(normalized: DataFrame, structured: DataFrame, root: str, fmt
 
 def flat_items(quotations: DataFrame, *keys: str) -> DataFrame:
     """One row an item, beside the quotation's columns ``keys``."""
-    return quotations.select(*keys, F.inline("items"))
+    return exploded(quotations, "items", "_at", "_item", *keys).select(*keys, "_item.*")
 
 
 def export_items(quotations: DataFrame, path: str, *keys: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
