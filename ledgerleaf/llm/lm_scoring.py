@@ -40,7 +40,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.shared import lower_ascii, mix, shared_folder, text_chunks, word_hashes, written
+from ledgerleaf.llm.shared import lower_ascii, mix, text_chunks, word_hashes, written
+from ledgerleaf.sources.scratch import new_folder
 
 END, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PAIRS_A_SHARD, WORDS_A_SHARD = 2_000_000, 1_000_000
@@ -327,7 +328,7 @@ def signed(x: np.uint64) -> int:
 def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs`` (text)."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "lm")
     words = written(_count_words(docs), f"{folder}/counted")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("v")).first()
     texts = words.where(F.col("word") == signed(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]

@@ -3,12 +3,14 @@
 Reading: every scan of a progressive image (spectral selection and successive approximation, DC and AC, first and
 refining, interleaved or not, with or without restarts) is accumulated into one coefficient array per component; then
 numpy dequantises, applies the inverse cosine transform as one matrix product, upsamples chroma to full resolution
-and converts to RGB. Scans whose Huffman table has a single one-bit code have a fixed stride and are read as arrays;
-all others go through the bit-serial reader, with equal results.
+and converts to RGB. A first scan of one component depends on no other, and its restart intervals on none of each
+other: those of all images of a batch are Huffman-decoded side by side, a symbol of each in every numpy step. Few
+intervals, interleaved scans and refining scans with zeros go through the bit-serial reader, with equal results.
 
 Storing: a cosine transform rounds samples, so the format's lossless unit is the quantised coefficient, and a payload
-is stored as such: 64 bytes are the 64 coefficients of a block, high seven bits in the first scans, the last bit in
-the refining ones. Y, Cb and Cr (4:2:0) take the blocks in turn. Any progressive decoder can show these files.
+is stored as such: 64 bytes are the 64 coefficients of a block, all but the last bit in the first scans, entropy-coded
+with restarts, the last bit in the refining ones. Y, Cb and Cr (4:2:0) take the blocks in turn. Any progressive
+decoder can show these files.
 
 Defined results: a null or empty payload is 64 zero bytes; bytes that are no progressive JPEG give nulls when
 ``strict`` is off and raise otherwise. Repeated rows each get their row; equal payloads give equal files. An image grows
@@ -21,8 +23,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ BANDS = ((1, 5), (6, 63))
 ACROSS, MOST_UNITS = 64, 65535 // 16
 #: Media that are read before their rows are handed on: images or bytes.
 HELD_IMAGES, HELD_BYTES = 256, 4 << 20
+#: Blocks that one end-of-band run holds at most; restart intervals from which on reading side by side is faster than one after another.
+MOST_RUN, FEW_LANES = 32767, 12
 
 
 def zigzag_order() -> np.ndarray:
@@ -67,6 +72,7 @@ class Component:
     wide: int = 0
     tall: int = 0
     coefficients: np.ndarray | None = None
+    blocks: np.ndarray | None = None  # those that its own scans have
 
 
 @dataclass
@@ -106,44 +112,143 @@ class Bits:
         return value if not size or value >= 1 << (size - 1) else value - (1 << size) + 1
 
 
+_MARKER, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7]"), re.compile(rb"\xff[\xd0-\xd7]")
+
+
 def _intervals(data: bytes, start: int) -> tuple[list[bytes], int]:
     """Entropy-coded restart intervals from ``start``, unstuffed, and where the next marker stands."""
-    out, lo, at = [], start, start
-    while True:
-        at = data.find(b"\xff", at)
-        if at < 0 or at + 1 >= len(data):
-            raise ValueError("the scan has no end")
-        follows = data[at + 1]
-        if follows == 0:
-            at += 2
-        elif 0xD0 <= follows <= 0xD7:
-            out.append(data[lo:at])
-            lo = at = at + 2
-        else:
-            out.append(data[lo:at])
-            return [x.replace(b"\xff\x00", b"\xff") for x in out], at
+    found = _MARKER.search(data, start)
+    if not found:
+        raise ValueError("the scan has no end")
+    return [x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(data[start : found.start()])], found.start()
 
 
-def _single_code(codes: dict[tuple[int, int], int]) -> int | None:
-    return codes[(1, 0)] if len(codes) == 1 and (1, 0) in codes else None
+@lru_cache(64)
+def _lookup(codes: tuple[tuple[int, int, int], ...]) -> np.ndarray:
+    """For every 16 bits the length and the symbol (length << 8 | symbol) of the code that they begin with; 0 for none."""
+    out = np.zeros(1 << 16, np.uint16)
+    for length, code, symbol in codes:
+        out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+    return out
 
 
-def _fixed_fields(data: bytes, rows: int, widths: tuple[int, ...], times: int) -> np.ndarray | None:
-    """rows x times numbers behind a leading zero bit each (widths: 1, size); None if the data doesn't hold them."""
-    per = sum(widths)
-    if len(data) * 8 < rows * times * per:
-        return None
-    if per == 8:
-        values = np.frombuffer(data, np.uint8, rows * times).reshape(rows, times)
-        return None if (values & 0x80).any() else values.astype(np.int32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=rows * times * per).reshape(rows, times, per)
-    if bits[:, :, 0].any():
-        return None
-    return bits[:, :, 1:].astype(np.int32) @ (1 << np.arange(per - 2, -1, -1, dtype=np.int32))
-
+@dataclass
+class FirstScan:
+    """A first scan of one component: its restart intervals, code, coefficients, blocks, band and shift."""
+
+    intervals: list[bytes]
+    codes: dict[tuple[int, int], int]
+    comp: Component
+    blocks: np.ndarray
+    first: int
+    last: int
+    low: int
+    step: int
+
+
+class Lanes:
+    """Restart intervals of any scans and images, read side by side: each step takes one symbol of every interval."""
+
+    def __init__(self, scans: list[FirstScan]) -> None:
+        pieces, owner, start, count, place = [], [], [], [], 0
+        for k, scan in enumerate(scans):
+            for i, piece in enumerate(scan.intervals):
+                n = len(scan.blocks[i * scan.step : (i + 1) * scan.step])
+                if n:
+                    pieces.append(piece)
+                    owner.append(k)
+                    start.append(place + i * scan.step)
+                    count.append(n)
+            place += len(scan.blocks)
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        data = np.frombuffer(b"".join(x + bytes(4) for x in pieces) + bytes(4), np.uint8).astype(np.uint32)
+        self.words = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        begin = np.cumsum(sizes + 4) - sizes - 4
+        self.at, self.end = begin * 8, (begin + sizes) * 8
+        self.owner, self.scans = np.array(owner, np.int64), scans
+        tables: dict[tuple, int] = {}
+        of_scan = [tables.setdefault(tuple((n, c, v) for (n, c), v in scan.codes.items()), len(tables)) for scan in scans]
+        self.symbols = np.concatenate([_lookup(t) for t in tables])
+        self.table = np.array(of_scan, np.int64)[self.owner] << 16
+        # Blocks as places in one array of all scans' coefficients.
+        bases = np.cumsum([0, *(scan.comp.coefficients.size for scan in scans)])
+        self.blocks = np.concatenate([scan.blocks * BLOCK + base for scan, base in zip(scans, bases, strict=False)])
+        self.block, self.stop = np.array(start, np.int64), np.array(start, np.int64) + np.array(count, np.int64)
+        self.out = np.zeros(bases[-1], np.int32)
+        self.bases = bases
+        self.broken = np.zeros(len(scans), bool)
+
+    def bits(self, at: np.ndarray) -> np.ndarray:
+        """The next 16 bits."""
+        return self.words[at >> 3] >> (8 - (at & 7)).astype(np.uint32) & 0xFFFF
+
+    def keep(self, chosen: np.ndarray) -> None:
+        for name in ("at", "end", "owner", "table", "block", "stop"):
+            setattr(self, name, getattr(self, name)[chosen])
+
+    def symbol(self) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, whether it could be read) of every interval, and move on; those that can't be read end."""
+        found = self.symbols[self.table + self.bits(self.at)]
+        self.at = self.at + (found >> 8)
+        return (found & 255).astype(np.int64), (found > 0) & (self.at <= self.end)
+
+    def number(self, size: np.ndarray) -> np.ndarray:
+        """The next ``size`` bits of each as a number, and move on."""
+        value = (self.bits(self.at) >> (16 - size).astype(np.uint32)).astype(np.int64)
+        self.at = self.at + size
+        return value
 
-def _signed(values: np.ndarray, size: int) -> np.ndarray:
-    return np.where(values < 1 << (size - 1), values - (1 << size) + 1, values)
+    def finish(self) -> np.ndarray:
+        """Put what was read into the components; for each scan whether it was broken."""
+        for k, scan in enumerate(self.scans):
+            if not self.broken[k]:
+                band = slice(scan.first, scan.last + 1)
+                scan.comp.coefficients[scan.blocks, band] = self.out[self.bases[k] : self.bases[k + 1]].reshape(-1, BLOCK)[scan.blocks, band]
+        return self.broken
+
+    def read_dc(self) -> np.ndarray:
+        low = np.array([scan.low for scan in self.scans])[self.owner]
+        before = np.zeros(len(self.at), np.int64)
+        while len(self.at):
+            size, good = self.symbol()
+            good &= size <= 15
+            size = np.where(good, size, 0)
+            value = self.number(size)
+            before = before + np.where((size > 0) & (value < 1 << np.maximum(size - 1, 0)), value - (1 << size) + 1, value)
+            self.broken[self.owner[~good | (self.at > self.end)]] = True
+            self.out[self.blocks[self.block]] = before << low
+            self.block = self.block + 1
+            going = good & (self.block < self.stop)
+            if not going.all():
+                before, low = before[going], low[going]
+                self.keep(going)
+        return self.finish()
+
+    def read_ac(self) -> np.ndarray:
+        first, last, low = (np.array([getattr(scan, name) for scan in self.scans])[self.owner] for name in ("first", "last", "low"))
+        k = first
+        while len(self.at):
+            symbol, good = self.symbol()
+            run, size = symbol >> 4, symbol & 15
+            some = size > 0
+            ends = ~some & (run < 15)
+            value = self.number(np.where(some, size, np.where(ends, run, 0)))
+            k = k + np.where(ends, 0, run)
+            good &= (k <= last) | ends
+            negative = value < 1 << np.maximum(size - 1, 0)
+            whole = np.where(negative, -(((1 << size) - 1 - value) << low), value << low)
+            here = some & good
+            self.out[self.blocks[self.block[here]] + k[here]] = whole[here]
+            k = k + 1
+            full = ends | (k > last)
+            self.block = self.block + np.where(ends, (1 << run) + value, full)
+            k = np.where(full, first, k)
+            self.broken[self.owner[~good | (self.at > self.end)]] = True
+            going = good & (self.block < self.stop)
+            if not going.all():
+                k, first, last, low = k[going], first[going], last[going], low[going]
+                self.keep(going)
+        return self.finish()
 
 
 class Decoder:
@@ -152,8 +257,12 @@ class Decoder:
         self.dc: dict[int, dict] = {}
         self.ac: dict[int, dict] = {}
         self.every = 0
+        self.firsts: list[FirstScan] = []
+        self.later: list[Callable[[], None]] = []
 
     def read(self) -> Image:
+        """Take in all segments. First scans of one component wait in ``firsts``, as they depend on no other scan; the
+        others wait in ``later``, in order, until these are read."""
         data, at = self.data, 2
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
@@ -216,6 +325,7 @@ class Decoder:
             c.across, c.down = -(-(-(-im.width * c.h // most_h)) // 8), -(-(-(-im.height * c.v // most_v)) // 8)
             c.wide, c.tall = mcus_x * c.h, mcus_y * c.v
             c.coefficients = np.zeros((c.tall * c.wide, BLOCK), np.int32)
+            c.blocks = (np.arange(c.down)[:, None] * c.wide + np.arange(c.across)).ravel()
 
     def _scan(self, body: bytes, start: int) -> int:
         parts = []
@@ -231,63 +341,56 @@ class Decoder:
             for m in range((parts[0][0].wide // parts[0][0].h) * (parts[0][0].tall // parts[0][0].v)):
                 y, x = divmod(m, im.components[0].wide // im.components[0].h)
                 units.append([(k, (y * c.v + j) * c.wide + x * c.h + i) for k, (c, _, _) in enumerate(parts) for j in range(c.v) for i in range(c.h)])
-            self._dc_serial(parts, units, intervals, high, low)
+            every = self.every
+            self.later.append(lambda: self._dc_serial(parts, units, intervals, high, low, every))
             return end
         comp, dc, ac = parts[0]
-        blocks = (np.arange(comp.down)[:, None] * comp.wide + np.arange(comp.across)).ravel()
-        if first == 0:
-            if not self._dc_fixed(comp, dc, blocks, intervals, high, low):
-                self._dc_serial(parts, [[(0, b)] for b in blocks.tolist()], intervals, high, low)
-        elif not self._ac_fixed(comp, ac, blocks, intervals, first, last, high, low):
-            step = self.every or len(blocks)
-            for i, piece in enumerate(intervals):
-                (self._ac_refine if high else self._ac_first)(comp, ac, blocks[i * step : (i + 1) * step].tolist(), Bits(piece), first, last, low)
+        blocks = comp.blocks
+        every = self.every or len(blocks)
+        if not high:
+            self.firsts.append(FirstScan(intervals, (ac if first else dc) or {}, comp, blocks, first, last, low, every))
+        elif not first:
+            self.later.append(lambda: self._dc_refine(comp, blocks, intervals, low, every))
+        else:
+            self.later.append(lambda: self._refined(comp, ac, blocks, intervals, first, last, low, every))
         return end
 
-    def _dc_fixed(self, comp: Component, codes: dict | None, blocks: np.ndarray, intervals: list[bytes], high: int, low: int) -> bool:
-        out = comp.coefficients[:, 0]
-        if high:
-            if len(intervals) > 1:
-                return False
-            out[blocks] |= np.unpackbits(np.frombuffer(intervals[0], np.uint8), count=len(blocks)).astype(np.int32) << low
-            return True
-        size = _single_code(codes or {})
-        if not size or self.every > 1:
-            return False
-        raw = b"".join(intervals)
-        if self.every and (size != 7 or len(raw) != len(blocks)):
-            return False
-        values = _fixed_fields(raw, len(blocks), (1, size), 1)
-        if values is None:
-            return False
-        values = _signed(values[:, 0], size)
-        out[blocks] = (values if self.every else np.cumsum(values)) << low
-        return True
+    def read_serially(self, scan: FirstScan) -> None:
+        """A first scan bit by bit."""
+        for i, piece in enumerate(scan.intervals):
+            blocks = scan.blocks[i * scan.step : (i + 1) * scan.step].tolist()
+            if scan.first:
+                self._ac_first(scan.comp, scan.codes, blocks, Bits(piece), scan.first, scan.last, scan.low)
+            else:
+                self._dc_serial([(scan.comp, scan.codes, None)], [[(0, b)] for b in blocks], [piece], 0, scan.low, 0)
 
-    def _ac_fixed(self, comp: Component, codes: dict | None, blocks: np.ndarray, intervals: list[bytes], first: int, last: int, high: int, low: int) -> bool:
-        only = _single_code(codes or {})
-        if only is None or len(intervals) > 1:
-            return False
+    def _dc_refine(self, comp: Component, blocks: np.ndarray, intervals: list[bytes], low: int, every: int) -> None:
+        for i, piece in enumerate(intervals):
+            part = blocks[i * every : (i + 1) * every]
+            comp.coefficients[part, 0] |= np.unpackbits(np.frombuffer(piece, np.uint8), count=len(part)).astype(np.int32) << low
+
+    def _refined(self, comp: Component, codes: dict, blocks: np.ndarray, intervals: list[bytes], first: int, last: int, low: int, every: int) -> None:
+        for i, piece in enumerate(intervals):
+            part = blocks[i * every : (i + 1) * every]
+            if not self._ac_all(comp, codes, part, piece, first, last, low):
+                self._ac_refine(comp, codes, part.tolist(), Bits(piece), first, last, low)
+
+    def _ac_all(self, comp: Component, codes: dict, blocks: np.ndarray, data: bytes, first: int, last: int, low: int) -> bool:
+        """Refine bands without a zero whose blocks end in one run: the run's code, then a bit a coefficient."""
+        bits = Bits(data[:8])
+        run, size = divmod(bits.symbol(codes), 16)
         n = last - first + 1
-        if not high:
-            if only >> 4 or not only:
-                return False
-            values = _fixed_fields(intervals[0], len(blocks), (1, only), n)
-            if values is None:
-                return False
-            comp.coefficients[blocks, first : last + 1] = _signed(values, only) << low
-            return True
-        if only or len(intervals[0]) * 8 < len(blocks) * (n + 1):
+        if size or run == 15 or (1 << run) + bits.take(run) != len(blocks):
             return False
         band = comp.coefficients[blocks, first : last + 1]
-        bits = np.unpackbits(np.frombuffer(intervals[0], np.uint8), count=len(blocks) * (n + 1)).reshape(len(blocks), n + 1)
-        if bits[:, 0].any() or not band.all():
+        if not band.all():
             return False
-        comp.coefficients[blocks, first : last + 1] = band + np.sign(band) * (bits[:, 1:].astype(np.int32) << low)
+        more = np.unpackbits(np.frombuffer(data, np.uint8), count=bits.at + len(blocks) * n)[bits.at :].reshape(len(blocks), n)
+        comp.coefficients[blocks, first : last + 1] = band + np.sign(band) * (more.astype(np.int32) << low)
         return True
 
-    def _dc_serial(self, parts: list, units: list[list[tuple[int, int]]], intervals: list[bytes], high: int, low: int) -> None:
-        step = self.every or len(units)
+    def _dc_serial(self, parts: list, units: list[list[tuple[int, int]]], intervals: list[bytes], high: int, low: int, every: int) -> None:
+        step = every or len(units)
         for i, piece in enumerate(intervals):
             bits, before = Bits(piece), [0] * len(parts)
             for unit in units[i * step : (i + 1) * step]:
@@ -353,9 +456,50 @@ class Decoder:
                 skip -= 1
 
 
+def read_many(files: list[bytes], strict: bool = True) -> list[Image | None]:
+    """All scans of progressive JPEGs, accumulated into their components' coefficients (zigzag order).
+
+    A file that is broken raises, or is None if not ``strict``.
+    """
+    faults = (ValueError, IndexError, KeyError, StopIteration, TypeError, struct.error)
+    out: list[Image | None] = []
+    decoders = []
+    for data in files:
+        decoder = Decoder(data)
+        try:
+            decoder.read()
+        except faults as fault:
+            if strict:
+                raise ValueError("no readable progressive JPEG") from fault
+            decoder.image = None
+        decoders.append(decoder)
+    good = [d for d in decoders if d.image]
+    bad: set[int] = set()
+    for wanted, read in ((lambda f: not f.first, Lanes.read_dc), (lambda f: f.first, Lanes.read_ac)):
+        scans = [(i, f) for i, d in enumerate(good) for f in d.firsts if wanted(f)]
+        if sum(len(f.intervals) for _, f in scans) >= FEW_LANES:
+            bad |= {i for (i, _), broken in zip(scans, read(Lanes([f for _, f in scans])), strict=True) if broken}
+        else:
+            for i, f in scans:
+                try:
+                    good[i].read_serially(f)
+                except faults:
+                    bad.add(i)
+    for i, decoder in enumerate(good):
+        try:
+            if i in bad:
+                raise ValueError("a scan is broken")
+            for scan in decoder.later:
+                scan()
+        except faults as fault:
+            if strict:
+                raise ValueError("no readable progressive JPEG") from fault
+            decoder.image = None
+    return [d.image for d in decoders]
+
+
 def read_progressive(data: bytes) -> Image:
-    """All scans of a progressive JPEG, accumulated into its components' coefficients (zigzag order)."""
-    return Decoder(data).read()
+    return read_many([data])[0]
 
 
 def to_rgb(im: Image) -> np.ndarray:
@@ -365,7 +509,7 @@ def to_rgb(im: Image) -> np.ndarray:
     for c in im.components:
         samples = (c.coefficients * im.quant[c.quant]).astype(np.float32) @ INVERSE
         plane = samples.reshape(c.tall, c.wide, 8, 8).swapaxes(1, 2).reshape(c.tall * 8, c.wide * 8)
-        plane = np.clip(np.rint(plane) + 128, 0, 255)
+        plane = np.clip(np.rint(plane, out=plane) + 128, 0, 255)
         if most_v > c.v:
             plane = plane.repeat(most_v // c.v, 0)
         if most_h > c.h:
@@ -374,61 +518,132 @@ def to_rgb(im: Image) -> np.ndarray:
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
     y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = np.empty((im.height, im.width, 3), np.float32)
-    rgb[:, :, 0] = y + 1.402 * cr
-    rgb[:, :, 1] = y - 0.344136 * cb - 0.714136 * cr
-    rgb[:, :, 2] = y + 1.772 * cb
-    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+    rgb = np.empty((im.height, im.width, 3), np.uint8)
+    for i, plane in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
+        rgb[:, :, i] = np.clip(np.rint(plane, out=plane), 0, 255, out=plane)
+    return rgb
 
 
 def _segment(kind: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
 
 
-def _one_code(kind: int, symbol: int) -> bytes:
-    return _segment(0xC4, bytes([kind << 4, 1, *[0] * 15, symbol]))
+def _code(kind: int, by_length: dict[int, tuple[int, ...]]) -> tuple[bytes, dict[int, tuple[int, int]]]:
+    """The segment of a Huffman code given as the symbols of each length, and (code, length) of each symbol."""
+    counts = bytes(len(by_length.get(n, ())) for n in range(1, 17))
+    code, out = 0, {}
+    for n in range(1, 17):
+        for symbol in by_length.get(n, ()):
+            out[symbol] = code, n
+            code += 1
+        code <<= 1
+    return _segment(0xC4, bytes([kind << 4]) + counts + bytes(v for n in sorted(by_length) for v in by_length[n])), out
 
 
 def _start(ident: int, first: int, last: int, high: int, low: int) -> bytes:
     return _segment(0xDA, bytes([1, ident, 0, first, last, high << 4 | low]))
 
 
-_RESTARTS = np.arange(0xD0, 0xD8, dtype=np.uint8)
 _QUANT = _segment(0xDB, bytes([0, *[1] * 64]))
-_SEVEN_BITS = _one_code(0, 7) + _one_code(1, 7)
-_NO_MORE = _one_code(1, 0)
-_EACH, _NEVER = _segment(0xDD, b"\x00\x01"), _segment(0xDD, b"\x00\x00")
+_SAMPLED = b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(SAMPLING))
+#: Blocks a restart interval of the first scans; the others have none.
+STEP = 8
+#: Sizes of numbers by the length of their code, the commonest in texts first; a refining scan has one run of blocks.
+_DC_TABLE, _DC_CODES = _code(0, {3: (3, 4, 5, 6, 7, 2), 4: (1, 0), 5: (8,)})
+_AC_TABLE, _AC_CODES = _code(1, {2: (4, 6, 5), 3: (3,), 4: (2,), 5: (1,), 6: (7,)})
+_RUN_TABLE, _RUN_CODES = _code(1, {4: tuple(r << 4 for r in range(15))})
+_EVERY, _NEVER = _segment(0xDD, struct.pack(">H", STEP)), _segment(0xDD, b"\x00\x00")
+
+
+def _by_size(codes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([codes.get(n, (0, 0))[0] for n in range(9)], np.uint32), np.array([codes.get(n, (0, 0))[1] for n in range(9)], np.int64)
+
+
+_DC_BY_SIZE, _AC_BY_SIZE = _by_size(_DC_CODES), _by_size(_AC_CODES)
+_SIZE_OF = np.array([int(i).bit_length() for i in range(256)], np.int64)
+
+
+def _coded(values: np.ndarray, by_size: tuple[np.ndarray, np.ndarray], intervals: np.ndarray) -> list[bytes]:
+    """Rows of numbers, each as its size's code and its bits; rows of an interval (their first rows given) end on a
+    whole byte, filled with ones."""
+    size = _SIZE_OF[np.abs(values)]
+    code, length = by_size[0][size], by_size[1][size] + size
+    low = (values + np.where(values < 0, (1 << size) - 1, 0)).astype(np.uint32)
+    total = np.add.reduceat(length.sum(1), intervals)
+    fill = -total % 8
+    # One column more, empty but in an interval's last row, where it is the filling.
+    rows = np.append(intervals[1:], len(values)) - 1
+    wide, whole = np.zeros((len(values), values.shape[1] + 1), np.int64), np.zeros((len(values), values.shape[1] + 1), np.uint32)
+    wide[:, :-1], whole[:, :-1] = length, code << size.astype(np.uint32) | low
+    wide[rows, -1], whole[rows, -1] = fill, (1 << fill) - 1
+    left = (whole.ravel() << (16 - wide.ravel()).astype(np.uint32)).astype(">u2").view(np.uint8)
+    bits = np.unpackbits(left).reshape(-1, 16)[np.arange(16) < wide.reshape(-1, 1)]
+    data, ends = np.packbits(bits).tobytes(), np.cumsum(total + fill) // 8
+    return [data[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _with_restarts(pieces: list[bytes]) -> bytes:
+    return b"".join(x if i == 0 else bytes([0xFF, 0xD0 + (i - 1) % 8]) + x for i, x in enumerate(pieces))
 
 
 def store_payload(payload: bytes) -> bytes:
     """A progressive 4:2:0 JPEG whose coefficients are the bytes of ``payload``, a positive multiple of 64 long."""
-    n = len(payload) // BLOCK
-    if not n or len(payload) % BLOCK:
-        raise ValueError("a payload is a positive multiple of 64 bytes")
-    mcus = -(-n // 6)
-    down = -(-mcus // max(ACROSS, -(-mcus // MOST_UNITS)))
-    across = -(-mcus // down)
-    if across > MOST_UNITS:
-        raise ValueError("a payload of over 6 GB is too large for one image")
-    blocks = np.zeros((across * down * 6, BLOCK), np.uint8)
-    blocks[:n] = np.frombuffer(payload, np.uint8).reshape(n, BLOCK)
-    out = [b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _QUANT, _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(SAMPLING))), _SEVEN_BITS]
-    shares = np.split(blocks, [across * down * 4, across * down * 5])
-    high = [s >> 1 for s in shares]
-    for i, h in enumerate(high, 1):
-        coded = np.full((len(h), 3), 0xFF, np.uint8)
-        coded[:, 0], coded[:, 2] = h[:, 0], np.resize(_RESTARTS, len(h))
-        out += [_EACH, _start(i, 0, 0, 0, 1), coded.tobytes()[:-2], _NEVER]
-        out += [part for first, last in BANDS for part in (_start(i, first, last, 0, 1), h[:, first : last + 1].tobytes())]
-    out.append(_NO_MORE)
-    for i, s in enumerate(shares, 1):
-        low = s & 1
-        out += [_start(i, 0, 0, 1, 0), np.packbits(low[:, 0]).tobytes().replace(b"\xff", b"\xff\x00")]
-        for first, last in BANDS:
-            bits = np.zeros((len(low), last - first + 2), np.uint8)
-            bits[:, 1:] = low[:, first : last + 1]
-            out += [_start(i, first, last, 1, 0), np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")]
-    return b"".join([*out, b"\xff\xd9"])
+    return store_many([payload])[0]
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """``store_payload`` of each, coded together: the restart intervals of all follow one another."""
+    shapes, bounds = [], [0]
+    for payload in payloads:
+        n = len(payload) // BLOCK
+        if not n or len(payload) % BLOCK:
+            raise ValueError("a payload is a positive multiple of 64 bytes")
+        units = -(-n // 6)
+        down = -(-units // max(ACROSS, -(-units // MOST_UNITS)))
+        across = -(-units // down)
+        if across > MOST_UNITS:
+            raise ValueError("a payload of over 6 GB is too large for one image")
+        shapes.append((across, down))
+        bounds += [bounds[-1] + across * down * k for k in (4, 5, 6)]
+    starts = np.array(bounds)
+    flat = b"".join(x + bytes(across * down * 6 * BLOCK - len(x)) for x, (across, down) in zip(payloads, shapes, strict=True))
+    blocks = np.frombuffer(flat, np.uint8).reshape(-1, BLOCK)
+    # No coefficient is 0 after the first scans: bytes from 128 on become 2 and more, the others -2 and less.
+    numbers = blocks.astype(np.int32) - np.where(blocks < 128, 129, 126).astype(np.int32)
+    per = -(-np.diff(starts) // STEP)  # intervals of each image's component
+    cuts = np.concatenate([[0], np.cumsum(per)])
+    intervals = np.repeat(starts[:-1], per) + (np.arange(cuts[-1]) - np.repeat(cuts[:-1], per)) * STEP
+    dc = numbers[:, 0] >> 1
+    change = np.diff(dc, prepend=0)
+    change[intervals] = dc[intervals]
+    high = np.sign(numbers) * (np.abs(numbers) >> 1)
+    parts = [(0, 0, _coded(change[:, None], _DC_BY_SIZE, intervals)), *((first, last, _coded(high[:, first : last + 1], _AC_BY_SIZE, intervals)) for first, last in BANDS)]
+    dc_low, ac_low = (numbers[:, 0] & 1).astype(np.uint8), (np.abs(numbers) & 1).astype(np.uint8)
+    files = []
+    for k, (payload, (across, down)) in enumerate(zip(payloads, shapes, strict=True)):
+        out = [b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _QUANT, _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + _SAMPLED), _DC_TABLE, _AC_TABLE, _EVERY]
+        for i in range(3):
+            lo, hi = cuts[3 * k + i], cuts[3 * k + i + 1]
+            out += [part for first, last, pieces in parts for part in (_start(i + 1, first, last, 0, 1), _with_restarts(pieces[lo:hi]))]
+        out += [_NEVER, _RUN_TABLE]
+        for i in range(3):
+            a, b = bounds[3 * k + i], bounds[3 * k + i + 1]
+            out += [_start(i + 1, 0, 0, 1, 0), np.packbits(dc_low[a:b]).tobytes().replace(b"\xff", b"\xff\x00")]
+            out += [part for first, last in BANDS for part in (_start(i + 1, first, last, 1, 0), _refining(ac_low[a:b, first : last + 1]))]
+        files.append(b"".join([*out, b"\xff\xd9"]))
+    return files
+
+
+def _refining(low: np.ndarray) -> bytes:
+    """Last bits of a band without zeros: runs of blocks, each a code and the bits of its blocks."""
+    pieces = []
+    for lo in range(0, len(low), MOST_RUN):
+        n = min(MOST_RUN, len(low) - lo)
+        run = n.bit_length() - 1
+        code, length = _RUN_CODES[run << 4]
+        lead = f"{code:0{length}b}{n - (1 << run):0{run}b}" if run else f"{code:0{length}b}"
+        pieces += [np.frombuffer(lead.encode(), np.uint8) - 48, low[lo : lo + n].ravel()]
+    return np.packbits(np.concatenate(pieces)).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def stored_payload(im: Image) -> bytes:
@@ -437,12 +652,7 @@ def stored_payload(im: Image) -> bytes:
     if size is None:
         raise ValueError("the image holds no payload")
     c = np.concatenate([x.coefficients for x in im.components])
-    magnitude = np.abs(c)
-    first = np.where(c < 0, 127 - (magnitude >> 1), magnitude >> 1)
-    low = magnitude & 1
-    first[:, 0] = np.where(c[:, 0] < 0, (c[:, 0] >> 1) + 127, c[:, 0] >> 1)
-    low[:, 0] = c[:, 0] & 1
-    return (first << 1 | low).astype(np.uint8).tobytes()[:size]
+    return (c + np.where(c < 0, 129, 126)).astype(np.uint8).tobytes()[:size]
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -452,7 +662,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 raw, at = data.tobytes(), offsets.tolist()
-                media = [store_payload(raw[a:b] + bytes(-(b - a) % BLOCK or (0 if b > a else BLOCK))) for a, b in zip(at, at[1:], strict=False)]
+                media = store_many([raw[a:b] + bytes(-(b - a) % BLOCK or (0 if b > a else BLOCK)) for a, b in zip(at, at[1:], strict=False)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -473,14 +683,10 @@ def read_media(media: DataFrame, tensors: bool = True, payloads: bool = True, st
     made = "height int, width int, means array<double>, payload binary, rgb binary"
     schema = T.StructType([chosen.schema["doc_id"], *T.StructType.fromDDL(made).fields, *(chosen.schema[c] for c in keep)])
 
-    def one(data: bytes | None) -> tuple:
-        try:
-            im = read_progressive(data or b"")
-            rgb = to_rgb(im)
-        except (ValueError, IndexError, KeyError, struct.error):
-            if strict:
-                raise
+    def one(im: Image | None) -> tuple:
+        if im is None:
             return None, None, None, None, None
+        rgb = to_rgb(im)
         held = payloads and any(c.startswith(b"payload=") for c in im.comments)
         means = (rgb.reshape(-1, 3).sum(0, dtype=np.int64) / (im.width * im.height)).tolist()
         return im.height, im.width, means, stored_payload(im) if held else None, rgb.tobytes() if tensors else None
@@ -488,15 +694,15 @@ def read_media(media: DataFrame, tensors: bool = True, payloads: bool = True, st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.binary(), pa.binary()]
         for batch in batches:
-            rows, lo, held = [], 0, 0
+            files, lo, held = [], 0, 0
             for i, x in enumerate(batch.column(1)):
-                data = x.as_py()
-                rows.append(one(data))
-                held += len(data or b"")
-                if i + 1 == batch.num_rows or len(rows) == HELD_IMAGES or held > HELD_BYTES:
+                files.append(x.as_py() or b"")
+                held += len(files[-1])
+                if i + 1 == batch.num_rows or len(files) == HELD_IMAGES or held > HELD_BYTES:
+                    rows = [one(im) for im in read_many(files, strict)]
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                     kept = [c.slice(lo, len(rows)) for c in batch.columns]
                     yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[2:]], names=schema.names)
-                    rows, lo, held = [], i + 1, 0
+                    files, lo, held = [], i + 1, 0
 
     return chosen.mapInArrow(run, schema)

@@ -12,7 +12,8 @@ by a 64-bit hash of all their shingles: copies are one node from the start, what
    (prefix filtering), which is exact for any two such sets.
 3. Stars. Sets with one tile hash are linked to the smallest of them only, first inside the scanning task, then in
    the shard of the hash, which so gets an entry per task and hash, not one per document. Entries travel packed, as
-   sorted differences; the number of shards grows with the number of shingles, so a shard stays small.
+   sorted differences; the number of shards grows with the number of shingles, and a task merges its shards one by
+   one, so what it holds does not grow with the corpus.
 4. Signatures. Candidate pairs are compared by size and by parity bitmaps: bits that differ are a lower bound of the
    differing shingles, hence an upper bound of the overlap. Of what passes the texts are dealt by the pair's second
    set, whose shingles a task holds while those of its partners stream past; sorted arrays are intersected exactly.
@@ -43,13 +44,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.llm.shared import cut_lineage, lower_ascii, mix, text_chunks, windows, word_hashes, written
+from ledgerleaf.llm.shared import bounded_batches, cut_lineage, give_back, lower_ascii, mix, text_chunks, windows, word_hashes, written
 
 BAND_RATIO = 1.5
 SIGNATURE_BITS = 512
 BLOCK_ROWS = 512
 #: Tile entries that a task packs at once and that a shard should hold; partners of a set that are dealt together.
-HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 1_500_000, 2_000_000, 4096
+HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 500_000, 500_000, 4096
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -209,43 +210,49 @@ def _tile_packs(docs: DataFrame, width: int, bands: Bands, shards: int) -> DataF
                     yield from flush()
                     held = 0
         yield from flush()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "shard int, keys binary, nodes binary, who binary, lead binary")
 
 
-def _stars(packs: DataFrame, shards: int) -> DataFrame:
-    """(key, node, lead): each set of a tile hash and the smallest of them, from the packed rows of a shard."""
+def _stars(packs: DataFrame) -> DataFrame:
+    """(key, node, lead): each set of a tile hash and the smallest of them, shard by shard from their packed rows."""
 
     def rows(key: np.ndarray, node: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(lead)], ["key", "node", "lead"])
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            key, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lead = np.repeat(np.minimum.reduceat(node, first), np.diff(first, append=len(key)))
+            star = node != lead
+            yield rows(key[star], node[star], lead[star])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
         for batch in batches:
             for i in range(batch.num_rows):
-                packed, names, who, lead = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
+                shard, packed, names, who, lead = (c[i].as_py() for c in batch.columns)
+                if shard != last:
+                    yield from merged(held)
+                    last = shard
                 key, name = np.cumsum(_from_planes(packed, np.uint64)), np.frombuffer(names, np.int64)
                 node = name[_from_planes(who, np.uint32)]
                 if lead is not None:
                     yield rows(key, node, name[_from_planes(lead, np.uint32)])
                 else:
-                    keys.append(key)
-                    nodes.append(node)
-        if keys:
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            keys.clear()
-            nodes.clear()
-            order = np.argsort(key, kind="stable")
-            key, node = key[order], node[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lead = np.repeat(np.minimum.reduceat(node, first), np.diff(first, append=len(key)))
-            star = np.flatnonzero(node != lead)
-            for lo in range(0, len(star), 1 << 18):
-                at = star[lo : lo + (1 << 18)]
-                yield rows(key[at], node[at], lead[at])
+                    held.append((key, node))
+        yield from merged(held)
+        give_back()
 
-    return packs.repartitionById(shards, F.col("shard")).mapInArrow(run, "key long, node long, lead long")
+    parts = _parts(packs)
+    dealt = packs.repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts))).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "key long, node long, lead long")
 
 
 def small_or_joined(df: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -297,6 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, th
                         good.append((node, lead))
                 if good:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
+        give_back()
 
     maybe = _compact(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_possible(threshold)).select("a", "b"))
     # Each b meets its partners in groups of bounded size: its own row, without a partner, sorts before theirs.
@@ -421,6 +429,7 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
             held = [c[moves[-1] if len(moves) else 0 :] for c in held]
         if held is not None and len(held[0]):
             yield from told(held, np.array([0, len(held[0])]))
+        give_back()
 
     def told(held: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = [compare([c[lo:hi] for c in held]) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -441,13 +450,14 @@ def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """(doc_id, n, node, group, component_id) of every row of ``docs``; group names the set's component."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     marks = written(_marks(texts, width))
     named = texts.where(F.col("doc_id").isNotNull())
     known = marks.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     sets = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in SIGNATURE)))
-    shards = max(_parts(docs), math.ceil((marks.agg(F.sum("n")).first()[0] or 0) / SHARD_ENTRIES))
-    stars = written(_stars(_tile_packs(named, width, Bands(threshold), shards), shards))
+    shards = max(2 * _parts(docs), math.ceil((marks.agg(F.sum("n")).first()[0] or 0) / SHARD_ENTRIES))
+    stars = written(_stars(_tile_packs(named, width, Bands(threshold), shards)))
     pairs = cut_lineage(stars.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
 
     # Most links are found from each set to the leader that it shares most tiles with.

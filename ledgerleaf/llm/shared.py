@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerleaf.sources.scratch import new_folder, shared_folder
+
 #: Text handled at once inside a task; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that a task takes at once; the setting and what Spark has for it.
+BATCH_BYTES, _BATCHES, _SPARKS_OWN = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 #: The whitespace bytes of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -26,16 +30,15 @@ _BYTE_HASH[_IS_SPACE] = 0
 _POWERS = np.cumprod(np.full(64, _ODD, np.uint64))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def bounded_batches(spark: SparkSession) -> None:
+    """Let tasks take whole texts in batches of about ``BATCH_BYTES``, unless the session says otherwise."""
+    if spark.conf.get(_BATCHES) == _SPARKS_OWN:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,11 +49,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, uri: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet, in the shared folder unless told otherwise, and read it again."""
-    uri = uri or f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    uri = uri or new_folder(df.sparkSession, "written")
     df.write.mode("overwrite").parquet(uri)
     return df.sparkSession.read.parquet(uri)
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system, as it is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix64): every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
