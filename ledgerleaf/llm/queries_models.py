@@ -21,12 +21,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of every document."""
+    """log10 probability and perplexity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(fold(F.col("doc_id"), 7) != 2))
     held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
     total = F.lit(model.total).cast("long")
-    return score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", total.alias("train_tokens"), "base_score", "score")
+    return score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", total.alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,13 +46,45 @@ def test_payloads_survive(blocks):
     assert media.to_rgb(image).shape == (image.height, image.width, 3)
 
 
-def test_fixed_fields_and_bit_serial_reading_agree(monkeypatch):
-    stored = media.store_payload(np.random.RandomState(1).bytes(64 * 13))
-    fast = media.read_progressive(stored)
-    monkeypatch.setattr(media.Decoder, "_dc_fixed", lambda *a: False)
-    monkeypatch.setattr(media.Decoder, "_ac_fixed", lambda *a: False)
-    slow = media.read_progressive(stored)
-    assert all((a.coefficients == b.coefficients).all() for a, b in zip(fast.components, slow.components, strict=True))
+def test_reading_side_by_side_and_bit_by_bit_agree(monkeypatch):
+    rng = np.random.RandomState(1)
+    payloads = [rng.bytes(64 * n) for n in (1, 13, 150)] + [b"plain text of letters ".ljust(640, b"e"), b"\xff" * 128]
+    files = media.store_many(payloads)
+    assert files == [media.store_payload(x) for x in payloads]
+    monkeypatch.setattr(media, "FEW_LANES", 0)
+    fast = media.read_many(files)
+    monkeypatch.setattr(media, "FEW_LANES", 1 << 60)
+    slow = media.read_many(files)
+    for x, y, payload in zip(fast, slow, payloads, strict=True):
+        assert all((c.coefficients == d.coefficients).all() for c, d in zip(x.components, y.components, strict=True))
+        assert media.stored_payload(x) == media.stored_payload(y) == payload
+
+
+@pytest.mark.parametrize("few", [0, 1 << 60])
+def test_a_broken_file_spoils_no_other(monkeypatch, few):
+    monkeypatch.setattr(media, "FEW_LANES", few)
+    good = media.store_payload(b"x" * 6400)
+    scan = good.index(b"\xff\xda") + 12
+    files = [good, good[: len(good) // 3], good[:scan] + b"\xfe" * 40 + good[scan + 40 :], b"", b"\xff\xd8\xff", good[:scan] + good[scan + 30 :], good]
+    images = media.read_many(files, strict=False)
+    assert [media.stored_payload(x) if x else None for x in (images[0], images[-1])] == [b"x" * 6400] * 2
+    assert not any(images[1:5]) and (images[5] is None or media.stored_payload(images[5]) != b"x" * 6400)
+    with pytest.raises(ValueError):
+        media.read_many(files)
+
+
+def test_large_payloads_make_wider_images(monkeypatch):
+    monkeypatch.setattr(media, "ACROSS", 2)
+    monkeypatch.setattr(media, "MOST_UNITS", 5)
+    sizes = {}
+    for blocks in (1, 12, 60, 61, 150):
+        payload = np.random.RandomState(blocks).bytes(64 * blocks)
+        image = media.read_progressive(media.store_payload(payload))
+        assert media.stored_payload(image) == payload
+        sizes[blocks] = image.width // 16, image.height // 16
+    assert sizes == {1: (1, 1), 12: (2, 1), 60: (2, 5), 61: (3, 4), 150: (5, 5)}
+    with pytest.raises(ValueError):
+        media.store_payload(bytes(64 * 151))
 
 
 class BitWriter:
@@ -168,8 +200,10 @@ def general_jpeg(planes, width, height, restart=0):
     return b"".join([*out, b"\xff\xd9"])
 
 
+@pytest.mark.parametrize("few", [0, 1 << 60])
 @pytest.mark.parametrize(("width", "height", "grey"), [(40, 23, False), (16, 16, False), (70, 33, True)])
-def test_general_progressive_files(width, height, grey):
+def test_general_progressive_files(monkeypatch, width, height, grey, few):
+    monkeypatch.setattr(media, "FEW_LANES", few)
     rng = np.random.RandomState(width)
     unit = 8 if grey else 16
     across, down = -(-width // unit), -(-height // unit)
@@ -227,6 +261,18 @@ def test_media_tables(spark, docs):
     broken = spark.createDataFrame([(1, b"nope"), (2, None)], "doc_id bigint, media binary")
     assert all(r.rgb is None and r.height is None for r in media.read_media(broken, strict=False).collect())
     assert media.store_texts(docs([])).count() == 0
+    with pytest.raises(ValueError):
+        media.read_media(stored.withColumn("height", stored.n_bytes), keep=("height",))
+
+
+def test_very_long_texts_round_trip(spark, docs):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(150_000))
+    rows = docs([(1, text), (2, "short")])
+    (got,) = bpe.encode_and_decode(rows, PATH).where("doc_id = 1").collect()
+    assert got.decoded == text and list(got.ids) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    (read,) = media.read_media(media.store_texts(rows), tensors=False).where("doc_id = 1").collect()
+    assert bytes(read.payload)[: len(text)] == text.encode()
 
 
 def test_queries_round_trip(spark, small):
@@ -237,6 +283,11 @@ def test_queries_round_trip(spark, small):
     for r in queries_bytes.op9_media_columns(spark, small).collect():
         raw = texts[r.doc_id]
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stored = media.store_payload(payload)
+        rgb = media.to_rgb(media.read_progressive(stored))
+        assert (r.media_bytes, r.media_sha256, r.tensor_sha256) == (len(stored), hashlib.sha256(stored).hexdigest(), hashlib.sha256(rgb.tobytes()).hexdigest())
+        means = ",".join(f"{m:,.4f}" for m in rgb.reshape(-1, 3).astype(float).mean(0))
+        assert r.feature == f"{rgb.shape[0]}x{rgb.shape[1]}x{means}"
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     library = Tokenizer.from_file(PATH)
     for r in queries_bytes.op6_bpe(spark, small).collect():

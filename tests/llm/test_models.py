@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import language_id, lm_scoring, quality, queries_models
@@ -111,72 +112,173 @@ def test_texts_in_no_learnt_language_go(spark, docs):
 
 
 def brute_force(texts, train):
-    """Scores by dictionaries: (tokens, known, base, score) of each text."""
+    """Scores by dictionaries: (tokens, known, base, score) of each text; and all training tokens."""
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = [[w for w in (t or "").translate(upper).replace("\n", " ").split(" ") if w] + ["</s>"] for t in texts]
+    threes = lambda t: zip(["<s>", "<s>", *t[:-1]], ["<s>", *t[:-1]], t, strict=False)
     count = Counter(w for t, k in zip(cut, train, strict=True) if k for w in t)
-    pairs = Counter(p for t, k in zip(cut, train, strict=True) if k for p in zip(["<s>", *t[:-1]], t, strict=True))
+    c = Counter(x for t, k in zip(cut, train, strict=True) if k for x in threes(t))
+    a = Counter((v, w) for _, v, w in c)
+    b = Counter(w for _, w in a)
     total, size = sum(count.values()), len(count)
-    after, followers, before = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (u, w), k in pairs.items():
-        after[u] += k
-        followers[u][min(k, 3) - 1] += 1
-        before[w] += 1
-    d = lm_scoring._discounts([sum(v == k for v in pairs.values()) for k in (1, 2, 3, 4)])
-    e = lm_scoring._discounts([sum(v == k for v in before.values()) for k in (1, 2, 3, 4)])
-    types = sum(before.values())
-    unknown = sum(e[min(v, 3) - 1] for v in before.values()) / types / (size + 1)
-    lower = lambda w: (before[w] - e[min(before[w], 3) - 1]) / types + unknown if before[w] else unknown
-
-    def p(u, w):
-        if not after[u]:
-            return lower(w)
-        k = pairs[u, w]
-        return (k - d[min(k, 3) - 1] if k else 0) / after[u] + sum(x * y for x, y in zip(d, followers[u], strict=True)) / after[u] * lower(w)
-
-    return [(len(t), sum(count[w] > 0 for w in t), sum(math.log10((count[w] + 1) / (total + size + 1)) for w in t), sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True))) for t in cut], total
-
-
-def test_lm_scores_equal_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "PAIRS_A_SHARD", 5000)
-    monkeypatch.setattr(lm_scoring, "WORDS_A_SHARD", 2000)
+
+    def level(counts):
+        discounts = lm_scoring._discounts([sum(x == k for x in counts.values()) for k in (1, 2, 3, 4)])
+        sums, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for gram, k in counts.items():
+            sums[gram[:-1]] += k
+            kinds[gram[:-1]][min(k, 3) - 1] += 1
+
+        def p(gram, below):
+            if not sums[gram[:-1]]:
+                return below
+            k = counts[gram]
+            own = k - discounts[min(k, 3) - 1] if k else 0
+            return (own + sum(x * y for x, y in zip(discounts, kinds[gram[:-1]], strict=True)) * below) / sums[gram[:-1]]
+
+        return p
+
+    two, three = level(a), level(c)
+    f = lm_scoring._discounts([sum(x == k for x in b.values()) for k in (1, 2, 3, 4)])
+    unknown = sum(f[min(k, 3) - 1] for k in b.values()) / sum(b.values()) / (size + 1)
+    lowest = lambda w: (b[w] - f[min(b[w], 3) - 1] if b[w] else 0) / sum(b.values()) + unknown
+    p = lambda u, v, w: three((u, v, w), two((v, w), lowest(w)))
+    return [(len(t), sum(count[w] > 0 for w in t), sum(math.log10((count[w] + 1) / (total + size + 1)) for w in t), sum(math.log10(p(*x)) for x in threes(t))) for t in cut], total, p
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_lm_scores_equal_brute_force(spark, small, monkeypatch, spread):
+    if spread:  # many shards, and the commonest words spread over several
+        monkeypatch.setattr(lm_scoring, "TRIGRAMS_A_SHARD", 1500)
+        monkeypatch.setattr(lm_scoring, "WORDS_A_SHARD", 2000)
     got = {r.doc_id: r for r in queries_models.op7_lm_scoring(spark, small).collect()}
     rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     train = [zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in rows]
-    want, total = brute_force([r.text for r in rows], train)
+    want, total, _ = brute_force([r.text for r in rows], train)
     for r, t, w in zip(rows, train, want, strict=True):
         g = got[r.doc_id]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (not t, *w[:2], total)
         assert math.isclose(g.base_score, w[2], rel_tol=1e-9) and math.isclose(g.score, w[3], rel_tol=1e-9)
+        assert math.isclose(g.perplexity, 10 ** (-w[3] / w[0]), rel_tol=1e-6)
 
 
 def test_lm_edge_cases(spark, docs):
-    rows = docs([(1, None), (2, ""), (3, "a b a b a c"), (3, "a b a b a c"), (4, "z " * 20_000)])
+    rows = docs([(1, None), (2, ""), (3, "a b a b a c"), (3, "a b a b a c"), (4, "z " * 20_000), (None, "b a")])
     model = lm_scoring.train(rows.where("doc_id < 4"))
     got = {r.doc_id: r for r in lm_scoring.score_texts(rows, model).collect()}
-    want, _ = brute_force([None, "", "a b a b a c", "a b a b a c", "z " * 20_000], [True, True, True, True, False])
-    for ident, w in ((1, want[0]), (3, want[2]), (4, want[4])):
+    want, _, _ = brute_force([None, "", "a b a b a c", "a b a b a c", "z " * 20_000, "b a"], [True, True, True, True, False, False])
+    for ident, w in ((1, want[0]), (3, want[2]), (4, want[4]), (None, want[5])):
         assert (got[ident].n_tokens, got[ident].n_known) == w[:2] and math.isclose(got[ident].score, w[3], rel_tol=1e-9)
     nothing = lm_scoring.train(rows.where("false"))
     assert {(r.n_known, r.score) for r in lm_scoring.score_texts(rows, nothing).collect()} == {(0, 0.0)}
     assert lm_scoring.score_texts(docs([]), model).count() == 0
 
 
-def test_probabilities_of_a_context_sum_to_one(spark, docs):
+def test_probabilities_of_a_context_sum_to_one():
     texts = ["a b c a b d", "a c b a", "b a b a c"]
-    model = lm_scoring.train(docs(list(enumerate(texts))))
-    words = sorted({w for t in texts for w in t.split()})
-    data, offsets = chunk(" ".join(words))
-    hashes, _ = word_hashes(data, offsets)
-    every = np.append(hashes, lm_scoring.END)
-    u = np.full(len(every), hashes[0])
-    order = np.argsort(every)
-    count, lower, rest = model.words(every[order])
-    keys = lm_scoring.pair_hash(u, every[order])
-    sort = np.argsort(keys)
-    times = np.zeros(len(keys), np.int64)
-    times[sort] = model.pairs(keys[sort], model.shards.of(u, every[order])[sort])
-    at = int(np.flatnonzero(every[order] == hashes[0])[0])
-    less = np.take((0.0, *model.discounts), np.minimum(times, 3))
-    p = (times - less) / count[at] + rest[at] * lower
-    assert math.isclose(p.sum() + rest[at] * model.unknown, 1.0, rel_tol=1e-9)
+    _, _, p = brute_force(texts, [True] * 3)
+    every = sorted({w for t in texts for w in t.split()}) + ["</s>", "never seen"]
+    for u, v in (("a", "b"), ("<s>", "<s>"), ("x", "b"), ("x", "y")):
+        assert math.isclose(sum(p(u, v, w) for w in every), 1.0, rel_tol=1e-9)
+
+
+def test_tables_find_what_they_hold(tmp_path):
+    rng = np.random.RandomState(2)
+    key = np.unique(rng.randint(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    counts = rng.randint(1, 600, len(key))
+    lm_scoring.save_table(f"{tmp_path}/three-0", key, counts)
+    model = lm_scoring.Model(str(tmp_path))
+    asked = np.concatenate([key, key + np.uint64(1 << 40), np.array([0, 2**64 - 1], np.uint64)])
+    assert model.counts("three", asked, np.zeros(len(asked), np.int32)).tolist() == [*counts.tolist(), *[0] * (len(key) + 2)]
+
+
+def crc_fold(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_quality_query_equals_plain_numpy(spark, small):
+    """Standardising, cosines, ridge, pooling and interpolation redone over all rows at once."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None and r.doc_id in docs]
+    stats = {i: quality.text_statistics(*chunk(t))[0] for i, t in docs.items()}
+    fitting = [(stats[i], y) for i, y in labels if crc_fold(i, 5) > 1]
+    x, y = np.array([a for a, _ in fitting]), np.array([float(b) for _, b in fitting])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    rng = np.random.RandomState(11)
+    w, b = rng.randn(quality.STATISTICS, 128) / 3.0, rng.uniform(0, 2 * np.pi, 128)
+    features = lambda v: np.append(np.sqrt(2 / 128) * np.cos(((v - mean) / scale) @ w + b), 1.0)
+    z = np.array([features(v) for v in x])
+    solved = np.linalg.lstsq(np.vstack([z, np.sqrt(1e-3 * len(z) / 128) * np.eye(129)]), np.append(y, np.zeros(129)), rcond=None)[0]
+    width = (quality.HIGHEST - quality.LOWEST) / quality.BINS
+    bins = defaultdict(list)
+    for i, label in labels:
+        if crc_fold(i, 5) == 1:
+            bins[int((np.clip(features(stats[i]) @ solved, quality.LOWEST, quality.HIGHEST) - quality.LOWEST) / width)].append(label)
+    pools = [[len(v), sum(v), len(v) * (quality.LOWEST + (k + 0.5) * width)] for k, v in sorted(bins.items())]
+    at = 0
+    while at + 1 < len(pools):  # merge neighbours out of order until none is left
+        if pools[at][1] / pools[at][0] >= pools[at + 1][1] / pools[at + 1][0]:
+            pools[at : at + 2] = [[p + q for p, q in zip(pools[at], pools[at + 1], strict=True)]]
+            at = max(at - 1, 0)
+        else:
+            at += 1
+    knots, values = [p[2] / p[0] for p in pools], np.maximum.accumulate([(p[1] + 0.5) / (p[0] + 1) for p in pools])
+    got = {r.doc_id: r for r in queries_models.op3_quality_classifier(spark, small).collect()}
+    assert set(got) == set(docs)
+    for i, v in stats.items():
+        assert math.isclose(got[i].score, np.interp(features(v) @ solved, knots, values), abs_tol=2e-3), i
+        assert got[i].held_out == (crc_fold(i, 5) == 0) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_quality_of_odd_rows(spark, docs):
+    texts = [(None, "no id"), (1, None), (1, "same"), (1, "same"), (2, ""), (3, "long " * 40_000)] + [(10 + i, "Some words here. " * (i % 3 + 1)) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1), (4, None), (1, 1)], "doc_id bigint, label int")
+    stats = quality.statistics_table(docs(texts))
+    scores = quality.score_statistics(stats, quality.fit_quality(stats, labels)).collect()
+    assert len(scores) == len(texts) and all(0 <= r.score <= 1 for r in scores)
+    none = quality.fit_quality(stats, labels.where("doc_id > 1000"))
+    assert {r.score for r in quality.score_statistics(stats, none).collect()} == {0.5}
+
+
+def test_language_query_equals_plain_kernels(spark, small):
+    """The sample, landmarks, Nystroem map and ridge redone with sets of n-gram places and plain solvers."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).collect()
+    present = {r.doc_id: language_id.presences(*chunk(r.text or ""))[0].astype(np.float64) for r in rows}
+    usable = sorted((r.draw, r.lang, r.doc_id) for r in rows if r.lang and r.text is not None and crc_fold(r.doc_id, 4) != 2)
+    languages = sorted({lang for _, lang, _ in usable})
+    taken, sample, marks = Counter(), [], []
+    for _, lang, i in usable:
+        if taken[lang] < 96 // len(languages):
+            marks.append(i)
+        if taken[lang] < 600:
+            sample.append((i, languages.index(lang)))
+        taken[lang] += 1
+    unit = lambda i: present[i] / np.sqrt(max(present[i].sum(), 1))
+    m = np.array([unit(i) for i in marks])
+    k = np.array([unit(i) for i, _ in sample]) @ m.T
+    values, vectors = np.linalg.eigh(m @ m.T)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    target = -np.ones((len(sample), len(languages)))
+    target[np.arange(len(sample)), [j for _, j in sample]] = 1
+    z = k @ root
+    weights = root @ np.linalg.inv(z.T @ z + 1e-3 * len(sample) * np.eye(len(marks))) @ z.T @ target
+    got = {r.doc_id: r for r in queries_models.op8_language_id(spark, small).collect()}
+    for r in rows:
+        raw = unit(r.doc_id) @ m.T @ weights
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        else:
+            assert math.isclose(got[r.doc_id].score, min(max((raw.max() + 1) / 2, 0), 1), abs_tol=2e-3)
+            assert got[r.doc_id].lang_pred == languages[int(raw.argmax())] or np.sort(raw)[-1] - np.sort(raw)[-2] < 1e-3
+
+
+def test_language_ties_repeats_and_long_texts(spark, docs):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aaa bbb", "xx"), ("aaa bbb", "aa")] * 20)]
+    rows += [(100, "ccc ddd " * 60_000, "aa"), (100, "ccc ddd " * 60_000, "aa"), (None, "aaa bbb", None)]
+    model = language_id.fit_language(docs(rows))
+    got = language_id.identify_languages(docs(rows), model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    tied = {r.lang_pred for r in got if r.doc_id is None or r.doc_id < 100}
+    assert len(tied) == 1 and tied <= {"aa", "xx"} and len({(r.lang_pred, r.score) for r in got if r.doc_id == 100}) == 1
+    even = language_id.LanguageModel(["aa", "xx"], model.landmarks, np.ones((len(model.landmarks), 2), np.float32))
+    assert even.predict(*chunk("aaa bbb"))[0] == ["aa"]
