@@ -477,7 +477,7 @@ def read_many(files: list[bytes], strict: bool = True) -> list[Image | None]:
     bad: set[int] = set()
     for wanted, read in ((lambda f: not f.first, Lanes.read_dc), (lambda f: f.first, Lanes.read_ac)):
         scans = [(i, f) for i, d in enumerate(good) for f in d.firsts if wanted(f)]
-        if sum(len(f.intervals) for _, f in scans) >= FEW_LANES:
+        if scans and sum(len(f.intervals) for _, f in scans) >= FEW_LANES:
             bad |= {i for (i, _), broken in zip(scans, read(Lanes([f for _, f in scans])), strict=True) if broken}
         else:
             for i, f in scans:
