@@ -50,7 +50,9 @@ BAND_RATIO = 1.5
 SIGNATURE_BITS = 512
 BLOCK_ROWS = 512
 #: Tile entries that a task packs at once and that a shard should hold; partners of a set that are dealt together.
-HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 500_000, 500_000, 4096
+HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 2_000_000, 1_000_000, 4096
+#: Rows up to which a narrow table is broadcast, counted first.
+BROADCAST_ROWS = 2_000_000
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -123,6 +125,22 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=SIGNATURE_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_signature(grams: np.ndarray) -> bytes:
+    """A parity bitmap of two bits a shingle or more: a power of two, so that half of it folds onto the other."""
+    bits = 1 << max(SIGNATURE_BITS.bit_length() - 1, (2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
 
 
@@ -134,7 +152,8 @@ def set_names(mixed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, node, signature columns) of every row; the node of an empty set is null."""
+    """(doc_id, n, node, signature columns, bits) of every row; the node of an empty set is null, and so are the wide
+    bitmaps of sets for which the signature does."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +162,10 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
                 sizes = np.diff(bounds)
                 nodes = pa.array(set_names(mix(grams ^ _FEW), bounds), mask=sizes == 0)
                 bits = np.array([signature(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes.astype(np.int64)), nodes, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["doc_id", "n", "node", *SIGNATURE])
+                wide = pa.array([wide_signature(grams[a:b]) if b - a > SIGNATURE_BITS // 2 else None for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes.astype(np.int64)), nodes, *(pa.array(np.ascontiguousarray(c)) for c in bits.T), wide], ["doc_id", "n", "node", *SIGNATURE, "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, node long, {', '.join(f'{s} long' for s in SIGNATURE)}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, node long, {', '.join(f'{s} long' for s in SIGNATURE)}, bits binary")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -255,9 +275,9 @@ def _stars(packs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long, lead long")
 
 
-def small_or_joined(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """A cut-off ``df`` of narrow rows, to be broadcast if it has at most ``most`` of them and joined by a shuffle if more."""
-    return F.broadcast(df) if df.count() <= most else df
+def small_or_joined(df: DataFrame) -> DataFrame:
+    """A cut-off ``df`` of narrow rows, to be broadcast if these are few and joined by a shuffle if not."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def semi_join(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -273,6 +293,40 @@ def _possible(threshold: Fraction) -> Column:
     return overlap * threshold.denominator >= (F.col("a_n") + F.col("b_n") - overlap) * threshold.numerator
 
 
+def _met(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """(lead, partner, columns) for pairs (a, b): each b's own row, without a partner, and after it those of its a's.
+
+    ``values`` has the columns of each node. A b with very many partners meets them in groups of bounded size.
+    """
+    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups"))
+    partners = pairs.join(groups, "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"), F.col("a").alias("partner"))
+    leads = groups.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("partner"))
+    roles = small_or_joined(cut_lineage(partners.unionByName(leads)))
+    dealt = values.join(roles, "node").repartition(_parts(pairs), "lead", "group").sortWithinPartitions("lead", "group", F.col("partner").asc_nulls_first())
+    return dealt.select("lead", "partner", *columns)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of large sets that sizes and wide bitmaps allow."""
+    p, q = threshold.numerator, threshold.denominator
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, bits = 0, b""
+        for batch in batches:
+            good = []
+            for lead, partner, own, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if partner is None:
+                    n, bits = own, more
+                    continue
+                overlap = min(n, own, (n + own - differing_bits(bits, more)) // 2)
+                if q * overlap >= p * (n + own - overlap):
+                    good.append((partner, lead))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
+
+    return _met(pairs, sets.select("node", "n", "bits"), ["n", "bits"]).mapInArrow(compare, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) of sets that link: bounded by sizes and bitmaps first, then intersected."""
     p, q = threshold.numerator, threshold.denominator
@@ -287,36 +341,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, th
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(mix(grams ^ _FEW), bounds)), batch.column(1).slice(lo, hi - lo)], ["node", "text"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] | None = None
+        held = np.zeros(0, np.uint64)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(2)):
                 grams, bounds = shingle_sets(data, offsets, width)
                 good = []
-                for i, (lead, node) in enumerate(zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), strict=True)):
+                for i, (lead, partner) in enumerate(zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), strict=True)):
                     own = grams[bounds[i] : bounds[i + 1]]
-                    if node is None:
-                        held = lead, own.copy()
+                    if partner is None:
+                        held = own.copy()
                         continue
-                    both = np.concatenate([held[1], own])
+                    both = np.concatenate([held, own])
                     both.sort(kind="stable")  # merges the two sorted arrays
                     shared = int((both[1:] == both[:-1]).sum())
                     if q * shared >= p * (len(both) - shared):
-                        good.append((node, lead))
+                        good.append((partner, lead))
                 if good:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
         give_back()
 
-    maybe = _compact(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_possible(threshold)).select("a", "b"))
-    # Each b meets its partners in groups of bounded size: its own row, without a partner, sorts before theirs.
-    groups = maybe.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups"))
-    partners = maybe.join(groups, "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"), F.col("a").alias("partner"))
-    leads = groups.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("partner"))
-    roles = cut_lineage(partners.unionByName(leads))
+    maybe = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_possible(threshold))
+    # A signature says little of sets that fill it; wide bitmaps are far smaller than the texts yet.
+    maybe = _compact(maybe.select("a", "b", (F.least("a_n", "b_n") > SIGNATURE_BITS // 2).alias("large")))
+    maybe = cut_lineage(maybe.where("not large").select("a", "b").unionAll(_bounded(maybe.where("large").select("a", "b"), sets, threshold)))
     # One text a set: of the row with its smallest doc_id.
-    wanted = roles.select("node").distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
+    nodes = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+    wanted = nodes.join(sets.select("node", "doc_id"), "node").select("doc_id")
     texts = semi_join(docs.select("doc_id", "text"), wanted, "left_semi").mapInArrow(named, "node long, text string")
-    dealt = texts.join(small_or_joined(roles), "node").repartition(_parts(docs), "lead", "group").sortWithinPartitions("lead", "group", F.col("partner").asc_nulls_first())
-    return dealt.select("lead", "partner", "text").mapInArrow(compare, "a long, b long").distinct()
+    return _met(maybe, texts, ["text"]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _parts(df: DataFrame) -> int:
@@ -383,12 +435,12 @@ def _across(stars: DataFrame, components: DataFrame, sets: DataFrame, threshold:
     """
     # Every set of a tile but its smallest is the member of a star, and that one leads the last of these.
     member = stars.select("key", "node").union(stars.groupBy("key").agg(F.min("lead").alias("node")))
-    member = member.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    member = member.join(small_or_joined(components), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     same = {"rows": F.count(F.lit(1)), "least": F.min("node"), "most": F.max("node"), "hashed": F.bit_xor(F.xxhash64("node"))}
     mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), *(c.alias(n) for n, c in same.items())).where("x <> y")
     # Near copies share very many tiles: of those with the same sets one is enough.
-    mixed = mixed.groupBy(*same).agg(F.min("key").alias("key"))
-    rows = member.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
+    mixed = cut_lineage(mixed.groupBy(*same).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
+    rows = member.join(small_or_joined(mixed), "key")
     rows = rows.join(sets.select("node", "n", *SIGNATURE), "node")
     # A block of a tile meets itself and every other block; most tiles have one block and make no copies.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -455,7 +507,7 @@ def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     marks = written(_marks(texts, width))
     named = texts.where(F.col("doc_id").isNotNull())
     known = marks.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    sets = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in SIGNATURE)))
+    sets = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in (*SIGNATURE, "bits"))))
     shards = max(2 * _parts(docs), math.ceil((marks.agg(F.sum("n")).first()[0] or 0) / SHARD_ENTRIES))
     stars = written(_stars(_tile_packs(named, width, Bands(threshold), shards)))
     pairs = cut_lineage(stars.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))

@@ -230,3 +230,12 @@ def test_pipeline_on_odd_documents(spark, docs, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where(F.lit(False)).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.RandomState(6)
+    for _ in range(60):
+        a = np.unique(rng.randint(0, 2**63, rng.randint(1, 3000)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.rand(len(a)) < rng.rand()], rng.randint(0, 2**63, rng.randint(0, 3000)).astype(np.uint64)]))
+        differ = ngram_join.differing_bits(ngram_join.wide_signature(a), ngram_join.wide_signature(b))
+        assert differ <= len(np.setxor1d(a, b)) and ngram_join.differing_bits(ngram_join.wide_signature(a), ngram_join.wide_signature(a)) == 0
