@@ -4,7 +4,8 @@ A text is the set of its byte 1-, 2-, 3- and 4-grams (lower-cased), hashed into
 texts is the size of the intersection over the root of the product of their sizes. A bounded sample of labelled texts
 (``per_language`` of each language at most, a documented parameter) is reduced to ``landmarks`` of them by Nystroem's
 method, on which one ridge regression per language is fitted. Every text of the table is then scored by batched matrix
-products: presences times landmarks, then landmarks times languages.
+products: presences times landmarks, then landmarks times languages; a long text as the mean of its consecutive pieces,
+by their length.
 
 The scores of a text unlike every landmark tend to 0, the middle of their range, so no cut on them rejects it. The
 evidence that a text is in a learnt language is instead the part of its consecutive pieces' (all of the text's) n-grams
@@ -33,6 +34,8 @@ from ledgerleaf.llm.quality import fold
 from ledgerleaf.llm.shared import lower_ascii, text_chunks
 
 DIMENSIONS = 1 << 14
+#: Longer texts are scored piece by piece, as the n-grams of a very long one fill all places.
+PIECE = 1 << 15
 ORDERS = (1, 2, 3, 4)
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 #: The shortest pieces with a cut of their own, the longest pieces, and the room left under the learnt cut.
@@ -78,6 +81,14 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def pieces(offsets: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each piece, where it begins; at last the end): every row's bytes cut into pieces of ``longest``, none left out."""
+    counts = -(-np.diff(offsets) // longest)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    starts = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * longest
+    return owner, np.append(starts, offsets[-1])
+
+
 @dataclass
 class LanguageModel:
     """Landmarks (scaled by the root of their size) and their weights for each language; of bounded size."""
@@ -102,11 +113,7 @@ class LanguageModel:
         sizes = np.diff(offsets)
         if not self.cuts:
             return np.zeros(len(sizes))
-        piece = SHORTEST << (len(self.cuts) - 1)
-        counts = -(-sizes // piece)
-        owner = np.repeat(np.arange(len(sizes)), counts)
-        starts = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * piece
-        bounds = np.append(starts, offsets[-1])
+        owner, bounds = pieces(offsets, SHORTEST << (len(self.cuts) - 1))
         spans = np.diff(bounds)
         over = np.zeros(len(owner))
         cuts = np.array([0.0, *self.cuts])  # none below the shortest pieces
@@ -124,22 +131,27 @@ class LanguageModel:
         names, best = ["und"] * rows, np.zeros(rows)
         if self.languages:
             letters = has_letter(data, offsets)
-            for lo in range(0, rows, 512):
-                hi = min(rows, lo + 512)
-                part = self.scores(presences(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-                top = part.argmax(1)
-                for i in np.flatnonzero(letters[lo:hi]):
-                    names[lo + i], best[lo + i] = self.languages[top[i]], min(max((part[i, top[i]] + 1) / 2, 0.0), 1.0)
+            owner, bounds = pieces(offsets, PIECE)
+            raw = np.zeros((rows, len(self.languages)))
+            for lo in range(0, len(owner), 512):
+                hi = min(len(owner), lo + 512)
+                part = self.scores(presences(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]))
+                np.add.at(raw, owner[lo:hi], part * np.diff(bounds[lo : hi + 1])[:, None])
+            raw /= np.maximum(np.diff(offsets), 1)[:, None]
+            top = raw.argmax(1)
+            for i in np.flatnonzero(letters):
+                names[i], best[i] = self.languages[top[i]], min(max((raw[i, top[i]] + 1) / 2, 0.0), 1.0)
         return names, best
 
 
 def fit_language(docs: DataFrame, per_language: int = 600, landmarks: int = 96, ridge: float = 1e-3) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang) outside fold 2 of 4, from ``per_language`` rows of each at most."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "lang", "text")
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("lang", "text", draw)
+    # Equal rows count once, however many there are: the sample stays bounded.
+    counts = {r.lang: r["count"] for r in usable.select("lang", "draw").distinct().groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, 0), np.float32))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.element_at(F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_language / n) * (1 << 30)))))), F.col("lang"))
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +160,8 @@ def fit_language(docs: DataFrame, per_language: int = 600, landmarks: int = 96,
                 bits = [r.tobytes() for r in np.packbits(presences(data, offsets), axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(bits, pa.binary())], ["draw", "lang", "bits"])
 
-    drawn = usable.where(draw < share)
-    sample = drawn.select(draw.alias("draw"), "lang", "text").mapInArrow(packed, "draw long, lang string, bits binary").collect()
+    drawn = usable.where(F.col("draw") < share).dropDuplicates(["lang", "draw"])
+    sample = drawn.select("draw", "lang", "text").mapInArrow(packed, "draw long, lang string, bits binary").collect()
     sample.sort(key=lambda r: (r.draw, r.lang, r.bits))
     languages = sorted({r.lang for r in sample})
     taken = {lang: 0 for lang in languages}

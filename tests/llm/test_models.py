@@ -242,7 +242,7 @@ def test_quality_of_odd_rows(spark, docs):
 
 def test_language_query_equals_plain_kernels(spark, small):
     """The sample, landmarks, Nystroem map and ridge redone with sets of n-gram places and plain solvers."""
-    rows = spark.read.parquet(f"{small}/documents.parquet").withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).collect()
+    rows = spark.read.parquet(f"{small}/documents.parquet").withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).collect()
     present = {r.doc_id: language_id.presences(*chunk(r.text or ""))[0].astype(np.float64) for r in rows}
     usable = sorted((r.draw, r.lang, r.doc_id) for r in rows if r.lang and r.text is not None and crc_fold(r.doc_id, 4) != 2)
     languages = sorted({lang for _, lang, _ in usable})
@@ -264,7 +264,10 @@ def test_language_query_equals_plain_kernels(spark, small):
     weights = root @ np.linalg.inv(z.T @ z + 1e-3 * len(sample) * np.eye(len(marks))) @ z.T @ target
     got = {r.doc_id: r for r in queries_models.op8_language_id(spark, small).collect()}
     for r in rows:
-        raw = unit(r.doc_id) @ m.T @ weights
+        whole = (r.text or "").encode()
+        cut = [whole[at : at + language_id.PIECE] for at in range(0, len(whole), language_id.PIECE)]
+        places = [language_id.presences(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].astype(np.float64) for x in cut]
+        raw = sum((len(x) / len(whole) * (p / np.sqrt(max(p.sum(), 1)) @ m.T @ weights) for x, p in zip(cut, places, strict=True)), np.zeros(len(languages)))
         if not any(map(str.isalpha, r.text or "")):
             assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
         else:
