@@ -30,7 +30,12 @@ NAMES = ("title", "document_type", "source", "participants", "segments")
 
 
 def assemble_documents(rows: DataFrame, key: str, sequence: Column, participant: Column, body: Column, title: Column, document_type: Column, provider: Column, roles: Column | None = None) -> DataFrame:
-    """Nested raw documents from flat rows, one row a segment; participants are the distinct speakers in order."""
+    """Nested raw documents from flat rows, one row a segment; participants are the distinct speakers in order.
+
+    A document is one row, so all its segments meet in one task; ``segment_rows`` does without. The rows are dealt to
+    as many tasks as the session has shuffle partitions: normalising costs far more than these small rows tell Spark.
+    """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
     speaker = F.struct(participant.alias("participant_id"), participant.alias("display_name"), (roles if roles is not None else F.lit(None)).cast("string").alias("role"), F.lit(None).cast("string").alias("organization"))
     said = F.struct(sequence.cast("long").alias("sequence"), participant.alias("participant_id"), body.alias("text"))
     nested = rows.groupBy(F.col(key)).agg(F.sort_array(F.collect_list(said)).alias("segments"), F.sort_array(F.collect_set(F.when(participant.isNotNull(), speaker))).alias("participants"))
@@ -200,6 +205,41 @@ def document_summary(df: DataFrame, engine: Column | None = None, status: Column
     return df.select("document_id", "fingerprint", F.size("segments").alias("segment_count"), (none if engine is None else engine).alias("engine"), (none if status is None else status).alias("validation_status"))
 
 
+def _identity(source: Column) -> Column:
+    """What a document's id is made of, normalised."""
+    return F.struct(text.clean_text(source["provider"]).alias("provider"), *(text.optional_text(source[f]).alias(f) for f in ("source_uri", "source_document_id")))
+
+
+def segment_rows(rows: DataFrame, source: Column, sequence: Column, participant: Column, body: Column, *keep: str) -> DataFrame:
+    """Normalised segments of flat rows, one row each, without gathering a document.
+
+    Returns the columns ``keep``, document_id, sequence, participant_id, text, segment_id and reason, which is why the
+    segment alone makes its document invalid.
+    """
+    made = rows.select(*keep, canonical.document_id(_identity(source)).alias("document_id"), sequence.cast("long").alias("sequence"), text.optional_text(participant).alias("participant_id"), text.clean_text(body).alias("text"))
+    reason = (
+        F.when(F.coalesce("sequence", F.lit(0)) <= 0, "sequence_not_positive")
+        .when(F.contains("participant_id", F.lit("\n")), "participant_id_multiline")
+        .when(F.coalesce("text", F.lit("")) == "", "segment_text_blank")
+    )
+    ident = canonical.segment_id(F.col("document_id"), F.col("sequence"), F.col("participant_id"), F.col("text"))
+    return made.withColumns({"segment_id": ident, "reason": reason})
+
+
+def accepted_segments(segments: DataFrame) -> DataFrame:
+    """Rows of ``segment_rows`` whose document has neither a segment with a reason nor a sequence twice."""
+    counts = segments.groupBy("document_id", "sequence").agg(F.count(F.lit(1)).alias("n"), F.max("reason").alias("reason"))
+    bad = counts.where("n > 1 or reason is not null").select("document_id").distinct()
+    return segments.drop("reason").join(bad, "document_id", "left_anti")
+
+
+def participant_rows(rows: DataFrame, source: Column, participant: Column, role: Column) -> DataFrame:
+    """The distinct speakers of flat rows, normalised: document_id, participant_id, display_name, role and organization."""
+    raw = rows.select(source.alias("source"), participant.alias("participant"), role.alias("role")).where("participant is not null").distinct()
+    name = text.clean_text(F.col("participant"))
+    return raw.select(canonical.document_id(_identity(F.col("source"))).alias("document_id"), name.alias("participant_id"), name.alias("display_name"), text.optional_text(F.col("role")).alias("role"), F.lit(None).cast("string").alias("organization"))
+
+
 def explode_segments(df: DataFrame) -> DataFrame:
     return exploded(df, "segments", "_at", "_item", "document_id").select("document_id", "_item.*")
 

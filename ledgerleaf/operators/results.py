@@ -97,8 +97,12 @@ def response_envelope(df: DataFrame) -> DataFrame:
 
 def check_evidence_ids(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows of ``evidence`` (document_id, segment_id, ...) that name no segment of their document."""
-    known = exploded(docs, "segments.segment_id", "_at", "segment_id", "document_id").drop("_at")
-    return evidence.join(known, ["document_id", "segment_id"], "left_anti")
+    return check_evidence_rows(exploded(docs, "segments.segment_id", "_at", "segment_id", "document_id"), evidence)
+
+
+def check_evidence_rows(segments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The flat form of ``check_evidence_ids``: ``segments`` (document_id, segment_id), one row each."""
+    return evidence.join(segments.select("document_id", "segment_id"), ["document_id", "segment_id"], "left_anti")
 
 
 def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
@@ -21,6 +21,17 @@ def raw_transcripts(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFra
     return D.assemble_documents(rows, "conv_id", F.col("turn") + first, F.col("role"), F.col("text"), title, F.lit("conversation"), F.lit("chat"), roles=F.col("role"))
 
 
+def turn_source() -> Column:
+    """The source of the transcript that a turn belongs to."""
+    return F.struct(F.lit("chat").alias("provider"), F.lit(None).cast("string").alias("source_uri"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("source_document_id"))
+
+
+def accepted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the accepted transcripts, one row each."""
+    rows = table(spark, sf_dir, "conversations")
+    return D.accepted_segments(D.segment_rows(rows, turn_source(), F.col("turn") + 1, F.col("role"), F.col("text"), "conv_id"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.normalize_documents(raw_transcripts(spark, sf_dir))
 
@@ -32,13 +43,20 @@ def transcript_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity of every segment."""
-    return D.explode_segments(D.split_valid(transcripts(spark, sf_dir))[0]).select("document_id", "sequence", "segment_id")
+    """Identity of every segment of an accepted transcript, from the flat rows."""
+    return accepted_turns(spark, sf_dir).select("document_id", "sequence", "segment_id")
 
 
 def transcript_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Participants of every transcript."""
-    return D.explode_participants(transcripts(spark, sf_dir)).select("document_id", "participant_id", "display_name", "role")
+    """Participants of every transcript, from the flat rows."""
+    return D.participant_rows(table(spark, sf_dir, "conversations"), turn_source(), F.col("role"), F.col("role")).drop("organization")
+
+
+def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and participants of every accepted transcript, from the nested documents."""
+    good = D.split_valid(transcripts(spark, sf_dir))[0]
+    said = D.explode_segments(good).select("document_id", F.col("segment_id").alias("item"), F.col("participant_id").alias("person"))
+    return said.unionAll(D.explode_participants(good).select("document_id", "role", "participant_id"))
 
 
 def rejected_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +115,7 @@ def document_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("document_id", "change", F.size("segments_added").alias("n_added"), F.size("segments_removed").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_identity, segment_identity, transcript_participants, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions)}
+QUERIES = {f.__name__: f for f in (transcript_identity, segment_identity, transcript_participants, nested_segments, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions)}
 
 #: DuckDB: white space and clean text as in ``ledgerleaf.functions.text``.
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -130,6 +148,8 @@ def distinct_turns() -> str:
 ORACLES = {
     "transcript_identity": f"with {document_ctes()} select conv_id, document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}",
     "segment_identity": f"with {document_ctes()} select document_id, sequence, segment_id from ids where {distinct_turns()}",
+    "nested_segments": f"""with {document_ctes()} select i.document_id, segment_id as item, participant_id as person from ids i join segs using (conv_id, sequence) where {distinct_turns()}
+        union all select distinct document_id, participant_id, participant_id from segs join docs using (conv_id) where {distinct_turns()}""",
     "transcript_participants": f"with {document_ctes()} select distinct document_id, participant_id, participant_id as display_name, participant_id as role from segs join docs using (conv_id)",
     "rejected_transcripts": f"""with {document_ctes(0)} select conv_id, 'sequence_not_positive' as first_error, count(*) filter (where sequence <= 0)::int as n_errors
         from segs group by conv_id having count(*) filter (where sequence <= 0) > 0""",

@@ -10,7 +10,7 @@ from ledgerleaf.operators import documents as D
 from ledgerleaf.operators import jsonschema as J
 from ledgerleaf.operators import registry as G
 from ledgerleaf.operators import results as X
-from ledgerleaf.plans.transcripts import distinct_turns, document_ctes, table, transcripts
+from ledgerleaf.plans.transcripts import accepted_turns, distinct_turns, document_ctes, table, transcripts
 
 def event_request() -> J.SchemaRequest:
     return J.schema_request("event props", 1, {"type": "object", "additionalProperties": False, "required": ["k", "source"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 90}}})
@@ -75,10 +75,9 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unknown_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence that names no segment: a copied id in conversations 0 modulo 4 is changed."""
-    good = D.split_valid(transcripts(spark, sf_dir))[0]
-    cited = exploded(good, "segments", "at", "s", "conv_id", "document_id").select("conv_id", "document_id", "s.*")
+    good = accepted_turns(spark, sf_dir)
     ident = F.when(F.col("conv_id") % 4 == 0, F.concat("segment_id", F.lit("x"))).otherwise(F.col("segment_id"))
-    return X.check_evidence_ids(good, cited.select("document_id", ident.alias("segment_id"), "sequence"))
+    return X.check_evidence_rows(good, good.select("document_id", ident.alias("segment_id"), "sequence"))
 
 
 def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
