@@ -153,3 +153,83 @@ def test_engines(spark):
         engines.apply("drops", df)
     with pytest.raises(ValueError):
         engines.register("upper", lambda df: df)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        {"required": "abc"},
+        {"required": ["a", "a"]},
+        {"minLength": "x"},
+        {"minLength": -1},
+        {"maxItems": -1},
+        {"maxItems": 1.5},
+        {"pattern": "("},
+        {"patternProperties": {"(": True}},
+        {"properties": [1]},
+        {"properties": {"a": 1}},
+        {"minimum": "x"},
+        {"minimum": True},
+        {"multipleOf": 0},
+        {"uniqueItems": 1},
+        {"enum": "a"},
+        {"items": [True]},
+        {"anyOf": []},
+        {"not": None},
+        {"$defs": {"a": {"type": "text"}}},
+        {"dependentRequired": {"a": "b"}},
+        {"properties": {"a": {"items": {"maxLength": []}}}},
+        {"title": 1},
+    ],
+)
+def test_malformed_schemas_are_refused(spark, part):
+    with pytest.raises(J.SchemaRequestError):
+        J.schema_request("s", 1, {"type": "object", **part})
+
+
+def test_well_formed_schemas_pass(spark):
+    assert J.schema_request(" s ", 2, {"type": "object", "minProperties": 1.0, "properties": {"a": True, "b": {"type": ["string", "null"], "default": 3}}}).name == "s"
+
+
+def test_whole_numbers_are_compared_exactly(spark):
+    big = 9007199254740993
+    schema = {"type": "object", "properties": {"a": {"maximum": big - 1}, "b": {"const": big}, "c": {"exclusiveMinimum": big}, "d": {"multipleOf": 2}, "e": {"maximum": 0.5}}}
+    got = errors(spark, schema, f'{{"a":{big}}}', f'{{"a":{big - 1},"b":{big - 1}}}', f'{{"b":{big},"c":{big}}}', f'{{"c":{big + 1},"d":{10**30 + 1}}}', f'{{"d":{10**30},"e":1}}', '{"a":1e3,"e":0.5,"d":4.0}')
+    assert [[(p, v) for p, _, v in row] for row in got] == [[('$["a"]', "maximum")], [('$["b"]', "const")], [('$["c"]', "exclusiveMinimum")], [('$["d"]', "multipleOf")], [('$["e"]', "maximum")], []]
+
+
+def test_paths_quote_keys_as_json(spark):
+    schema = {"type": "object", "additionalProperties": {"type": "string"}, "patternProperties": {"^é": {"minimum": 3}}}
+    (got,) = errors(spark, schema, {'a"b': 1, "c\n": 2, "é\\": 1})
+    assert sorted(p for p, _, _ in got) == ['$["a\\"b"]', '$["c\\n"]', '$["é\\\\"]']
+
+
+def test_ties_register_one_result(spark):
+    payload = json.dumps({"engine": "e", "document_type": "t", "data": {}, "validation_status": "valid"})
+    other = payload.replace('"e"', '"f"')
+    docs = spark.createDataFrame([(i, "Uploaded", None, None) for i in "abcd"], "id string, status string, document_type string, processed_at timestamp")
+    taken = spark.createDataFrame([("d",)], "document_id string")
+    rows = [("a", 1, payload), ("a", 1, payload), ("a", 1, other), ("a", None, payload), ("b", None, payload), ("b", None, payload), ("c", None, payload), ("c", 9, other), ("d", 1, payload), ("z", 1, payload), ("a", 0, "{}"), (None, 1, payload)]
+    incoming = spark.createDataFrame([(*r, "x") for r in rows], "document_id string, arrival bigint, payload string, known string").repartition(5)
+    done = G.register_results(docs, taken, incoming.drop("known"))
+    got = sorted((r.document_id or "", r.outcome) for r in done.collect())
+    assert got == sorted([("a", 201), ("a", 409), ("a", 409), ("a", 409), ("b", 201), ("b", 409), ("c", 201), ("c", 409), ("d", 409), ("z", 404), ("a", 400), ("", 404)])
+    assert done.where("document_id = 'c' and outcome = 201").first().arrival == 9
+    after = G.apply_status(docs, done.unionByName(done), F.current_timestamp()).orderBy("id").collect()
+    assert [(r.id, r.status) for r in after] == [("a", "Processed"), ("b", "Processed"), ("c", "Processed"), ("d", "Uploaded")]
+
+
+def test_a_stream_of_many_batches_keeps_one_result(spark, tmp_path, monkeypatch):
+    from ledgerleaf.streaming import registration
+
+    monkeypatch.setattr(registration, "COMPACTED", 3)
+    spark.createDataFrame([(str(i), "Uploaded") for i in range(4)], "id string, status string").write.parquet(str(tmp_path / "docs"))
+    payload = json.dumps({"engine": "e", "document_type": "t", "data": {}, "validation_status": "valid"})
+    schema = "document_id string, arrival bigint, payload string"
+    for n in range(8):
+        spark.createDataFrame([(str(n % 4), n, payload), (str(n % 2), n, payload)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    register_results_stream(stream, str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.document_id for r in done.where("outcome = 201").collect()) == list("0123") and done.count() == 16
+    assert {r.kind for r in spark.read.parquet(str(tmp_path / "out-ids")).select("kind").distinct().collect()} == {"new", "whole"}
