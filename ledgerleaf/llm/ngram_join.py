@@ -50,7 +50,7 @@ BAND_RATIO = 1.5
 SIGNATURE_BITS = 512
 BLOCK_ROWS = 512
 #: Tile entries that a task packs at once and that a shard should hold; partners of a set that are dealt together.
-HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 2_000_000, 1_000_000, 4096
+HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 500_000, 500_000, 4096
 #: Rows up to which a narrow table is broadcast, counted first.
 BROADCAST_ROWS = 2_000_000
 _FEW = np.uint64(0x5851F42D4C957F2D)
@@ -298,8 +298,8 @@ def _met(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
 
     ``values`` has the columns of each node. A b with very many partners meets them in groups of bounded size.
     """
-    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups"))
-    partners = pairs.join(groups, "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"), F.col("a").alias("partner"))
+    groups = cut_lineage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups")))
+    partners = pairs.join(small_or_joined(groups), "b").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"), F.col("a").alias("partner"))
     leads = groups.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("partner"))
     roles = small_or_joined(cut_lineage(partners.unionByName(leads)))
     dealt = values.join(roles, "node").repartition(_parts(pairs), "lead", "group").sortWithinPartitions("lead", "group", F.col("partner").asc_nulls_first())
@@ -360,7 +360,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, th
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
         give_back()
 
-    maybe = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_possible(threshold))
+    pairs = cut_lineage(pairs.select("a", "b"))
+    # Only the signatures of sets that have a pair shuffle.
+    paired = small_or_joined(cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    sets = sets.join(paired, "node", "left_semi")
+    maybe = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(threshold))
     # A signature says little of sets that fill it; wide bitmaps are far smaller than the texts yet.
     maybe = _compact(maybe.select("a", "b", (F.least("a_n", "b_n") > SIGNATURE_BITS // 2).alias("large")))
     maybe = cut_lineage(maybe.where("not large").select("a", "b").unionAll(_bounded(maybe.where("large").select("a", "b"), sets, threshold)))
