@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import queries_bytes, queries_corpus, queries_models, queries_native
+from ledgerleaf.llm import queries_bytes, queries_corpus, queries_models, queries_native, queries_spans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_native, queries_bytes, queries_models, queries_corpus):
+for _module in (queries_native, queries_bytes, queries_models, queries_corpus, queries_spans):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
