@@ -9,9 +9,9 @@ the end sums go up and the edges are expanded into nodes.
 
 Strings are dealt by ranges of their prefixes, so that each task's tries are neighbours of few others, and equal
 conversations, however many, are split by their ids; a node that several tasks have is joined by an aggregate over
-tries' nodes. A conversation is cut into segments of ``SEGMENT`` turns, each a string of the trie below the node where
+tries' nodes. A conversation is cut into segments of ``segment_turns``, each a string of the trie below the node where
 it begins, and turns are numbered in two levels, by ranges, so no task gathers a conversation. A task's tries are
-emitted and begun anew from ``HELD`` turns on.
+emitted and begun anew from ``most_held`` turns on.
 
 Sums over a subtree need no walk: a conversation owns the nodes whose smallest member it is, which are the last ones of
 its path, so the nodes shared with smaller ones are a prefix of it. Inserted with its bytes, that prefix adds to each
@@ -125,7 +125,7 @@ class ZFastTrie:
         return out
 
 
-def _expanded(tries: dict[tuple, ZFastTrie]) -> Iterator[pa.RecordBatch]:
+def _expanded(tries: dict[tuple, ZFastTrie], segment_turns: int) -> Iterator[pa.RecordBatch]:
     """Sums of all strings through each node, for every node of every edge."""
     columns: list[list] = [[] for _ in range(11)]
     for (segment, *_), trie in tries.items():
@@ -143,7 +143,7 @@ def _expanded(tries: dict[tuple, ZFastTrie]) -> Iterator[pa.RecordBatch]:
                 rows = [(*x.names[0], 0, None, None, 0, 0)]
             else:
                 sizes, names = x.sizes, x.names
-                rows = [(*names[d], segment * SEGMENT + d, *names[d - 1], sizes[d] - sizes[d - 1], sizes[d - 1]) for d in range(x.parent.extent + 1, x.extent + 1)]
+                rows = [(*names[d], segment * segment_turns + d, *names[d - 1], sizes[d] - sizes[d - 1], sizes[d - 1]) for d in range(x.parent.extent + 1, x.extent + 1)]
             for column, values in zip(columns, zip(*rows, strict=True), strict=False):
                 column.extend(values)
             for column, value in zip(columns[7:], (x.passing, x.ending, x.amount, x.conv_id), strict=True):
@@ -170,7 +170,7 @@ def _strings(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield int(segment[i]), list(zip(first, second, strict=True)), (sums[lo : hi + 1] - sums[lo] + osize[i]).tolist(), w
 
 
-def trie_nodes(strings: DataFrame) -> DataFrame:
+def trie_nodes(strings: DataFrame, segment_turns: int = SEGMENT, most_held: int = HELD) -> DataFrame:
     """All nodes of the trie of ``strings``, with the weights of the strings through each: sums, and the least conv_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +187,10 @@ def trie_nodes(strings: DataFrame) -> DataFrame:
                 node.amount += amount
                 node.conv_id = conv_id if node.conv_id is None else min(node.conv_id, conv_id)
                 held += len(names)
-            if held > HELD:
-                yield from _expanded(tries)
+            if held > most_held:
+                yield from _expanded(tries, segment_turns)
                 tries, held = {}, 0
-        yield from _expanded(tries)
+        yield from _expanded(tries, segment_turns)
 
     first = [F.get(F.col("items"), F.lit(k)).getField("s1").alias(f"_r{k}") for k in range(3)]
     parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -210,7 +210,7 @@ def _name(total: Column) -> Column:
     return F.pmod(total, F.lit(1 << BITS).cast("decimal(38,0)")).cast("long")
 
 
-def rebuilt_strings(turns: DataFrame, heads_below: int, family: int) -> DataFrame:
+def rebuilt_strings(turns: DataFrame, heads_below: int, family: int, segment_turns: int = SEGMENT) -> DataFrame:
     """Every rebuilt conversation, in segments of hashed turns with what stands before each.
 
     A conversation begins with the first h turns of the first of its ``family`` neighbouring ids, then has its own behind
@@ -248,7 +248,7 @@ def rebuilt_strings(turns: DataFrame, heads_below: int, family: int) -> DataFram
     hashed = [F.when(F.col("depth").isNotNull(), F.shiftrightunsigned(F.xxhash64("depth", f"t{k}"), 64 - BITS)).alias(f"s{k}") for k in (1, 2)]
     turns_of = own.unionAll(taken).select("conv_id", "depth", *hashed, "size")
 
-    segment = F.coalesce(F.floor((F.col("depth") - 1) / SEGMENT).cast("long"), F.lit(0)).alias("segment")
+    segment = F.coalesce(F.floor((F.col("depth") - 1) / segment_turns).cast("long"), F.lit(0)).alias("segment")
     item = F.when(F.col("depth").isNotNull(), F.struct("depth", "s1", "s2", "size"))
     strings = turns_of.groupBy("conv_id", segment).agg(F.sort_array(F.collect_list(item)).cast(_ITEMS).alias("items"), *(F.coalesce(_summed(c), F.lit(0)).alias(f"sum_{c}") for c in ("s1", "s2", "size")))
     before = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
@@ -301,16 +301,16 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return lists.repartition(parts, "e1", "e2").sortWithinPartitions("e1", "e2", "first").mapInArrow(_digested, "e1 long, e2 long, ends_sha256 string")
 
 
-def prefix_trie(turns: DataFrame, heads_below: int = 9, family: int = 5) -> DataFrame:
+def prefix_trie(turns: DataFrame, heads_below: int = 9, family: int = 5, segment_turns: int = SEGMENT, most_held: int = HELD) -> DataFrame:
     """All nodes of the trie of the rebuilt conversations of ``turns`` (conv_id, turn, role, text).
 
     Returns conv_id (the smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens (bytes of
     text that members share in the node's subtree) and ends_sha256 (of the ids that end in the node).
     """
-    strings = written(rebuilt_strings(turns, heads_below, family))
+    strings = written(rebuilt_strings(turns, heads_below, family, segment_turns))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     whole = strings.select("segment", "o1", "o2", "osize", "items", one.alias("passing"), none.alias("ending"), none.alias("amount"), "conv_id")
-    nodes = written(trie_nodes(whole).drop("ending", "amount"))
+    nodes = written(trie_nodes(whole, segment_turns, most_held).drop("ending", "amount"))
     children = nodes.where(F.col("p1").isNotNull()).groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = nodes.join(children, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").drop("c1", "c2")
     nodes = written(nodes.withColumn("n_children", F.coalesce("n_children", none)))
@@ -318,11 +318,11 @@ def prefix_trie(turns: DataFrame, heads_below: int = 9, family: int = 5) -> Data
     # Of each conversation that owns nodes: where the first is, the bytes above it, and whether the last is a leaf.
     owned = nodes.groupBy(F.col("conv_id").alias("owner")).agg(F.min("depth").alias("top"), F.min_by("above", "depth").alias("shared"), F.min_by("n_children", -F.col("depth")).alias("below"))
     placed = strings.join(owned, F.col("conv_id") == F.col("owner"), "left")
-    last = F.when(F.col("top").isNull(), F.col("length")).otherwise(F.greatest(F.col("top") - 1, none)) - F.col("segment") * SEGMENT
+    last = F.when(F.col("top").isNull(), F.col("length")).otherwise(F.greatest(F.col("top") - 1, none)) - F.col("segment") * segment_turns
     keys = ["segment", "o1", "o2", "osize"]
     stops = placed.where((F.col("segment") == 0) | (last > 0)).select(*keys, F.slice("items", F.lit(1), last.cast("int")).alias("items"), one.alias("passing"), none.alias("ending"), F.coalesce("shared", "esize").alias("amount"), "conv_id")
     leaves = placed.where("below = 0").select(*keys, "items", none.alias("passing"), one.alias("ending"), none.alias("amount"), "conv_id")
-    sums = trie_nodes(stops.unionAll(leaves)).select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), F.col("passing").alias("sharing"), F.col("ending").alias("n_leaves"), "amount")
+    sums = trie_nodes(stops.unionAll(leaves), segment_turns, most_held).select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), F.col("passing").alias("sharing"), F.col("ending").alias("n_leaves"), "amount")
     ends = end_digests(strings.where("segment = 0").select("e1", "e2", "conv_id"))
     parents = nodes.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(sums, (F.col("h1") == F.col("u1")) & (F.col("h2") == F.col("u2")), "left")
