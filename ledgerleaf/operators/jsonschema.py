@@ -2,16 +2,20 @@
 
 Payloads are read as VARIANT for the checks and stay raw text otherwise: nothing is coerced, filled in or reordered.
 Errors are {path, schema_path, validator, message}, sorted; paths and validators follow Draft 2020-12, messages are
-our own. Text that is no JSON, duplicate keys and NaN count as invalid JSON.
+our own. Text that is no JSON, duplicate keys and NaN count as invalid JSON. Keywords that the draft does not know, and
+``format``, say nothing; patterns are Python's.
+
+A schema that refers to itself has no finite expression. Its references are followed a few times within one, and what
+lies deeper leaves it as calls (schema, path, value), rows of a frontier that is validated in turn until none is left:
+see ``recursion``.
 """
 
 from __future__ import annotations
 
 import json
 import operator
-import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
@@ -21,14 +25,12 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
 from ledgerleaf.functions.nested import exploded
+from ledgerleaf.functions.regex import java_regex
+from ledgerleaf.operators.schema_graph import HOLD_LIST, HOLD_MEMBERS, HOLD_SCHEMA, SHAPES, SchemaGraph, SchemaRequestError, check_schema, schema_path
 
 ERROR = "array<struct<path:string,schema_path:string,validator:string,message:string>>"
-TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
-ANNOTATIONS = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$anchor"}
-
-
-class SchemaRequestError(ValueError):
-    """A request that no extraction may start with."""
+#: Keywords that check a value; those beside ``if`` and ``contains`` are applied by them.
+CHECKED = ({*SHAPES, *HOLD_SCHEMA, *HOLD_LIST, *HOLD_MEMBERS, "const"}) - {"then", "else", "minContains", "maxContains"}
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class SchemaRequest:
     name: str
     version: int
     schema: dict
+    plan: SchemaPlan | None = field(default=None, compare=False, repr=False)
 
 
 def schema_request(name: str, version: int, schema: dict, **unknown: object) -> SchemaRequest:
@@ -49,75 +52,14 @@ def schema_request(name: str, version: int, schema: dict, **unknown: object) ->
     if not isinstance(schema, dict) or schema.get("type") != "object":
         raise SchemaRequestError("the root of the schema must be of type object")
     check_schema(schema)
-    request = SchemaRequest(name.strip(), version, schema)
-    Compiler(schema).errors(F.lit(None).cast("variant"), schema, F.lit("$"), ())
-    return request
-
-
-def _is_number(x: object) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x and abs(x) != float("inf")
-
-
-def _is_count(x: object) -> bool:
-    return _is_number(x) and x == int(x) and x >= 0
-
-
-def _is_names(x: object) -> bool:
-    return isinstance(x, list) and all(isinstance(n, str) for n in x) and len(set(x)) == len(x)
-
-
-def _is_regex(x: object) -> bool:
-    try:
-        return isinstance(x, str) and re.compile(x) is not None
-    except re.error:
-        return False
-
-
-def _is_type(x: object) -> bool:
-    return x in TYPES if isinstance(x, str) else _is_names(x) and bool(x) and set(x) <= set(TYPES)
-
-
-#: What the value of each keyword must be; keywords that hold schemas stand below.
-SHAPES: dict[str, Callable[[object], bool]] = {
-    "type": _is_type,
-    "enum": lambda x: isinstance(x, list),
-    "multipleOf": lambda x: _is_number(x) and x > 0,
-    "required": _is_names,
-    "dependentRequired": lambda x: isinstance(x, dict) and all(map(_is_names, x.values())),
-    "pattern": _is_regex,
-    **dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), _is_number),
-    **dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems", "minContains", "maxContains", "minProperties", "maxProperties"), _is_count),
-    **dict.fromkeys(("uniqueItems", "deprecated", "readOnly", "writeOnly"), lambda x: isinstance(x, bool)),
-    **dict.fromkeys(("$ref", "$schema", "$id", "$comment", "$anchor", "title", "description", "format"), lambda x: isinstance(x, str)),
-    "examples": lambda x: isinstance(x, list),
-}
-HOLD_SCHEMA = ("items", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else")
-HOLD_LIST = ("prefixItems", "allOf", "anyOf", "oneOf")
-HOLD_MEMBERS = ("properties", "patternProperties", "$defs", "definitions")
-
-
-def check_schema(schema: object, at: tuple[str, ...] = ()) -> None:
-    """Raise SchemaRequestError unless a schema is well formed by Draft 2020-12, all its parts included."""
-    if isinstance(schema, bool):
-        return
-    if not isinstance(schema, dict):
-        raise SchemaRequestError(f"{schema_path(at)} is no schema")
-    for word, value in schema.items():
-        here = (*at, word)
-        if word in SHAPES and not SHAPES[word](value):
-            raise SchemaRequestError(f"{schema_path(here)} is malformed")
-        if word in HOLD_SCHEMA:
-            check_schema(value, here)
-        elif word in HOLD_LIST:
-            if not isinstance(value, list) or not value:
-                raise SchemaRequestError(f"{schema_path(here)} must be a list of schemas")
-            for k, part in enumerate(value):
-                check_schema(part, (*here, str(k)))
-        elif word in HOLD_MEMBERS:
-            if not isinstance(value, dict) or (word == "patternProperties" and not all(map(_is_regex, value))):
-                raise SchemaRequestError(f"{schema_path(here)} must hold schemas by name")
-            for name, part in value.items():
-                check_schema(part, (*here, name))
+    plan = SchemaPlan(schema)
+    if plan.recursive:
+        from ledgerleaf.operators.recursion import compiled
+
+        compiled(plan)
+    else:
+        Compiler(plan).entry(0)
+    return SchemaRequest(name.strip(), version, schema, plan)
 
 
 def instance_path(parent: Column, key: str | Column | None = None, index: Column | None = None) -> Column:
@@ -127,11 +69,6 @@ def instance_path(parent: Column, key: str | Column | None = None, index: Column
     return F.concat(parent, F.lit(f"[{json.dumps(key, ensure_ascii=False)}]")) if key is not None else F.concat(parent, F.lit("["), index.cast("string"), F.lit("]"))
 
 
-def schema_path(parts: tuple[str, ...]) -> str:
-    """JSON pointer of a place in the schema."""
-    return "#" + "".join("/" + p.replace("~", "~0").replace("/", "~1") for p in parts)
-
-
 def kind(v: Column) -> Column:
     """The JSON type of a variant; a whole number is an integer whatever it is written as; null for no value."""
     of = F.schema_of_variant(v)
@@ -160,42 +97,124 @@ def _quoted(key: str) -> str:
     raise SchemaRequestError("a key with both kinds of quotes is not supported")
 
 
+class SchemaPlan:
+    """A schema and the places in it that calls lead to, the root first: (schema, resources passed)."""
+
+    #: References to one schema within an expression, and how many expressions may come of them.
+    DEPTH, SIZE = 4, 32
+
+    def __init__(self, schema: dict, depth: int | None = None) -> None:
+        self.graph = SchemaGraph(schema)
+        self.targets: list[tuple[object, tuple[str, ...]]] = [(schema, self.graph.enter(schema, ()))]
+        self.recursive = self.graph.recursive(schema)
+        self.conditional = False
+        self.compiled: tuple[Column, Column] | None = None
+        branches = self.graph.branching() if self.recursive else 0
+        self.depth = depth or next((d for d in range(self.DEPTH, 1, -1) if branches**d <= self.SIZE), 1)
+
+    def target(self, schema: object, scope: tuple[str, ...]) -> int:
+        found = next((i for i, (x, s) in enumerate(self.targets) if x is schema and s == scope), None)
+        if found is None:
+            self.targets.append((schema, scope))
+            found = len(self.targets) - 1
+        return found
+
+
 class Compiler:
-    def __init__(self, root: dict) -> None:
-        self.root = root
-        self.open: tuple[str, ...] = ()
+    """Errors of a value as an expression; of a call, whether its key is among ``bad``."""
+
+    TYPE = ERROR
+
+    def __init__(self, plan: SchemaPlan, start: Column | None = None, bad: Column | None = None) -> None:
+        self.plan, self.graph = plan, plan.graph
+        self.start, self.bad = start, bad
+        self.scope: tuple[str, ...] = ()
+        self.open: tuple[int, ...] = ()
+        self.here: tuple[int, ...] = ()
+        self.strict = True
+
+    def entry(self, target: int, v: Column | None = None, path: Column | None = None) -> Column:
+        """The expression of one of the plan's places."""
+        schema, self.scope = self.plan.targets[target]
+        self.open = self.here = (id(schema),)
+        return self.errors(F.lit(None).cast("variant") if v is None else v, schema, F.lit("$") if path is None else path, ())
+
+    @property
+    def none(self) -> Column:
+        return F.array().cast(self.TYPE)
+
+    def joined(self, parts) -> Column:
+        return F.concat(self.none, *parts)
+
+    def idle(self, schema: object) -> bool:
+        """Whether nothing can come of a schema."""
+        return schema is True or schema == {}
 
     def errors(self, v: Column, schema: dict | bool, path: Column, at: tuple[str, ...]) -> Column:
         """All errors of ``v`` (null: absent, no error) as one array."""
-        none = F.array().cast(ERROR)
-        if schema is True or schema == {}:
-            return none
+        if self.idle(schema):
+            return self.none
         if schema is False:
             return self.error(v.isNotNull(), path, at, "false schema", "no value is allowed")
-        if not isinstance(schema, dict):
-            raise SchemaRequestError(f"{schema_path(at)} is no schema")
+        scope, self.scope = self.scope, self.graph.enter(schema, self.scope)
         parts = []
         for word in sorted(schema):
-            if word in ANNOTATIONS or word in ("then", "else", "minContains", "maxContains"):
-                continue
-            method = getattr(self, "on_" + word.lstrip("$").lower(), None)
-            if method is None:
-                raise SchemaRequestError(f"{schema_path((*at, word))} is not supported")
-            parts.append(method(v, schema[word], schema, path, (*at, word)))
-        return F.concat(none, *parts)
+            method = getattr(self, "on_" + word.lstrip("$").lower(), None) if word in CHECKED else None
+            if method is not None:
+                parts.append(method(v, schema[word], schema, path, (*at, word)))
+        self.scope = scope
+        return self.joined(parts)
+
+    def child(self, v: Column, schema: dict | bool, path: Column, at: tuple[str, ...]) -> Column:
+        """``errors`` of a value inside the present one."""
+        here, self.here = self.here, ()
+        try:
+            return self.errors(v, schema, path, at)
+        finally:
+            self.here = here
+
+    def place(self, at: tuple[str, ...]) -> Column:
+        return F.lit(schema_path(at)) if self.start is None else F.concat(self.start, F.lit(schema_path(at)[1:]))
 
-    def error(self, wrong: Column, path: Column, at: tuple[str, ...], validator: str, message: str | Column) -> Column:
-        one = F.struct(path.alias("path"), F.lit(schema_path(at)).alias("schema_path"), F.lit(validator).alias("validator"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
-        return F.when(F.coalesce(wrong, F.lit(False)), F.array(one).cast(ERROR)).otherwise(F.array().cast(ERROR))
+    def error(self, wrong: Column, path: Column, at: tuple[str, ...], validator: str | Column, message: str | Column) -> Column:
+        column = lambda x: F.lit(x) if isinstance(x, str) else x
+        one = F.struct(path.alias("path"), self.place(at).alias("schema_path"), column(validator).alias("validator"), column(message).alias("message"))
+        return F.when(F.coalesce(wrong, F.lit(False)), F.array(one).cast(ERROR)).otherwise(self.none)
 
-    def valid(self, v: Column, schema: dict | bool, at: tuple[str, ...]) -> Column:
-        return F.size(self.errors(v, schema, F.lit(""), at)) == 0
+    def valid(self, v: Column, schema: dict | bool, path: Column, at: tuple[str, ...], inside: bool = False) -> Column:
+        """Whether ``v`` fits; calls in there are decided by their keys."""
+        strict, self.strict = self.strict, False
+        try:
+            return F.size((self.child if inside else self.errors)(v, schema, path, at)) == 0
+        finally:
+            self.strict = strict
+
+    def call(self, v: Column, schema: object, path: Column, at: tuple[str, ...]) -> Column:
+        if self.strict:
+            return self.none  # its errors are rows of their own
+        self.plan.conditional = True
+        key = F.concat(F.lit(f"{self.plan.target(schema, self.graph.enter(schema, self.scope))}|"), path)
+        return self.error(v.isNotNull() & F.array_contains(F.lit(None).cast("array<string>") if self.bad is None else self.bad, key), path, at, "$ref", "must fit the schema")
+
+    def followed(self, target: object, use: Callable[[object], Column]) -> Column:
+        """``use`` of a reference's target, unless it leads back to itself without any value between."""
+        if id(target) in self.here:
+            raise SchemaRequestError("a schema refers to itself about the same value")
+        kept = self.open, self.here
+        self.open, self.here = (*self.open, id(target)), (*self.here, id(target))
+        try:
+            return use(target)
+        finally:
+            self.open, self.here = kept
+
+    def referred(self, v, target, path, at):
+        if self.plan.recursive and self.open.count(id(target)) >= self.plan.depth and self.graph.recursive(target):
+            return self.call(v, target, path, at)
+        return self.followed(target, lambda t: self.errors(v, t, path, at))
 
     # types and values
     def on_type(self, v, wanted, schema, path, at):
         names = [wanted] if isinstance(wanted, str) else wanted
-        if not isinstance(names, list) or not names or any(n not in TYPES for n in names):
-            raise SchemaRequestError(f"{schema_path(at)} names no type")
         allowed = set(names) | ({"integer"} if "number" in names else set())
         return self.error(~kind(v).isin(*sorted(allowed)), path, at, "type", f"must be of type {' or '.join(names)}")
 
@@ -206,8 +225,6 @@ class Compiler:
         return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value, ensure_ascii=False))))
 
     def on_enum(self, v, values, schema, path, at):
-        if not isinstance(values, list):
-            raise SchemaRequestError(f"{schema_path(at)} must be a list")
         found = reduce(or_, (F.coalesce(self.same(v, x), F.lit(False)) for x in values), F.lit(False))
         return self.error(v.isNotNull() & ~found, path, at, "enum", "must be one of the listed values")
 
@@ -257,22 +274,24 @@ class Compiler:
         return self.error(F.length(self.string(v)) > n, path, at, "maxLength", f"must have {n} characters or fewer")
 
     def on_pattern(self, v, pattern, schema, path, at):
-        return self.error(~self.string(v).rlike(pattern), path, at, "pattern", "must match the pattern")
+        return self.error(~self.string(v).rlike(java_regex(pattern)), path, at, "pattern", "must match the pattern")
 
     # arrays
     def items(self, v: Column) -> Column:
         return F.when(kind(v) == "array", v.cast("array<variant>"))
 
     def each(self, found: Column | None) -> Column:
-        return F.coalesce(F.flatten(found), F.array().cast(ERROR))
+        return F.coalesce(F.flatten(found), self.none)
 
     def on_items(self, v, sub, schema, path, at):
+        if self.idle(sub):
+            return self.none
         after = len(schema.get("prefixItems", ()))
         rest = F.slice(self.items(v), after + 1, F.greatest(F.size(self.items(v)) - after, F.lit(0))) if after else self.items(v)
-        return self.each(F.transform(rest, lambda x, i: self.errors(x, sub, instance_path(path, index=i + after), at)))
+        return self.each(F.transform(rest, lambda x, i: self.child(x, sub, instance_path(path, index=i + after), at)))
 
     def on_prefixitems(self, v, subs, schema, path, at):
-        return F.concat(F.array().cast(ERROR), *(self.errors(F.get(self.items(v), F.lit(k)), s, instance_path(path, index=F.lit(k)), (*at, str(k))) for k, s in enumerate(subs)))
+        return self.joined(self.child(F.get(self.items(v), F.lit(k)), s, instance_path(path, index=F.lit(k)), (*at, str(k))) for k, s in enumerate(subs))
 
     def on_minitems(self, v, n, schema, path, at):
         return self.error(F.size(self.items(v)) < n, path, at, "minItems", f"must have {n} items or more")
@@ -284,38 +303,53 @@ class Compiler:
         written = F.transform(self.items(v), lambda x: F.to_json(x))  # noqa: PLW0108  to_json has a second parameter
         return self.error((F.size(F.array_distinct(written)) < F.size(written)) if wanted else F.lit(False), path, at, "uniqueItems", "items must differ")
 
+    def fitting(self, v, sub, path, at) -> Column:
+        """Indices of the items that fit."""
+        fits = F.transform(self.items(v), lambda x, i: F.when(self.valid(x, sub, instance_path(path, index=i), at, inside=True), i))
+        return F.array_compact(fits)
+
     def on_contains(self, v, sub, schema, path, at):
-        n = F.size(F.filter(self.items(v), lambda x: self.valid(x, sub, at)))
+        n = F.size(self.fitting(v, sub, path, at))
         low, high = schema.get("minContains", 1), schema.get("maxContains")
-        return self.error((n < low) | (n > high if high is not None else F.lit(False)), path, at, "contains", "has too few or too many fitting items")
+        many = n > high if high is not None else F.lit(False)
+        validator = F.when(many, "maxContains").when(n > 0, "minContains").otherwise("contains")
+        return self.error((n < low) | many, path, at, validator, "has too few or too many fitting items")
 
     # objects
     def keys(self, v: Column) -> Column:
         return F.when(kind(v) == "object", F.map_keys(v.cast("map<string,variant>")))
 
     def on_properties(self, v, subs, schema, path, at):
-        inside = F.when(kind(v) == "object", v)
-        return F.concat(F.array().cast(ERROR), *(self.errors(member(inside, k), s, instance_path(path, k), (*at, k)) for k, s in subs.items()))
+        return self.joined(self.child(member(v, k), s, instance_path(path, k), (*at, k)) for k, s in subs.items() if not self.idle(s))
 
     def on_required(self, v, names, schema, path, at):
-        return F.concat(F.array().cast(ERROR), *(self.error(~F.array_contains(self.keys(v), k), path, at, "required", f"{json.dumps(k)} is required") for k in names))
+        return self.joined(self.error(~F.array_contains(self.keys(v), k), path, at, "required", f"{json.dumps(k)} is required") for k in names)
 
-    def on_additionalproperties(self, v, sub, schema, path, at):
+    def additional(self, v, schema) -> Column:
+        """The members that neither a name nor a pattern of the schema covers."""
         named = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
-        extra = F.filter(F.array_except(self.keys(v), named), lambda k: reduce(and_, (~k.rlike(p) for p in schema.get("patternProperties", {})), F.lit(True)))
+        patterns = [java_regex(p) for p in schema.get("patternProperties", {})]
+        return F.filter(F.array_except(self.keys(v), named), lambda k: reduce(and_, (~k.rlike(p) for p in patterns), F.lit(True)))
+
+    def on_additionalproperties(self, v, sub, schema, path, at):
+        if self.idle(sub):
+            return self.none
+        extra = self.additional(v, schema)
         if sub is False:
             return self.error(F.size(extra) > 0, path, at, "additionalProperties", F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(extra), ", ")))
         values = F.map_filter(F.when(kind(v) == "object", v.cast("map<string,variant>")), lambda k, _: F.array_contains(extra, k))
-        return self.each(F.transform(F.map_entries(values), lambda e: self.errors(e["value"], sub, instance_path(path, e["key"]), at)))
+        return self.each(F.transform(F.map_entries(values), lambda e: self.child(e["value"], sub, instance_path(path, e["key"]), at)))
 
     def on_patternproperties(self, v, subs, schema, path, at):
         entries = F.map_entries(F.when(kind(v) == "object", v.cast("map<string,variant>")))
-        of = lambda p, s: self.each(F.transform(F.filter(entries, lambda e: e["key"].rlike(p)), lambda e: self.errors(e["value"], s, instance_path(path, e["key"]), (*at, p))))
-        return F.concat(F.array().cast(ERROR), *(of(p, s) for p, s in subs.items()))
+        of = lambda p, s: self.each(F.transform(F.filter(entries, lambda e: e["key"].rlike(java_regex(p))), lambda e: self.child(e["value"], s, instance_path(path, e["key"]), (*at, p))))
+        return self.joined(of(p, s) for p, s in subs.items() if not self.idle(s))
 
     def on_propertynames(self, v, sub, schema, path, at):
+        if self.plan.recursive and self.graph.recursive(sub):
+            raise SchemaRequestError(f"{schema_path(at)} is recursive")
         name = lambda k: F.to_json(F.struct(k.alias("k")))
-        return self.each(F.transform(self.keys(v), lambda k: self.errors(F.try_variant_get(F.parse_json(name(k)), "$.k", "variant"), sub, path, at)))
+        return self.each(F.transform(self.keys(v), lambda k: self.child(F.try_variant_get(F.parse_json(name(k)), "$.k", "variant"), sub, path, at)))
 
     def on_minproperties(self, v, n, schema, path, at):
         return self.error(F.size(self.keys(v)) < n, path, at, "minProperties", f"must have {n} members or more")
@@ -323,57 +357,115 @@ class Compiler:
     def on_maxproperties(self, v, n, schema, path, at):
         return self.error(F.size(self.keys(v)) > n, path, at, "maxProperties", f"must have {n} members or fewer")
 
+    def has(self, v: Column, key: str) -> Column:
+        return F.array_contains(self.keys(v), key)
+
     def on_dependentrequired(self, v, rules, schema, path, at):
-        has = lambda k: F.array_contains(self.keys(v), k)
-        return F.concat(F.array().cast(ERROR), *(self.error(has(k) & ~has(n), path, at, "dependentRequired", f"{json.dumps(n)} is required beside {json.dumps(k)}") for k, names in rules.items() for n in names))
+        return self.joined(self.error(self.has(v, k) & ~self.has(v, n), path, at, "dependentRequired", f"{json.dumps(n)} is required beside {json.dumps(k)}") for k, names in rules.items() for n in names)
+
+    def on_dependentschemas(self, v, subs, schema, path, at):
+        return self.joined(F.when(self.has(v, k), self.errors(v, s, path, (*at, k))).otherwise(self.none) for k, s in subs.items() if not self.idle(s))
 
     # combinations
     def on_allof(self, v, subs, schema, path, at):
-        return F.concat(F.array().cast(ERROR), *(self.errors(v, s, path, (*at, str(k))) for k, s in enumerate(subs)))
+        return self.joined(self.errors(v, s, path, (*at, str(k))) for k, s in enumerate(subs))
 
     def on_anyof(self, v, subs, schema, path, at):
-        fits = reduce(or_, (self.valid(v, s, (*at, str(k))) for k, s in enumerate(subs)))
+        fits = reduce(or_, (self.valid(v, s, path, (*at, str(k))) for k, s in enumerate(subs)))
         return self.error(v.isNotNull() & ~fits, path, at, "anyOf", "fits none of the schemas")
 
     def on_oneof(self, v, subs, schema, path, at):
-        fits = reduce(lambda a, b: a + b, (self.valid(v, s, (*at, str(k))).cast("int") for k, s in enumerate(subs)))
+        fits = reduce(lambda a, b: a + b, (self.valid(v, s, path, (*at, str(k))).cast("int") for k, s in enumerate(subs)))
         return self.error(v.isNotNull() & (fits != 1), path, at, "oneOf", "must fit exactly one of the schemas")
 
     def on_not(self, v, sub, schema, path, at):
-        return self.error(v.isNotNull() & self.valid(v, sub, at), path, at, "not", "must not fit the schema")
+        return self.error(v.isNotNull() & self.valid(v, sub, path, at), path, at, "not", "must not fit the schema")
 
     def on_if(self, v, sub, schema, path, at):
-        branch = lambda word: self.errors(v, schema.get(word, True), path, (*at, word))
-        return F.when(self.valid(v, sub, at), branch("then")).otherwise(branch("else"))
+        branch = lambda word: self.errors(v, schema.get(word, True), path, (*at[:-1], word))
+        return F.when(self.valid(v, sub, path, at), branch("then")).otherwise(branch("else"))
 
     def on_ref(self, v, ref, schema, path, at):
-        if not isinstance(ref, str) or not ref.startswith("#"):
-            raise SchemaRequestError(f"{schema_path(at)} leaves the schema")
-        if ref in self.open:
-            raise SchemaRequestError(f"{schema_path(at)} is recursive")
-        target: object = self.root
-        for part in ref[1:].split("/")[1:]:
-            try:
-                target = target[part.replace("~1", "/").replace("~0", "~")]  # type: ignore[index]
-            except (KeyError, TypeError):
-                raise SchemaRequestError(f"{schema_path(at)} leads nowhere") from None
-        self.open = (*self.open, ref)
-        try:
-            return self.errors(v, target, path, at)  # type: ignore[arg-type]
-        finally:
-            self.open = self.open[:-1]
+        return self.referred(v, self.graph.resolve(schema, ref), path, at[:-1])
+
+    def on_dynamicref(self, v, ref, schema, path, at):
+        return self.referred(v, self.graph.resolve_dynamic(schema, ref, self.scope), path, at[:-1])
+
+    # what subschemas have looked at
+    def evaluated(self, v: Column, schema: object, path: Column, at: tuple[str, ...], names: bool, top: bool = False) -> Column:
+        """Names of members (or indices of items) that a schema, or one applied to the same value by it, evaluates."""
+        kind_of = "array<string>" if names else "array<int>"
+        none = F.array().cast(kind_of)
+        if not isinstance(schema, dict):
+            return none
+        scope, self.scope = self.scope, self.graph.enter(schema, self.scope)
+        whole = self.keys(v) if names else F.when(F.size(self.items(v)) > 0, F.sequence(F.lit(0), F.size(self.items(v)) - 1)).when(F.size(self.items(v)) == 0, none)
+        within = lambda s, word: self.evaluated(v, s, path, (*at, word), names)
+        fits = lambda s, word: self.valid(v, s, path, (*at, word))
+        found = []
+        rest = "unevaluatedProperties" if names else "unevaluatedItems"
+        if (not top and rest in schema) or (names and "additionalProperties" in schema) or (not names and "items" in schema):
+            found.append(whole)
+        elif names:
+            found.append(F.array_intersect(whole, F.array(*map(F.lit, schema.get("properties", {}))).cast(kind_of)))
+            matching = lambda p: F.filter(whole, lambda k: k.rlike(java_regex(p)))
+            found += map(matching, schema.get("patternProperties", {}))
+        else:
+            found.append(F.filter(whole, lambda i: i < len(schema.get("prefixItems", ()))))
+        if not names and "contains" in schema:
+            found.append(self.fitting(v, schema["contains"], path, (*at, "contains")))
+        for word in ("allOf", "anyOf", "oneOf"):
+            found += [F.when(fits(s, word), within(s, word)) for s in schema.get(word, ())]
+        if "if" in schema:
+            yes = F.array_union(within(schema["if"], "if"), within(schema.get("then"), "then"))
+            found.append(F.when(fits(schema["if"], "if"), yes).otherwise(within(schema.get("else"), "else")))
+        found += [F.when(self.has(v, k), within(s, k)) for k, s in schema.get("dependentSchemas", {}).items()]
+        if "$ref" in schema:
+            found.append(self.followed(self.graph.resolve(schema, schema["$ref"]), lambda t: within(t, "$ref")))
+        if "$dynamicRef" in schema:
+            found.append(self.followed(self.graph.resolve_dynamic(schema, schema["$dynamicRef"], self.scope), lambda t: within(t, "$dynamicRef")))
+        self.scope = scope
+        return F.array_distinct(F.flatten(F.array(*(F.coalesce(x, none) for x in found))))
+
+    def on_unevaluatedproperties(self, v, sub, schema, path, at):
+        if sub is True:
+            return self.none
+        left = F.array_except(self.keys(v), self.evaluated(v, schema, path, at, names=True, top=True))
+        values = F.map_filter(F.when(kind(v) == "object", v.cast("map<string,variant>")), lambda k, _: F.array_contains(left, k))
+        bad = F.filter(F.map_entries(values), lambda e: ~self.valid(e["value"], sub, instance_path(path, e["key"]), at, inside=True))
+        return self.error(F.size(left if sub is False else bad) > 0, path, at, "unevaluatedProperties", "has members that no schema allows")
+
+    def on_unevaluateditems(self, v, sub, schema, path, at):
+        if sub is True:
+            return self.none
+        seen = self.evaluated(v, schema, path, at, names=False, top=True)
+        bad = F.transform(self.items(v), lambda x, i: ~F.array_contains(seen, i) & ~self.valid(x, sub, instance_path(path, index=i), at, inside=True))
+        return self.error(F.exists(bad, lambda x: x), path, at, "unevaluatedItems", "has items that no schema allows")
 
 
 def json_errors(payload: Column, request: SchemaRequest) -> Column:
-    """Sorted errors of a payload column of JSON text; null where the text is no JSON."""
+    """Sorted errors of a payload column of JSON text; null where the text is no JSON. For schemas without recursion."""
+    plan = request.plan or SchemaPlan(request.schema)
+    if plan.recursive:
+        raise SchemaRequestError("the schema refers to itself: use validate_json")
     v = F.try_parse_json(payload)
-    made = lambda x: F.array_sort(Compiler(request.schema).errors(x, request.schema, F.lit("$"), ()))
+    made = lambda x: F.array_sort(Compiler(plan).entry(0, x))
     return F.when(v.isNotNull(), F.element_at(F.transform(F.array(v), made), 1))
 
 
+def with_json_errors(df: DataFrame, payload: Column, request: SchemaRequest, name: str) -> DataFrame:
+    """Add the sorted errors of a column of JSON text as the column ``name``; null where the text is no JSON."""
+    plan = request.plan or SchemaPlan(request.schema)
+    if not plan.recursive:
+        return df.withColumn(name, json_errors(payload, request))
+    from ledgerleaf.operators.recursion import validated
+
+    return validated(df, payload, plan, name)
+
+
 def validate_json(df: DataFrame, column: str, request: SchemaRequest) -> DataFrame:
     """Add ``schema_errors`` (null where the text is no JSON) and ``schema_valid``; the payload is untouched."""
-    df = df.withColumn("schema_errors", json_errors(F.col(column), request))
+    df = with_json_errors(df, F.col(column), request, "schema_errors")
     return df.withColumn("schema_valid", F.coalesce(F.size("schema_errors") == 0, F.lit(False)))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import canonical, text
 from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
-from ledgerleaf.operators.jsonschema import SchemaRequest, is_text_identifier, json_errors, kind
+from ledgerleaf.operators.jsonschema import SchemaRequest, is_text_identifier, kind, with_json_errors
+from ledgerleaf.operators.schema_rows import malformed_schemas
 
 #: How each style of backend is called, and the request limits.
 BACKENDS = {"openai": "openai_responses_v1", "groq": "groq_chat_completions_v1"}
@@ -63,7 +64,7 @@ def extract_with_results(docs: DataFrame, outputs: DataFrame, request: SchemaReq
         .when(~is_text_identifier(F.col("backend")), "backend_name_not_normal")
         .otherwise(F.coalesce(classify_backend_output(F.col("output_text"), style, status=F.col("status")), check_backend_result(F.col("confidence"))))
     )
-    joined = joined.withColumn("failure", failure).withColumn("_errors", F.when(F.col("failure").isNull(), json_errors(F.col("output_text"), request)))
+    joined = with_json_errors(joined.withColumn("failure", failure), F.when(F.col("failure").isNull(), F.col("output_text")), request, "_errors")
     result = F.when(F.col("failure").isNull(), structured_result(F.col("document_type"), F.col("output_text"), F.col("backend"), F.col("_errors"), F.col("confidence")))
     return joined.withColumn("result", result).withColumnRenamed("_errors", "schema_errors").drop("_answered", "backend", "output_text", "status", "confidence")
 
@@ -108,7 +109,7 @@ def check_evidence_rows(segments: DataFrame, evidence: DataFrame) -> DataFrame:
 def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """Add ``outcome`` to rows of JSON request bodies: too_large, invalid_request or accepted.
 
-    Of the JSON Schema inside a body only the root's type is checked; ``schema_request`` checks all of a schema.
+    The JSON Schemas inside the bodies are checked as a whole, each distinct one once.
     """
     v = F.try_parse_json(F.col(body))
     got = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
@@ -137,7 +138,10 @@ def triage_requests(requests: DataFrame, body: str = "body") -> DataFrame:
         & (F.try_variant_get(version, "$", "double") > 0)
         & ~text.is_blank(F.try_variant_get(v, "$.schemaRequest.name", "string"))
     )
-    checked = requests.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_raw", parsed)
+    schema = F.to_json(F.try_variant_get(v, "$.schemaRequest.schema", "variant"))
+    checked = requests.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_raw", parsed).withColumn("_schema", F.when(F.col("_ok"), schema))
+    malformed = malformed_schemas(checked, "_schema").select(F.col("_schema").alias("_bad_schema"))
+    checked = checked.join(malformed, F.col("_schema") == F.col("_bad_schema"), "left").withColumn("_ok", F.col("_ok") & F.col("_bad_schema").isNull())
     outer = [c for c in requests.columns if c not in D.NAMES]
     checked = D.normalize_documents(checked.select(*outer, "_ok", *(F.col("_raw")[c].alias(c) for c in D.NAMES)))
     outcome = F.when(F.octet_length(F.col(body)) > MAX_REQUEST_BYTES, "too_large").when(F.col("_ok") & (F.size("errors") == 0), "accepted").otherwise("invalid_request")

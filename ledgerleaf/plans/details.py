@@ -273,8 +273,8 @@ ORACLES = {
           union all select o_orderkey, 1, 'S2', 'short', (o_orderkey % 7)::decimal(18,6), null from orders where o_orderkey % 3 <> 0)
         select q.*, place, sku, description, quantity, null::varchar as unit, unit_price, null::int as lead_time_days, null::decimal(18,6) as line_total from q join items using (o_orderkey)""",
     "schema_keywords": """with lines as (select l_orderkey, l_linenumber as n, l_quantity::int as q, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity::int) - 1 as pos, count(*) over (partition by l_orderkey) as many from lineitem)
-        select l_orderkey as o_orderkey, '$["lines"][' || pos || ']["q"]' as path, '#/properties/lines/items/$ref/properties/q/exclusiveMaximum' as schema_path, 'exclusiveMaximum' as validator from lines where q >= 48
-        union all select l_orderkey, '$["lines"][' || pos || ']["n"]', '#/properties/lines/items/$ref/properties/n/not', 'not' from lines where n = 6
+        select l_orderkey as o_orderkey, '$["lines"][' || pos || ']["q"]' as path, '#/properties/lines/items/properties/q/exclusiveMaximum' as schema_path, 'exclusiveMaximum' as validator from lines where q >= 48
+        union all select l_orderkey, '$["lines"][' || pos || ']["n"]', '#/properties/lines/items/properties/n/not', 'not' from lines where n = 6
         union all select distinct l_orderkey, '$["lines"]', '#/properties/lines/maxItems', 'maxItems' from lines where many > 6
         union all select o_orderkey, '$["lines"]', '#/properties/lines/minItems', 'minItems' from orders where o_orderkey not in (select l_orderkey from lineitem)
         union all select o_orderkey, '$["status"]', '#/properties/status/enum', 'enum' from orders where o_orderstatus not in ('O', 'F')
@@ -284,7 +284,7 @@ ORACLES = {
         union all select o_orderkey, '$["pair"][1]', '#/properties/pair/prefixItems/1/maxLength', 'maxLength' from orders where length(o_orderpriority) > 8
         union all select o_orderkey, '$["pair"][1]', '#/properties/pair/prefixItems/1/pattern', 'pattern' from orders where not regexp_matches(o_orderpriority, '^[1-4]')
         union all select o_orderkey, '$', '#/dependentRequired', 'dependentRequired' from orders where o_orderkey % 4 = 3
-        union all select o_orderkey, '$', '#/if/then/required', 'required' from orders where o_orderstatus = 'F'""",
+        union all select o_orderkey, '$', '#/then/required', 'required' from orders where o_orderstatus = 'F'""",
     "document_row_checks": """select doc_id, case when doc_id % 2 = 1 then 'Uploaded' else 'Valid' end as status, case when doc_id % 5 = 4 then '' else 'a.pdf' end as original_file_name, true as dated,
         concat_ws(',', case when doc_id % 3 = 2 then 'customer_id_empty' end, case when doc_id % 5 = 4 then 'original_file_name_blank' end, case when doc_id % 11 = 10 then 'storage_key_blank' end,
           case when doc_id % 13 = 12 then 'size_not_positive' end, case when doc_id % 7 = 6 then 'content_type_too_long' end, case when doc_id % 17 = 16 then 'document_type_too_long' end) as problems from documents""",

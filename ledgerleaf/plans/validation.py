@@ -179,7 +179,9 @@ def request_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(n % 7 == 6, "").otherwise("m")
     uri = F.when(n % 11 == 10, '""').otherwise('"u"')
     more = F.when(n % 13 == 12, ',"more":1').otherwise("")
-    body = F.concat(F.lit('{"schemaVersion":'), F.when(n % 3 == 2, "2").otherwise("1"), F.lit(',"rawDocument":{"title":"t","document_type":"d","source":{"provider":"p","source_uri":'), uri, F.lit('},"participants":[],"segments":[{"sequence":1,"text":'), quoted, F.lit('}]},"schemaRequest":{"name":"n","version":1,"schema":{"type":"object"}},"provider":"'), provider, F.lit('","model":"'), model, F.lit('"'), more, F.lit("}"))
+    wrong = F.when(n % 17 == 16, '{"maxLength":"3"}').when(n % 19 == 18, '{"pattern":"("}').when(n % 23 == 22, '{"required":["a","a"]}').otherwise('{"type":["string","null"]}')
+    schema = F.concat(F.lit('{"type":"object","properties":{"a":{"items":{"anyOf":[true,'), wrong, F.lit(',{"$ref":"#"}]}}}}'))
+    body = F.concat(F.lit('{"schemaVersion":'), F.when(n % 3 == 2, "2").otherwise("1"), F.lit(',"rawDocument":{"title":"t","document_type":"d","source":{"provider":"p","source_uri":'), uri, F.lit('},"participants":[],"segments":[{"sequence":1,"text":'), quoted, F.lit('}]},"schemaRequest":{"name":"n","version":1,"schema":'), schema, F.lit('},"provider":"'), provider, F.lit('","model":"'), model, F.lit('"'), more, F.lit("}"))
     return X.triage_requests(turns.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "outcome")
 
 
@@ -246,5 +248,5 @@ ORACLES = {
         when n_chars = 0 then 'file_required' when doc_id % 5 = 0 then 'not_a_pdf_name' when doc_id % 3 = 0 then 'not_a_pdf_type' when doc_id % 2 = 1 and not coalesce(starts_with(text, '%PDF-'), false) then 'no_pdf_signature' end as rejection from documents""",
     "storage_key_check": "select doc_id, case doc_id % 8 when 1 then 'key_outside_root' when 2 then 'key_blank' when 3 then 'key_absolute' when 5 then 'key_outside_root' when 6 then 'key_outside_root' when 7 then 'key_absolute' end as reason from documents",
     "storage_reconcile": "select 'k/' || doc_id as storage_key, 'file_missing' as problem from documents where doc_id % 31 = 30 union all select 'x/' || doc_id, 'file_orphaned' from documents where doc_id % 29 = 28",
-    "request_triage": """select conv_id, turn, case when conv_id % 3 = 2 or conv_id % 5 = 4 or conv_id % 7 = 6 or conv_id % 11 = 10 or conv_id % 13 = 12 or trim(text, ' ' || chr(10) || chr(9)) = '' then 'invalid_request' else 'accepted' end as outcome from conversations""",
+    "request_triage": """select conv_id, turn, case when conv_id % 3 = 2 or conv_id % 5 = 4 or conv_id % 7 = 6 or conv_id % 11 = 10 or conv_id % 13 = 12 or conv_id % 17 = 16 or conv_id % 19 = 18 or conv_id % 23 = 22 or trim(text, ' ' || chr(10) || chr(9)) = '' then 'invalid_request' else 'accepted' end as outcome from conversations""",
 }

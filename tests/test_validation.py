@@ -66,7 +66,7 @@ def test_keywords(spark, sub, good, bad, where, validator):
 
 
 def test_requests_fail_before_any_work():
-    for bad in ({"type": 123}, {"type": "array"}, {"type": "object", "unevaluatedItems": False}, {"type": "object", "properties": {"a": {"$ref": "#"}}}, {"type": "object", "properties": {"a": {"type": "text"}}}):
+    for bad in ({"type": 123}, {"type": "array"}, {"type": "object", "$ref": "#"}, {"type": "object", "properties": {"a": {"$ref": "other"}}}, {"type": "object", "properties": {"a": {"$ref": "#nowhere"}}}, {"type": "object", "properties": {"a": {"type": "text"}}}):
         with pytest.raises(J.SchemaRequestError):
             J.schema_request("s", 1, bad)
     for name, version in ((" ", 1), ("a\nb", 1), ("a", 0), ("a", True), ("a", "1")):
