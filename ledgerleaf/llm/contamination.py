@@ -9,8 +9,8 @@ tried in turn, each with its own share of the budget, and most chance hits end a
 bit-parallel algorithm decides each, and at the top gives the distance of the item to the best stretch around it.
 
 Whole texts are scanned. The benchmark's distinct texts are taken in blocks of about ``block_bytes``, chosen by hash,
-each scanned against all documents, so what a task holds is bounded whatever the benchmark's size; matches get the ids
-of all items with that text by a join.
+each scanned against all documents in a stage of its own, so what a task holds is bounded whatever the benchmark's
+size; matches get the ids of all items with that text by a join. Dropping documents writes what is left between blocks.
 
 Defined results: a null or empty text contains nothing; an empty or null item occurs nowhere; equal items each
 match, an item without an id too, as a null item_id; a repeated document matches each time it occurs; of several places of an item in a document the nearest
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerleaf.llm.shared import written
+
 RATE, BLOCK_BYTES = 0.1, 2 << 20
 _IS_MARK = np.array([unicodedata.category(chr(i))[0] == "P" for i in range(sys.maxunicode + 1)])
 _ASCII_MARKS = bytes(np.flatnonzero(_IS_MARK[:128]).tolist())
@@ -237,7 +239,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of the benchmark occurs."""
     at = docs.columns.index("text")
-    for items in _blocks(benchmark, block_bytes):
+    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+        if k:
+            docs = written(docs)  # one automaton a task at a time
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,8 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import mmap
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,6 +54,8 @@ END = np.uint64(0xA0761D6478BD642F)
 TRIGRAMS_A_SHARD, WORDS_A_SHARD = 1_000_000, 1_000_000
 HELD_IN_TASK = 750_000
 LARGE, BUCKETS = 255, 14
+#: Maps that a worker keeps; Linux allows 65530 a process.
+MAPS = 32_768
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,13 +74,20 @@ def save_array(uri: str, values: np.ndarray) -> None:
 def map_array(uri: str, kind: type) -> np.ndarray:
     where, path = _place(uri)
     if isinstance(where, fs.LocalFileSystem):
-        size = where.get_file_info(path).size
-        return np.memmap(path, kind, "r") if size else np.zeros(0, kind)
+        with open(path, "rb") as own:
+            return _mapped(own.fileno(), kind)
     with tempfile.TemporaryFile() as own, where.open_input_stream(path) as source:
         while part := source.read(1 << 24):
             own.write(part)
         own.flush()
-        return np.memmap(own, kind, "r") if own.tell() else np.zeros(0, kind)
+        return _mapped(own.fileno(), kind)
+
+
+def _mapped(file: int, kind: type) -> np.ndarray:
+    """The mapped file as an array; the map keeps no descriptor, so maps are not bounded by the limit of open files."""
+    if not os.fstat(file).st_size:
+        return np.zeros(0, kind)
+    return np.frombuffer(mmap.mmap(file, 0, access=mmap.ACCESS_READ, trackfd=False), kind)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +220,7 @@ class Model:
 
     def files(self, name: str, parts: tuple[tuple[str, type], ...]) -> tuple[np.ndarray, ...]:
         if name not in self.mapped:
-            if len(self.mapped) >= 4096:
+            if sum(map(len, self.mapped.values())) >= MAPS:
                 self.mapped.clear()
             self.mapped[name] = tuple(map_array(f"{self.folder}/{name}.{end}", kind) for end, kind in parts)
         return self.mapped[name]

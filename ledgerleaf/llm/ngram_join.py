@@ -8,8 +8,12 @@ by a 64-bit hash of all their shingles: copies are one node from the start, what
 2. Size-banded tiles. Sizes fall into bands. For pairs whose larger set is in a band, hashing cuts every set into
    more tiles than the pair can differ in, so a linked pair has a tile with the same content; a set emits the hash of
    each of its tiles for its own band, and for the next one if a partner could be there. Empty tiles say nothing: a
-   band has spare tiles for them, and a set with more empty tiles than spares emits its smallest hashes besides
-   (prefix filtering), which is exact for any two such sets.
+   band has spare tiles for them, and a set with more empty tiles than spares emits its first hashes besides
+   (prefix filtering), which is exact for any two such sets; bands of small sets, which would need more spares than
+   tiles, have prefixes alone. Frequent shingles, as of a footer that very many documents have, are in no tile and come
+   last in prefixes: without them a pair differs in no more shingles than with them, and the order is the same for all
+   sets, so both stay exact, and a common passage brings no documents together. Which are frequent is told by a bitmap
+   of ``BINS`` bins, from counts of all sets; it only decides what is compared, never what links.
 3. Stars. Sets with one tile hash are linked to the smallest of them only, first inside the scanning task, then in
    the shard of the hash, which so gets an entry per task and hash, not one per document. Entries travel packed, as
    sorted differences; the number of shards grows with the number of shingles, and a task merges its shards one by
@@ -53,6 +57,9 @@ BLOCK_ROWS = 512
 HELD_ENTRIES, SHARD_ENTRIES, PARTNERS = 500_000, 500_000, 4096
 #: Rows up to which a narrow table is broadcast, counted first.
 BROADCAST_ROWS = 2_000_000
+#: Bins in which shingles are counted, shingles after which a task hands its counts on, and from where on it does for a
+#: bin; sets with a bin's shingles from which on these are frequent, or so many times the mean of all bins.
+BINS, COUNTED_AT_ONCE, COUNTED_FROM, FREQUENT, TIMES_MEAN = 1 << 22, 10_000_000, 32, 1000, 16
 _FEW = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -73,8 +80,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 class Bands:
     """Size bands and the tiles of each, for one threshold."""
 
-    def __init__(self, threshold: Fraction) -> None:
+    def __init__(self, threshold: Fraction, frequent: np.ndarray | None = None) -> None:
         self.t = threshold
+        self.frequent = frequent
         self.kept: dict[int, tuple[int, int]] = {}
 
     def band(self, size: int) -> int:
@@ -84,7 +92,7 @@ class Bands:
         return int((1 - self.t) * total / (1 + self.t))
 
     def tiles(self, band: int) -> tuple[int, int]:
-        """(tiles, spares) for pairs whose larger set is in ``band``."""
+        """(tiles, spares) for pairs whose larger set is in ``band``; no tiles where they would be mostly spares."""
         if band not in self.kept:
             high = math.ceil(BAND_RATIO ** (band + 1))
             low = max(1, int(BAND_RATIO**band * self.t))
@@ -94,7 +102,7 @@ class Bands:
                 n = most + 1 + spares
                 empty = n * math.exp(-low / n) if most else 0
                 spares = math.ceil(empty + 3 * math.sqrt(empty)) if most else 0
-            self.kept[band] = (most + 1 + spares, spares)
+            self.kept[band] = (most + 1 + spares, spares) if spares <= most + 1 else (0, 0)
         return self.kept[band]
 
     def bands_of(self, size: int) -> tuple[int, ...]:
@@ -105,20 +113,37 @@ class Bands:
     def keys(self, grams: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         """Tile hashes of one sorted set; ``mixed`` are the set's hashes mixed anew, whose sums stand for tiles."""
         size = len(grams)
+        often = is_frequent(grams, self.frequent)
+        rare, mixed = grams[~often], mixed[~often]
+        first_grams = np.concatenate([rare, grams[often]])[: size - math.ceil(self.t * size) + 1]
         out = []
         for band in self.bands_of(size):
             n, spares = self.tiles(band)
-            tile = ((grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
-            first = np.flatnonzero(np.diff(tile, prepend=-1))
             salt = np.uint64((band * 2 + 1) * int(_FEW) % (1 << 64))
-            sums = np.add.reduceat(mixed, first)
-            out.append(mix(sums + tile[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt))
-            if n - len(first) > spares:
-                need = math.ceil(self.t * size)
-                out.append(mix(grams[: size - need + 1] ^ (salt ^ _FEW)))
+            full = 0
+            if n and len(rare):
+                tile = ((rare >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)  # ascending with the hash
+                first = np.flatnonzero(np.diff(tile, prepend=-1))
+                full = len(first)
+                sums = np.add.reduceat(mixed, first)
+                out.append(mix(sums + tile[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt))
+            if not n or n - full > spares:
+                out.append(mix(first_grams ^ (salt ^ _FEW)))
         return np.concatenate(out)
 
 
+def bins_of(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> np.uint64(8)) & np.uint64(BINS - 1)).astype(np.int64)
+
+
+def is_frequent(grams: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    """Whether shingles are in the bins of a bitmap (packed)."""
+    if frequent is None:
+        return np.zeros(len(grams), bool)
+    at = bins_of(grams)
+    return (frequent[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def signature(grams: np.ndarray) -> np.ndarray:
     """Parity bitmap: each bit is the parity of the shingles hashed to it."""
     place = (grams & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)
@@ -168,6 +193,49 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, node long, {', '.join(f'{s} long' for s in SIGNATURE)}, bits binary")
 
 
+def frequent_shingles(docs: DataFrame, width: int, least: int = FREQUENT, counted_from: int = COUNTED_FROM) -> np.ndarray | None:
+    """A bitmap of the bins that very many sets have shingles in; None if there are none.
+
+    Of each task's sets the distinct ones are counted; bins that a task has seen few in don't count.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, seen = np.zeros(BINS, np.int32), 0, set()
+
+        def told() -> pa.RecordBatch:
+            full = np.flatnonzero(counts >= counted_from)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(full, -1), pa.int64()), pa.array(np.append(counts[full], held), pa.int64())], ["bin", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                grams, bounds = shingle_sets(data, offsets, width)
+                names = set_names(mix(grams ^ _FEW), bounds).tolist()
+                new = np.zeros(len(names), bool)
+                for i, name in enumerate(names):
+                    if name not in seen:
+                        seen.add(name)
+                        new[i] = True
+                grams = grams[np.repeat(new, np.diff(bounds))]
+                at, n = np.unique(bins_of(grams), return_counts=True)
+                counts[at] += n.astype(np.int32)
+                held += len(grams)
+                if held > COUNTED_AT_ONCE:
+                    yield told()
+                    counts[:], held = 0, 0
+                    seen.clear()
+        yield told()
+        give_back()
+
+    sums = docs.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    total = sums.where("bin < 0").agg(F.sum("n")).first()[0] or 0
+    often = [r.bin for r in sums.where((F.col("bin") >= 0) & (F.col("n") >= max(least, TIMES_MEAN * total // BINS))).select("bin").collect()]  # at most BINS
+    if not often:
+        return None
+    bits = np.zeros(BINS, np.uint8)
+    bits[often] = 1
+    return np.packbits(bits)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, the lowest of all first: of small numbers most is zeros, which shuffle files compress."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -504,7 +572,7 @@ def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
     return components.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")).union(lone)
 
 
-def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, threshold: Fraction, **frequent: int) -> DataFrame:
     """(doc_id, n, node, group, component_id) of every row of ``docs``; group names the set's component."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
@@ -513,7 +581,8 @@ def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     known = marks.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     sets = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in (*SIGNATURE, "bits"))))
     shards = max(2 * _parts(docs), math.ceil((marks.agg(F.sum("n")).first()[0] or 0) / SHARD_ENTRIES))
-    stars = written(_stars(_tile_packs(named, width, Bands(threshold), shards)))
+    bands = Bands(threshold, frequent_shingles(named, width, **frequent))
+    stars = written(_stars(_tile_packs(named, width, bands, shards)))
     pairs = cut_lineage(stars.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("tiles")))
 
     # Most links are found from each set to the leader that it shares most tiles with.
@@ -533,9 +602,12 @@ def _grouped(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     return known.select("doc_id", "n", "node").join(of_set, "node").select(*lone.columns).unionAll(lone)
 
 
-def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``."""
-    return _grouped(docs, width, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+def jaccard_groups(docs: DataFrame, width: int, threshold: Fraction, **frequent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of ``docs``.
+
+    ``frequent``: what ``frequent_shingles`` takes, if not its own.
+    """
+    return _grouped(docs, width, threshold, **frequent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:

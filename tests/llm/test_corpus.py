@@ -65,10 +65,36 @@ def test_groups_equal_all_pairs(docs, monkeypatch, seed, width, t):
     assert got == groups(rows, width, t)
 
 
+@pytest.mark.parametrize(("seed", "width", "t"), [(4, 3, Fraction(9, 10)), (5, 5, Fraction(8, 10))])
+def test_frequent_shingles_change_no_group(docs, monkeypatch, seed, width, t):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    rows = families(seed)
+    df = docs(rows).repartition(3)
+    assert ngram_join.frequent_shingles(df, width, least=4, counted_from=1) is not None
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(df, width, t, least=4, counted_from=1).collect()}
+    assert got == groups(rows, width, t)
+
+
+def test_a_common_footer_brings_no_documents_together(spark, docs):
+    rng = random.Random(6)
+    footer = " all rights reserved by us forever and ever"
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) + footer) for i in range(4000)]
+    rows += [(4000 + i, t + " x") for i, t in rows[:50]]
+    df = docs(rows)
+    bands = ngram_join.Bands(Fraction(8, 10), ngram_join.frequent_shingles(df, 5))
+    assert bands.frequent is not None
+    stars = ngram_join._stars(ngram_join._tile_packs(df, 5, bands, 8))
+    assert stars.groupBy("key").count().agg(F.max("count")).first()[0] <= 20  # 4000 and more before
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(df, 5, Fraction(8, 10)).collect()}
+    assert got == {**{i: i for i in range(4000)}, **{4000 + i: i for i in range(50)}}
+
+
 @pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(8, 10)])
-def test_linked_sets_share_a_tile(t):
+@pytest.mark.parametrize("share", [0, 0.2, 0.9])
+def test_linked_sets_share_a_tile(t, share):
     rng = np.random.RandomState(4)
-    bands = ngram_join.Bands(t)
+    often = np.packbits((rng.random_sample(ngram_join.BINS) < share).astype(np.uint8))
+    bands = ngram_join.Bands(t, often if share else None)
     for size in (1, 2, 5, 9, 10, 33, 100, 101, 700, 3000):
         for _ in range(30):
             a = np.unique(rng.randint(0, 2**63, size).astype(np.uint64))
@@ -167,7 +193,9 @@ def test_contamination_equals_all_comparisons(spark, docs, block):
         if item and (d := distance(item, t)) <= int(contamination.RATE * len(item)):
             want[i, k] = d
     assert got == want
-    clean = {r.doc_id for r in contamination.drop_contaminated(docs(list(enumerate(texts))), benchmark, block_bytes=block).collect()}
+    left = contamination.drop_contaminated(docs(list(enumerate(texts))), benchmark, block_bytes=block)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+    clean = {r.doc_id for r in left.collect()}
     assert clean == set(range(len(texts))) - {i for i, _ in want}
 
 

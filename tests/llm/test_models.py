@@ -1,7 +1,9 @@
 """Quality, language and language-model scores: held-out accuracy, brute force and edge cases."""
 
 import math
+import os
 import random
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -285,3 +287,24 @@ def test_language_ties_repeats_and_long_texts(spark, docs):
     assert len(tied) == 1 and tied <= {"aa", "xx"} and len({(r.lang_pred, r.score) for r in got if r.doc_id == 100}) == 1
     even = language_id.LanguageModel(["aa", "xx"], model.landmarks, np.ones((len(model.landmarks), 2), np.float32))
     assert even.predict(*chunk("aaa bbb"))[0] == ["aa"]
+
+
+def test_mapped_files_keep_no_descriptor(tmp_path):
+    """More shards than a process may have open files."""
+    from ledgerleaf.llm import lm_scoring
+
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(soft, 1024), hard))
+    try:
+        model = lm_scoring.Model(str(tmp_path))
+        key = np.sort(np.random.RandomState(1).randint(0, 2**63, 50).astype(np.uint64))
+        for k in range(500):
+            lm_scoring.save_table(f"{tmp_path}/t-{k}", key + np.uint64(k), np.arange(50) + 250)
+        held = len(os.listdir("/proc/self/fd"))
+        tables = [model.files(f"t-{k}", lm_scoring.COUNTED) for k in range(500)]
+        assert len(os.listdir("/proc/self/fd")) == held
+        for k, (starts, low, count, _, large) in enumerate(tables):
+            at, there = lm_scoring.find(starts, low, key + np.uint64(k))
+            assert there.all() and (at == np.arange(50)).all() and count[4] == 254 and large[-1] == 299
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
