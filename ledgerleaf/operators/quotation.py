@@ -8,10 +8,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import text
+from ledgerleaf.functions import text, wide
 
 ENGINE, DOCUMENT_TYPE = "deterministic_supplier_quotation_v1", "supplier_quotation"
-MONEY = "decimal(18,6)"
+#: The type of amounts in ``as_decimals``; those extracted are text, of any width.
+MONEY, RATE = "decimal(18,6)", "decimal(9,4)"
 
 #: What headers and labels are called, in order of preference.
 NUMBER_LABELS = ("quotation no", "quotation number", "quote no", "quote number")
@@ -37,7 +38,8 @@ PREFIX_COLUMNS = {
 TERMS = {"payment_terms": "payment terms:", "delivery": "delivery:", "warranty": "warranty:", "notes": "notes:"}
 LINE_FIELDS = {"prepared_by": "prepared by:", "quote_status": "quote status:"}
 NUMBER = rf"[-+]?\d[\d.,{text.SPACE}]*"
-ITEM = f"struct<sku:string,description:string,quantity:{MONEY},unit:string,unit_price:{MONEY},lead_time_days:int,line_total:{MONEY}>"
+ITEM = "struct<sku:string,description:string,quantity:string,unit:string,unit_price:string,lead_time_days:int,line_total:string>"
+AMOUNTS, ITEM_AMOUNTS = ("subtotal", "vat_amount", "total"), ("quantity", "unit_price", "line_total")
 
 
 def bind(value: Column, use) -> Column:
@@ -55,12 +57,18 @@ def clean_cell(c: Column) -> Column:
     return text.strip(F.coalesce(c, F.lit("")))
 
 
-def parse_decimal(c: Column) -> Column:
-    """The number in a cell: with both marks a comma groups, alone it is the decimal mark; otherwise null."""
+def parse_number(c: Column) -> Column:
+    """The number in a cell, exactly, as plain text: with both marks a comma groups, alone it is the decimal mark;
+    otherwise null."""
     digits = F.regexp_replace(c, r"[^\d,.\-+]", "")
     comma, dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
     plain = F.when(comma & dot, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
-    return F.when(plain.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast(MONEY))
+    return wide.number(plain)
+
+
+def parse_decimal(c: Column) -> Column:
+    """``parse_number`` of a cell as a decimal; null where it has too many digits."""
+    return parse_number(c).try_cast(MONEY)
 
 
 def parse_date(c: Column) -> Column:
@@ -133,15 +141,15 @@ def extract_items(table: Column) -> Column:
             return F.when(at[name].isNotNull(), clean_cell(F.get(row, at[name].cast("int"))))
 
         def item(row: Column) -> Column:
-            lead = parse_decimal(cell(row, "lead_time"))
+            lead = parse_number(cell(row, "lead_time"))
             return F.struct(
                 cell(row, "sku").alias("sku"),
                 cell(row, "description").alias("description"),
-                parse_decimal(cell(row, "quantity")).alias("quantity"),
+                parse_number(cell(row, "quantity")).alias("quantity"),
                 cell(row, "unit").alias("unit"),
-                parse_decimal(cell(row, "unit_price")).alias("unit_price"),
-                F.when(lead == F.floor(lead), lead.try_cast("int")).alias("lead_time_days"),
-                parse_decimal(cell(row, "line_total")).alias("line_total"),
+                parse_number(cell(row, "unit_price")).alias("unit_price"),
+                F.regexp_replace(lead, r"\.0*$", "").try_cast("int").alias("lead_time_days"),
+                parse_number(cell(row, "line_total")).alias("line_total"),
             )
 
         rows = F.slice(table["rows"], 2, F.greatest(F.size(table["rows"]) - 1, F.lit(0)))
@@ -181,7 +189,7 @@ def block_facts(pages: Column) -> Column:
     def of_block(raw: Column) -> Column:
         body = text.strip(F.coalesce(raw["text"], F.lit("")))
         low = F.lower(body)
-        numbers = F.array_compact(F.transform(F.regexp_extract_all(body, F.lit(NUMBER), F.lit(0)), parse_decimal))
+        numbers = F.array_compact(F.transform(F.regexp_extract_all(body, F.lit(NUMBER), F.lit(0)), parse_number))
 
         def told(n: Column) -> Column:
             some, last = F.size(n) > 0, F.try_element_at(n, F.lit(-1))
@@ -189,7 +197,7 @@ def block_facts(pages: Column) -> Column:
             said = is_sub | is_vat | is_total
             return F.struct(
                 F.when(is_sub, last).alias("subtotal"),
-                F.when(~is_sub & is_vat & F.contains(body, F.lit("%")) & (F.size(n) >= 2), F.get(n, F.lit(0))).cast("decimal(9,4)").alias("vat_rate"),
+                F.when(~is_sub & is_vat & F.contains(body, F.lit("%")) & (F.size(n) >= 2), F.get(n, F.lit(0))).alias("vat_rate"),
                 F.when(is_vat, last).alias("vat_amount"),
                 F.when(is_total, last).alias("total"),
                 *(F.when(~said & low.startswith(p), _after_colon(body)).alias(name) for name, p in TERMS.items()),
@@ -207,7 +215,10 @@ def line_facts(pages: Column) -> Column:
 
 
 def extract_quotations(df: DataFrame) -> DataFrame:
-    """Add the quotation of each layout document: engine, document_type, confidence and the quotation's columns."""
+    """Add the quotation of each layout document: engine, document_type, confidence and the quotation's columns.
+
+    Amounts are texts that hold every digit; ``as_decimals`` makes them decimals.
+    """
     pages = F.coalesce("pages", F.array().cast(df.schema["pages"].dataType))
     item_table = F.get(F.filter(_flat(pages, "tables"), is_item_table), F.lit(0))
     df = df.withColumns({"_pairs": metadata_pairs(pages), "_blocks": block_facts(pages), "_lines": line_facts(pages), "_items": item_table})
@@ -218,3 +229,9 @@ def extract_quotations(df: DataFrame) -> DataFrame:
     lines = {name: _last(F.transform("_lines", _field(name))) for name in LINE_FIELDS}
     made = {"engine": F.lit(ENGINE), "document_type": F.lit(DOCUMENT_TYPE), "confidence": F.lit(None).cast("double"), "supplier_name": supplier_name(pages)}
     return df.withColumns({**made, **fields, "items": extract_items(F.col("_items")), **told, **lines}).drop("_pairs", "_blocks", "_lines", "_items")
+
+
+def as_decimals(df: DataFrame) -> DataFrame:
+    """Extracted quotations with their amounts as decimals, rounded to six digits; null where one has too many."""
+    items = F.transform("items", lambda i: reduce(lambda x, n: x.withField(n, i[n].try_cast(MONEY)), ITEM_AMOUNTS, i))
+    return df.withColumns({"items": items, **{n: F.col(n).try_cast(MONEY) for n in AMOUNTS}, "vat_rate": F.col("vat_rate").try_cast(RATE)})

@@ -1,9 +1,18 @@
-"""Arithmetic reconciliation of quotations in exact decimals: nested rows, or header and items as two tables."""
+"""Arithmetic reconciliation of quotations in exact decimals: nested rows, or header and items as two tables.
+
+Nested quotations have amounts as decimals, or as texts of any width, as they are extracted; flat ones have decimals.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerleaf.functions import wide
 
 TOLERANCE = "0.01"
 CHECKS = ("line_totals", "subtotal", "vat", "grand_total")
@@ -48,17 +57,21 @@ def _check(name: str, status: Column, details: Column, none: Column | None = Non
     return F.struct(status.alias("status"), message.alias("message"), details.alias("details"))
 
 
-def _compared(name: str, missing: Column, expected: Column, actual: Column, none: Column | None = None) -> Column:
-    status = F.when(missing, "skipped").when(differs(expected, actual), "failed").otherwise("passed")
-    amounts = F.create_map(F.lit("expected"), money(expected).cast("string"), F.lit("actual"), money(actual).cast("string"))
+def _compared(name: str, missing: Column, expected: Column, actual: Column, wrong: Column, none: Column | None = None) -> Column:
+    """A check of two amounts of two decimals; ``wrong``: whether they are too far apart."""
+    status = F.when(missing, "skipped").when(wrong, "failed").otherwise("passed")
+    amounts = F.create_map(F.lit("expected"), expected.cast("string"), F.lit("actual"), actual.cast("string"))
     return _check(name, status, F.when(~missing, amounts).otherwise(F.create_map().cast(_NO_DETAILS)), none)
 
 
-def check_line_totals(items: Column) -> Column:
-    """Quantity times unit price against each line total; a mismatch outranks a missing value."""
-    numbered = F.transform(items, lambda i, k: F.struct((k + 1).alias("item_index"), i["sku"].alias("sku"), money(i["quantity"] * i["unit_price"]).alias("expected"), money(i["line_total"]).alias("actual")))
+def _line_check(items: Column, lines: Column) -> Column:
+    """Quantity times unit price against each line total; a mismatch outranks a missing value.
+
+    ``lines``: of each item its sku, both amounts as ``expected`` and ``actual``, and whether they are ``wrong``.
+    """
+    numbered = F.transform(lines, lambda i, k: F.struct((k + 1).alias("item_index"), i["sku"].alias("sku"), i["expected"].cast("string").alias("expected"), i["actual"].cast("string").alias("actual"), i["wrong"].alias("wrong")))
     lacking = F.filter(numbered, lambda i: i["expected"].isNull() | i["actual"].isNull())
-    wrong = F.transform(F.filter(numbered, lambda i: F.coalesce(differs(i["expected"], i["actual"]), F.lit(False))), lambda i: i.withField("expected", i["expected"].cast("string")).withField("actual", i["actual"].cast("string")))
+    wrong = F.transform(F.filter(numbered, lambda i: F.coalesce(i["wrong"], F.lit(False))), lambda i: i.dropFields("wrong"))
     empty = F.coalesce(F.size(items), F.lit(0)) <= 0
     status = F.when(empty, "skipped").when(F.size(wrong) > 0, "failed").when(F.size(lacking) > 0, "skipped").otherwise("passed")
     details = (
@@ -70,18 +83,33 @@ def check_line_totals(items: Column) -> Column:
     return _check("line_totals", status, details, empty)
 
 
-def check_subtotal(items: Column, subtotal: Column) -> Column:
-    total = F.aggregate(items, F.lit(0).cast("decimal(38,6)"), lambda s, i: (s + i["line_total"]).cast("decimal(38,6)"))
-    incomplete = (F.coalesce(F.size(items), F.lit(0)) <= 0) | total.isNull()
-    return _compared("subtotal", subtotal.isNull() | incomplete, total, subtotal, subtotal.isNull())
+def _amounts(name: str, expected: Column, actual: Column) -> Column:
+    return F.struct(expected.alias("expected"), actual.alias("actual")).alias(name)
 
 
-def check_vat(subtotal: Column, rate: Column, amount: Column) -> Column:
-    return _compared("vat", subtotal.isNull() | rate.isNull() | amount.isNull(), vat_of(subtotal, rate), amount)
+def _in_decimals(df: DataFrame) -> DataFrame:
+    """Add what the checks compare: _lines, and _subtotal, _vat and _grand_total."""
+    c = F.col
+    line = lambda i: F.struct(i["sku"].alias("sku"), money(i["quantity"] * i["unit_price"]).alias("expected"), money(i["line_total"]).alias("actual"))
+    told = lambda i: i.withField("wrong", differs(i["expected"], i["actual"]))
+    lines = F.transform(F.transform("items", line), told)
+    total = F.aggregate("items", F.lit(0).cast("decimal(38,6)"), lambda s, i: (s + i["line_total"]).cast("decimal(38,6)"))
+    pairs = {"_subtotal": (total, c("subtotal")), "_vat": (vat_of(c("subtotal"), c("vat_rate")), c("vat_amount")), "_grand_total": (c("subtotal") + c("vat_amount"), c("total"))}
+    return df.withColumns({"_lines": lines, **{n: F.struct(money(e).alias("expected"), money(a).alias("actual"), differs(e, a).alias("wrong")) for n, (e, a) in pairs.items()}})
 
 
-def check_grand_total(subtotal: Column, amount: Column, total: Column) -> Column:
-    return _compared("grand_total", subtotal.isNull() | amount.isNull() | total.isNull(), subtotal + amount, total)
+def _in_texts(df: DataFrame) -> DataFrame:
+    """The same of amounts of any width; products first, then their differences, as columns of their own."""
+    c = F.col
+    line = lambda i: F.struct(i["sku"].alias("sku"), wide.product(i["quantity"], i["unit_price"], 2).alias("expected"), wide.rounded(i["line_total"], 2).alias("actual"))
+    pairs = {
+        "_subtotal": (wide.total(F.transform("items", lambda i: i["line_total"]), 2), c("subtotal")),
+        "_vat": (wide.product(c("subtotal"), c("vat_rate"), 2, shift=2), c("vat_amount")),
+        "_grand_total": (wide.total(F.array("subtotal", "vat_amount"), 2), c("total")),
+    }
+    df = df.withColumns({"_lines": F.transform("items", line), **{n: _amounts(n, e, wide.rounded(a, 2)) for n, (e, a) in pairs.items()}})
+    far = lambda x: wide.exceeds(wide.total(F.array(x["expected"], wide.negated(x["actual"]))), TOLERANCE)
+    return df.withColumns({"_lines": F.transform("_lines", lambda i: i.withField("wrong", far(i))), **{n: c(n).withField("wrong", far(c(n))) for n in pairs}})
 
 
 def overall(statuses: Column) -> tuple[Column, Column]:
@@ -92,10 +120,22 @@ def overall(statuses: Column) -> tuple[Column, Column]:
 
 def reconcile_quotations(df: DataFrame) -> DataFrame:
     """Add checks (a map of status, message and details), validation_status and confidence to quotations."""
-    c = F.col
-    df = df.withColumn("checks", F.create_map(*(x for name, check in zip(CHECKS, (check_line_totals(c("items")), check_subtotal(c("items"), c("subtotal")), check_vat(c("subtotal"), c("vat_rate"), c("vat_amount")), check_grand_total(c("subtotal"), c("vat_amount"), c("total"))), strict=True) for x in (F.lit(name), check))))
+    c, columns = F.col, df.columns
+    items = df.schema["items"].dataType.elementType
+    texts = isinstance(items["line_total"].dataType, T.StringType)
+    df = _in_texts(df) if texts else _in_decimals(df)
+    lacks = lambda *names: reduce(or_, (c(n).isNull() for n in names))
+    incomplete = (F.coalesce(F.size("items"), F.lit(0)) <= 0) | c("_subtotal.expected").isNull()
+    told = lambda n: (c(n)["expected"], c(n)["actual"], c(n)["wrong"])
+    checks = (
+        _line_check(c("items"), c("_lines")),
+        _compared("subtotal", lacks("subtotal") | incomplete, *told("_subtotal"), lacks("subtotal")),
+        _compared("vat", lacks("subtotal", "vat_rate", "vat_amount"), *told("_vat")),
+        _compared("grand_total", lacks("subtotal", "vat_amount", "total"), *told("_grand_total")),
+    )
+    df = df.withColumn("checks", F.create_map(*(x for name, check in zip(CHECKS, checks, strict=True) for x in (F.lit(name), check))))
     status, confidence = overall(F.array(*(F.element_at("checks", n)["status"] for n in CHECKS)))
-    return df.withColumns({"validation_status": status, "confidence": confidence})
+    return df.withColumns({"validation_status": status, "confidence": confidence}).select(*dict.fromkeys([*columns, "checks", "validation_status", "confidence"]))
 
 
 def reconcile_relational(header: DataFrame, items: DataFrame, key: str) -> DataFrame:

@@ -49,7 +49,7 @@ def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = P.quotation_layouts(spark, sf_dir).groupBy(F.floor(F.col("quotation") / 1000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("pages"))), ","), F.lit("]")).alias("value"))
     listed.repartition("part").write.partitionBy("part").text(path)
     read = readers.read_layout_documents(spark, path)
-    return Q.extract_quotations(read).select("quotation_number", "supplier_name", "total", F.size("items").alias("n_items"))
+    return Q.as_decimals(Q.extract_quotations(read)).select("quotation_number", "supplier_name", "total", F.size("items").alias("n_items"))
 
 
 def stored_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def quirk_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotation_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What quotations with quirks are read as; the items are told one by one."""
-    done = Q.extract_quotations(quirk_layouts(spark, sf_dir))
+    done = Q.as_decimals(Q.extract_quotations(quirk_layouts(spark, sf_dir)))
     kept = ["quotation_number", "valid_until", "currency", "customer_reference", "incoterms", "supplier_name", "subtotal", "vat_rate", "vat_amount", "total", "delivery", "warranty", "notes", "prepared_by", "quote_status"]
     return exploded(done, "items", "place", "item", "o_orderkey", *kept).select("o_orderkey", *kept, "place", "item.*")
 

@@ -108,15 +108,37 @@ def quotation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals extracted from the layouts."""
-    return Q.extract_quotations(quotation_layouts(spark, sf_dir)).select("quotation", "subtotal", "vat_rate", "vat_amount", "total")
+    return Q.as_decimals(Q.extract_quotations(quotation_layouts(spark, sf_dir))).select("quotation", "subtotal", "vat_rate", "vat_amount", "total")
 
 
 def quotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items extracted from the layouts, one row each."""
-    items = exploded(Q.extract_quotations(quotation_layouts(spark, sf_dir)), "items", "at", "item", "quotation")
+    items = exploded(Q.as_decimals(Q.extract_quotations(quotation_layouts(spark, sf_dir))), "items", "at", "item", "quotation")
     return items.select("quotation", (F.col("at") + 1).alias("line"), "item.*")
 
 
+def wide_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts of all orders with amounts of forty digits and of seven decimals; some are off by a few hundredths."""
+    n = F.col("o_orderkey")
+    row = lambda *cells: F.array(*((F.lit(x) if isinstance(x, str) else x).cast("string") for x in cells))
+    large = lambda times, zeros, rest: F.concat((n * times).cast("string"), F.lit("0" * zeros + rest))
+    box = F.struct(*(F.lit(float(v)).alias(k) for k, v in (("x0", 0), ("y0", 0), ("x1", 1), ("y1", 1))))
+    ends = F.when(n % 4 == 0, "7").when(n % 4 == 1, "6").otherwise("5")
+    rows = F.array(row("SKU", "Description", "Qty", "Unit Price", "Line Total"), row("A", "large", "3", large(1, 32, ".25"), F.concat(large(3, 32, ".7"), ends)), row("B", "small", "0.0000005", "20000000", "10,00"))
+    texts = [F.concat(F.lit("Subtotal "), large(3, 30, "10."), F.when(n % 5 == 0, "95").otherwise("75")), F.concat(F.lit("VAT 20%: "), large(6, 30, "2.15")), F.concat(F.lit("Total "), large(36, 29, "12.90"))]
+    blocks = F.array(*(F.struct(F.lit(i).alias("block_number"), t.alias("text"), box.alias("bbox")) for i, t in enumerate(texts)))
+    page = F.struct(blocks.alias("blocks"), F.array(F.struct(rows.alias("rows"))).alias("tables"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array(page).alias("pages"))
+
+
+def quotation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of any width extracted and reconciled: one item's price, and every check."""
+    done = R.reconcile_quotations(Q.extract_quotations(wide_layouts(spark, sf_dir)))
+    check = lambda n: F.element_at("checks", n)
+    told = [F.try_element_at(check(n)["details"], F.lit("expected")).alias(f"{n}_expected") for n in R.CHECKS[1:]]
+    return done.select("o_orderkey", F.get("items", F.lit(0))["unit_price"].alias("unit_price"), F.size("items").alias("n_items"), *(check(n)["status"].alias(n) for n in R.CHECKS), *told, "validation_status", "confidence")
+
+
 def layout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page, text and table statistics of the layouts."""
     done = L.layout_stats(quotation_layouts(spark, sf_dir))
@@ -130,7 +152,7 @@ def table_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.select("quotation", "page_index", "table_index", rows.alias("n_rows"), columns.alias("n_columns"))
 
 
-QUERIES = {f.__name__: f for f in (header_normalize, parse_decimal, parse_date, quotation_status, quotation_line_checks, quotation_metadata, quotation_totals, quotation_items, layout_stats, table_dims)}
+QUERIES = {f.__name__: f for f in (header_normalize, parse_decimal, parse_date, quotation_status, quotation_line_checks, quotation_metadata, quotation_totals, quotation_items, quotation_wide, layout_stats, table_dims)}
 
 _ITEMS = """
   items as (select l_orderkey as quotation, l_linenumber as line, 'P-' || l_partkey as sku, p_name as description,
@@ -170,6 +192,14 @@ ORACLES = {
         from heads where n > 0""",
     "quotation_totals": f"""with {_ITEMS} select quotation, subtotal, 20::decimal(9,4) as vat_rate, vat_amount, (exact + vat_amount)::decimal(18,6) as total from heads where n > 0""",
     "quotation_items": f"""with {_ITEMS} select quotation, row_number() over (partition by quotation order by line, sku, description, quantity)::int as line, sku, description, quantity, 'pcs' as unit, unit_price, 5 as lead_time_days, line_total from priced""",
+    "quotation_wide": """with made as (select o_orderkey as n, case when o_orderkey = 0 then '' else '0' end as z, case o_orderkey % 4 when 0 then 2 when 1 then 1 else 0 end as off, case when o_orderkey % 5 = 0 then 20 else 0 end as more from orders),
+        told as (select n, z, case when off > 1 then 'failed' else 'passed' end as line_totals, case when abs(off - more) > 1 then 'failed' else 'passed' end as subtotal,
+          case when more > 0 then 'failed' else 'passed' end as vat, off, more from made)
+        select n as o_orderkey, n::varchar || repeat(z, 32) || '.25' as unit_price, 2 as n_items, line_totals, subtotal, vat, vat as grand_total,
+          case when n > 0 then (3 * n)::varchar || repeat(z, 30) else '' end || '10.7' || (5 + off) as subtotal_expected, case when n > 0 then (6 * n)::varchar || repeat(z, 30) else '' end || case when more > 0 then '2.19' else '2.15' end as vat_expected,
+          case when n > 0 then (36 * n)::varchar || repeat(z, 29) else '' end || case when more > 0 then '13.10' else '12.90' end as grand_total_expected,
+          case when 'failed' in (line_totals, subtotal, vat) then 'invalid' else 'valid' end as validation_status,
+          ((line_totals = 'passed')::int + (subtotal = 'passed')::int + 2 * (vat = 'passed')::int) / 4.0::double as confidence from told""",
     "layout_stats": f"""with {_ITEMS} select quotation, case when quotation % 5 = 0 then 2 else 1 end as page_count, 1 as pages_with_text, case when quotation % 5 = 0 then '2' else '' end as empty_pages,
         false as needs_ocr, 0 as word_count, 6 as block_count, 2 as table_count from heads where n > 0""",
     "table_dims": f"""with {_ITEMS} select quotation, 0 as page_index, t as table_index, case t when 0 then 2 else n + 1 end::int as n_rows, case t when 0 then 4 else 7 end as n_columns

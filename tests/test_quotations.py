@@ -1,15 +1,18 @@
 """Extraction and reconciliation of quotations on small documents."""
 
+import random
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import wide
 from ledgerleaf.operators import layout as L
 from ledgerleaf.operators import quotation as Q
 from ledgerleaf.operators import reconcile as R
 
+DECIMAL_ITEM = Q.ITEM.replace("quantity:string", "quantity:decimal(18,6)").replace("unit_price:string", "unit_price:decimal(18,6)").replace("line_total:string", "line_total:decimal(18,6)")
 BOX = (0.0, 0.0, 1.0, 1.0)
 
 
@@ -42,7 +45,7 @@ BLOCKS = [
 def made(spark):
     pages = [(1, 1.0, 1.0, "text", BLOCKS, [("w", BOX, 1, 1, 1)], [(BOX, META), (BOX, ITEMS)]), (2, 1.0, 1.0, " \n", [], [], [])]
     df = spark.createDataFrame([(pages,), ([],), (None,)], L.LAYOUT_SCHEMA)
-    return df, Q.extract_quotations(df).collect()
+    return df, Q.as_decimals(Q.extract_quotations(df)).collect()
 
 
 def test_extraction(made):
@@ -75,6 +78,9 @@ def test_layout_statistics(spark, made):
 
 
 def test_numbers_and_dates(spark):
+    exact = {"1234567890123456.25": "1234567890123456.25", "0.0000005": "0.0000005", "EUR +007,50": "7.50", "9" * 45: "9" * 45, "-.5": "-0.5", "5-": None}
+    got = spark.createDataFrame([(c,) for c in exact], "c string").select(Q.parse_number(F.col("c")).alias("d")).collect()
+    assert [r.d for r in got] == list(exact.values())
     cells = {"1,234": "1.234", "1.234,56": "1.23456", "EUR 12.50": "12.5", "-3": "-3", "5-": None, "": None, "n/a": None, "1.2.3": None, ".5": "0.5", "100\n200": "100200"}
     got = spark.createDataFrame([(c,) for c in cells], "c string").select(Q.parse_decimal(F.col("c")).alias("d")).collect()
     assert [r.d for r in got] == [None if v is None else Decimal(v) for v in cells.values()]
@@ -103,7 +109,7 @@ def quotation(change=None, subtotal="1457.00"):
 
 def test_reconciliation(spark):
     cases = [quotation(), quotation((3, "251.00")), quotation((2, None)), ([], None, None, None, None), quotation(subtotal="1456.99")]
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"n int, items array<{Q.ITEM}>, subtotal decimal(18,6), vat_rate decimal(9,4), vat_amount decimal(18,6), total decimal(18,6)")
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"n int, items array<{DECIMAL_ITEM}>, subtotal decimal(18,6), vat_rate decimal(9,4), vat_amount decimal(18,6), total decimal(18,6)")
     got = R.reconcile_quotations(df).orderBy("n").collect()
     status = lambda r: [r.checks[n]["status"] for n in R.CHECKS]
     assert [(r.validation_status, r.confidence) for r in got] == [("valid", 1.0), ("invalid", 0.5), ("incomplete", 0.75), ("incomplete", 0.0), ("valid", 1.0)]
@@ -120,3 +126,49 @@ def test_reconciliation(spark):
 def test_money_rounds_halves_away_from_zero(spark):
     got = spark.createDataFrame([(Decimal(x),) for x in ("-0.125", "0.005", "1.004999")], "x decimal(18,6)").select(R.money(F.col("x")).alias("m")).collect()
     assert [r.m for r in got] == [Decimal("-0.13"), Decimal("0.01"), Decimal("1.00")]
+
+
+def test_texts_reconcile_like_decimals(spark):
+    cases = [quotation(), quotation((3, "251.00")), quotation((2, None)), ([], None, None, None, None), quotation(subtotal="1456.99")]
+    kinds = f"n int, items array<{DECIMAL_ITEM}>, subtotal decimal(18,6), vat_rate decimal(9,4), vat_amount decimal(18,6), total decimal(18,6)"
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], kinds)
+    plain = lambda c: F.regexp_replace(c.cast("string"), r"\.?0+$", "")
+    texts = df.withColumns({n: plain(F.col(n)) for n in ("subtotal", "vat_rate", "vat_amount", "total")})
+    texts = texts.withColumn("items", F.transform("items", lambda i: i.withField("quantity", i["quantity"].cast("string")).withField("unit_price", i["unit_price"].cast("string")).withField("line_total", i["line_total"].cast("string"))))
+    one, two = (R.reconcile_quotations(x).orderBy("n").select("checks", "validation_status", "confidence").collect() for x in (df, texts))
+    assert one == two
+
+
+def test_arithmetic_of_any_width(spark):
+    """Against Python's decimals, with up to eighty digits."""
+    rng = random.Random(8)
+
+    def some():
+        whole, part = ("".join(rng.choices("0123456789", k=rng.choice(k))) for k in ((1, 3, 6, 7, 12, 25, 40), (0, 0, 1, 2, 3, 7, 20)))
+        return rng.choice(["", "-"]) + (whole.lstrip("0") or "0") + (f".{part}" if part else "")
+
+    rows = [(some(), some()) for _ in range(150)] + [("999999.995", "0.005"), ("-0.125", "1"), ("-999999999999.995", "-1"), ("0", "0"), (None, "1")]
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", wide.total(F.array(a, b, a)).alias("sum"), wide.product(a, b).alias("product"), wide.rounded(a, 2).alias("money"), wide.product(a, b, 2, 2).alias("share"), wide.total(F.array(a, wide.negated(b)), 2).alias("apart"))
+    cent = Decimal("0.01")
+    with localcontext() as context:
+        context.prec = 200
+        for r in df.withColumn("far", wide.exceeds(F.col("apart"), "0.01")).collect():
+            if r.a is None:
+                assert r["sum"] is None and r.product is None and r.money is None
+                continue
+            x, y = Decimal(r.a), Decimal(r.b)
+            money = lambda v: v.quantize(cent, ROUND_HALF_UP)
+            assert (Decimal(r["sum"]), Decimal(r.product), Decimal(r.money), Decimal(r.share)) == (x + y + x, x * y, money(x), money(x * y / 100)), r
+            assert r.money[-3] == "." and r.far == (abs(money(x - y)) > cent)
+
+
+def test_an_item_of_any_width_is_kept(spark):
+    row = ["X", "wide", "1" * 30, "", "0.0000005", "", "9" * 40]
+    df = spark.createDataFrame([([(1, 1.0, 1.0, "t", [], [], [(BOX, [ITEMS[0], row])])],)], L.LAYOUT_SCHEMA)
+    (item,) = Q.extract_quotations(df).first()["items"]
+    assert (item.quantity, item.unit_price, item.line_total) == ("1" * 30, "0.0000005", "9" * 40)
+    checked = R.reconcile_quotations(Q.extract_quotations(df)).first().checks["line_totals"]
+    assert checked["status"] == "failed" and '"expected":"55555555555555555555555.56"' in checked["details"]["mismatches"]
+    (none,) = Q.as_decimals(Q.extract_quotations(df)).first()["items"]
+    assert none.quantity is None
