@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import text
 from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
+from ledgerleaf.operators.streamed import streamed_fingerprints
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,18 @@ def transcript_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.select("conv_id", "document_id", "fingerprint", F.size("segments").alias("segment_count"))
 
 
+def flat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every accepted transcript, hashed piece by piece from the flat rows: no conversation is gathered."""
+    rows = table(spark, sf_dir, "conversations")
+    said = accepted_turns(spark, sf_dir)
+    none = F.lit(None).cast("timestamp")
+    source = turn_source().withField("source_timestamp", none).withField("published_at", none).withField("retrieved_at", none)
+    titled = said.select("document_id", "conv_id").distinct()
+    heads = titled.select("document_id", F.concat(F.lit("Conversation "), F.col("conv_id")).alias("title"), F.lit("conversation").alias("document_type"), source.alias("source"))
+    people = D.participant_rows(rows, turn_source(), F.col("role"), F.col("role"))
+    return streamed_fingerprints(heads, people, said).withColumn("segment_count", F.col("segment_count").cast("int"))
+
+
 def segment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity of every segment of an accepted transcript, from the flat rows."""
     return accepted_turns(spark, sf_dir).select("document_id", "sequence", "segment_id")
@@ -115,7 +128,7 @@ def document_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("document_id", "change", F.size("segments_added").alias("n_added"), F.size("segments_removed").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_identity, segment_identity, transcript_participants, nested_segments, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions)}
+QUERIES = {f.__name__: f for f in (transcript_identity, flat_fingerprints, segment_identity, transcript_participants, nested_segments, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions)}
 
 #: DuckDB: white space and clean text as in ``ledgerleaf.functions.text``.
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -147,6 +160,7 @@ def distinct_turns() -> str:
 
 ORACLES = {
     "transcript_identity": f"with {document_ctes()} select conv_id, document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}",
+    "flat_fingerprints": f"with {document_ctes()} select document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}",
     "segment_identity": f"with {document_ctes()} select document_id, sequence, segment_id from ids where {distinct_turns()}",
     "nested_segments": f"""with {document_ctes()} select i.document_id, segment_id as item, participant_id as person from ids i join segs using (conv_id, sequence) where {distinct_turns()}
         union all select distinct document_id, participant_id, participant_id from segs join docs using (conv_id) where {distinct_turns()}""",

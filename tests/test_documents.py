@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import canonical, text
 from ledgerleaf.operators import documents as D
+from ledgerleaf.operators.streamed import streamed_fingerprints
 from ledgerleaf.sources.readers import parse_raw_documents
 
 BASE = {
@@ -132,3 +133,25 @@ def test_strip_equals_python(spark):
     texts = [f"{c}x{c}y{c}" for c in spaces] + ["​x​", "", " "]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("s")).collect()
     assert all(r.s == r.t.strip() for r in got)
+
+
+def test_streamed_fingerprints_equal_nested_ones(spark):
+    """Also of a document of many batches, with texts that need escapes, and of one without participants."""
+    rng = random.Random(9)
+    odd = ['q"\\', "a\x0b\x1f z", "é ü퟿", "line\nline", "\t", "</s>", "\x7f"]
+    docs = []
+    for i in range(12):
+        people = [(f"p{k}", rng.choice(odd) + "n", rng.choice([None, "r"]), rng.choice([None, odd[0]])) for k in range(rng.randint(0, 3))]
+        many = 30_000 if i == 3 else rng.randint(1, 9)
+        said = [(k + 1, rng.choice([None, *[p[0] for p in people]]), f"{rng.choice(odd)}x{k}") for k in rng.sample(range(2 * many), many)]
+        times = (None, "2026-01-02T03:04:05.250000Z", "2026-03-02T03:04:05Z") if i % 2 else (None, None, None)
+        docs.append((f"t{i} {odd[i % 7]}x", "d", ("prov", None, f"s{i}", *times), people, said))
+    raw = spark.createDataFrame(docs, D.RAW_SCHEMA)
+    good = D.split_valid(D.normalize_documents(raw))[0].cache()
+    assert good.count() == 12
+    want = {r.document_id: (r.fingerprint, r.n) for r in good.select("document_id", "fingerprint", F.size("segments").alias("n")).collect()}
+    flat = D.explode_segments(good).repartition(5)
+    got = streamed_fingerprints(good.select("document_id", "title", "document_type", "source"), D.explode_participants(good), flat)
+    assert {r.document_id: (r.fingerprint, r.segment_count) for r in got.collect()} == want
+    assert streamed_fingerprints(good.where("false"), D.explode_participants(good), flat).count() == 0
+    good.unpersist()
