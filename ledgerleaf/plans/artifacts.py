@@ -43,6 +43,18 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(brief.select("document_id", F.col("fingerprint").alias("told")), "document_id").where("fingerprint = told").select("document_id", "fingerprint", F.size("segments").alias("segment_count"))
 
 
+def published_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted transcripts published twice, the second time as a later version with a run that broke off between."""
+    root = new_folder(spark, "published")
+    good = D.split_valid(transcripts(spark, sf_dir))[0].drop("conv_id")
+    sinks.publish_artifacts(good.where("false"), D.document_summary(good.where("false")), root, "v1")
+    sinks.write_documents(good, f"{root}/versions/v2/normalized")  # what a run leaves that ends before the manifest
+    sinks.publish_artifacts(good, D.document_summary(good), root, "v2")
+    sinks.publish_artifacts(good.where("false"), D.document_summary(good), root, "v2")  # published already
+    whole, brief = sinks.read_artifacts(spark, root)
+    return whole.join(brief.select("document_id", F.col("fingerprint").alias("told")), "document_id").where("fingerprint = told").select("document_id", "fingerprint", F.size("segments").alias("segment_count"))
+
+
 def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotations of layout documents written as JSON files, a bounded array of them in each, and read back."""
     path = new_folder(spark, "layouts")
@@ -131,7 +143,7 @@ def response_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.response_envelope(done).select("document_id", F.sha2("response", 256).alias("response_sha256"), F.length("response").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (raw_document_files, stored_documents, layout_files, stored_file_sizes, exported_items, streamed_documents, tied_registration, tied_document_status, streamed_registration, engine_results, response_envelopes)}
+QUERIES = {f.__name__: f for f in (raw_document_files, stored_documents, published_artifacts, layout_files, stored_file_sizes, exported_items, streamed_documents, tied_registration, tied_document_status, streamed_registration, engine_results, response_envelopes)}
 
 _IDENTITY = f"with {document_ctes()} select document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}"
 
@@ -150,6 +162,7 @@ _TIED_COUNTS = "select document_id, n201, n400, n404, n409 from told"
 ORACLES = {
     "raw_document_files": _IDENTITY,
     "stored_documents": _IDENTITY,
+    "published_artifacts": _IDENTITY,
     "streamed_documents": _IDENTITY,
     "layout_files": f"with {P._ITEMS} select 'QT-' || quotation as quotation_number, 'Example Supplies Ltd.' as supplier_name, (exact + vat_amount)::decimal(18,6) as total, n::int as n_items from heads where n > 0",
     "stored_file_sizes": "select coalesce(lang, 'none') as lang, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as n_bytes, 0 as n_unread from documents group by 1",

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import documents as D
@@ -54,3 +55,26 @@ def test_normalising_a_stream_equals_the_batch(spark, tmp_path):
     batch = D.normalize_documents(readers.read_raw_documents(spark, str(tmp_path)))
     assert sorted(spark.table("normalised").collect()) == sorted(batch.select("document_id", "fingerprint").collect())
     assert batch.select(F.countDistinct("fingerprint")).first()[0] == 3
+
+
+def test_artifacts_are_published_together(spark, tmp_path):
+    root = str(tmp_path / "root")
+    one, two = (spark.createDataFrame([(i, "d")], "n int, t string") for i in (1, 2))
+    with pytest.raises(ValueError):
+        sinks.read_artifacts(spark, root)
+    # A run that breaks off leaves nothing to be read, and does not hinder the next.
+    sinks.write_documents(two, f"{root}/versions/a/normalized")
+    with pytest.raises(ValueError):
+        sinks.read_artifacts(spark, root)
+    assert sinks.publish_artifacts(one, one, root, "a") and not sinks.publish_artifacts(two, two, root, "a")
+    assert [[r.n for r in df.collect()] for df in sinks.read_artifacts(spark, root)] == [[1], [1]]
+    sinks.write_documents(one, f"{root}/versions/b/normalized")
+    assert sinks.read_artifacts(spark, root)[0].first().n == 1
+    assert sinks.publish_artifacts(two, two, root, "b")
+    assert sinks.read_artifacts(spark, root)[1].first().n == 2 and sinks.read_artifacts(spark, root, "a")[1].first().n == 1
+    assert sorted(r.version for r in sinks.published_versions(spark, root).collect()) == ["a", "b"]
+    for bad in ("", "../x", "a/b"):
+        with pytest.raises(ValueError):
+            sinks.publish_artifacts(one, one, root, bad)
+    with pytest.raises(ValueError):
+        sinks.read_artifacts(spark, root, "c")
