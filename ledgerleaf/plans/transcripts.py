@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import text
 from ledgerleaf.functions.nested import exploded
 from ledgerleaf.operators import documents as D
+from ledgerleaf.operators.alignment import segment_changes
 from ledgerleaf.operators.streamed import streamed_fingerprints
 
 
@@ -128,7 +129,20 @@ def document_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("document_id", "change", F.size("segments_added").alias("n_added"), F.size("segments_removed").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_identity, flat_fingerprints, segment_identity, transcript_participants, nested_segments, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions)}
+def segment_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts against a later state: by id modulo 3 a line in front, another first text, or the last turn in front."""
+    raw, kind = raw_transcripts(spark, sf_dir), F.col("conv_id") % 3
+    numbered = lambda c: F.transform(c, lambda s, i: s.withField("sequence", (i + 1).cast("long")))
+    said = F.col("segments")
+    line = F.array(F.struct(F.lit(0).cast("long").alias("sequence"), F.lit(None).cast("string").alias("participant_id"), F.lit("A new line.").alias("text")))
+    other = F.transform(said, lambda s, i: F.when(i == 0, s.withField("text", F.concat(s["text"], F.lit("!")))).otherwise(s))
+    turned = F.concat(F.slice(said, -1, 1), F.slice(said, F.lit(1), F.size(said) - 1))
+    later = F.when(kind == 0, F.concat(line, said)).when(kind == 1, other).otherwise(turned)
+    old, new = (D.split_valid(D.normalize_documents(raw.withColumn("segments", numbered(c))))[0] for c in (said, later))
+    return segment_changes(old, new)
+
+
+QUERIES = {f.__name__: f for f in (transcript_identity, flat_fingerprints, segment_identity, transcript_participants, nested_segments, rejected_transcripts, transcript_summary, line_segments, unknown_participants, time_order_violations, integrity_failures, document_revisions, segment_diff)}
 
 #: DuckDB: white space and clean text as in ``ledgerleaf.functions.text``.
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -177,6 +191,10 @@ ORACLES = {
         having max(l_shipdate) > min(l_shipdate) or min(l_shipdate) > o_orderdate or max(l_shipdate) > o_orderdate""",
     "integrity_failures": f"""with {document_ctes()} select conv_id, case conv_id % 3 when 1 then 'fingerprint' when 2 then 'segments,segment_id,fingerprint' else '' end as failures
         from docs where {distinct_turns()}""",
+    "segment_diff": f"""with {document_ctes()}, old as (select conv_id, document_id, len(segments) as n from docs)
+        select document_id, case conv_id % 3 when 0 then 'inserted' when 1 then 'changed' else 'moved' end as change,
+          case conv_id % 3 when 0 then null when 1 then 1 else case when n = 2 then 1 else n end end::bigint as old_sequence, case when conv_id % 3 = 2 and n = 2 then 2 else 1 end::bigint as new_sequence
+        from old where conv_id % 3 <> 2 or n > 1""",
     "document_revisions": f"""with {document_ctes()}, old as (select conv_id, document_id, len(segments) as n from docs where {distinct_turns()})
         select document_id, case when conv_id % 7 = 5 then 'removed' when conv_id % 2 = 0 and n > 1 then 'revised' else 'unchanged' end as change,
           0 as n_added, case when conv_id % 7 = 5 then n when conv_id % 2 = 0 and n > 1 then 1 else 0 end::int as n_removed from old""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import canonical, text
 from ledgerleaf.operators import documents as D
+from ledgerleaf.operators.alignment import changes, common_subsequence, segment_changes
 from ledgerleaf.operators.streamed import streamed_fingerprints
 from ledgerleaf.sources.readers import parse_raw_documents
 
@@ -155,3 +156,37 @@ def test_streamed_fingerprints_equal_nested_ones(spark):
     assert {r.document_id: (r.fingerprint, r.segment_count) for r in got.collect()} == want
     assert streamed_fingerprints(good.where("false"), D.explode_participants(good), flat).count() == 0
     good.unpersist()
+
+
+def test_alignment_equals_plain_tables():
+    """The subsequence is a longest one, and the changes turn one state into the other."""
+    rng = random.Random(10)
+    for _ in range(300):
+        old, new = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        if rng.random() < 0.4:
+            new = old[:]
+            for _ in range(rng.randint(0, 3)):
+                new.insert(rng.randint(0, len(new)), rng.choice("xyz"))
+        longest = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+        for i, a in enumerate(old):
+            for j, b in enumerate(new):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if a == b else max(longest[i][j + 1], longest[i + 1][j])
+        kept = common_subsequence(old, new)
+        assert len(kept) == longest[-1][-1] and all(old[i] == new[j] for i, j in kept)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(kept, kept[1:], strict=False))
+        told = changes(old, new)
+        assert sorted([i for i, _ in kept] + [i for _, i, _ in told if i is not None]) == list(range(len(old)))
+        assert sorted([j for _, j in kept] + [j for _, _, j in told if j is not None]) == list(range(len(new)))
+        assert all(old[i] == new[j] for change, i, j in told if change == "moved")
+        assert not {old[i] for c, i, _ in told if c in ("deleted", "changed")} & {new[j] for c, _, j in told if c in ("inserted", "changed")}
+
+
+def test_one_line_in_front_is_one_change(spark):
+    said = lambda *texts: [{"sequence": k + 1, "participant_id": None, "text": t} for k, t in enumerate(texts)]
+    states = [(said("a", "b", "c", "d"), said("new", "a", "b", "c", "d")), (said("a", "b", "c", "d"), said("a", "B", "d", "c")), (said("a", "b"), said("a"))]
+    docs = [[changed(segments=s[k], source__source_document_id=f"n{i}") for i, s in enumerate(states)] for k in (0, 1)]
+    old, new = (D.normalize_documents(parse_raw_documents(spark.createDataFrame([(json.dumps(d),) for d in side], "raw string"))) for side in docs)
+    ident = {r.document_id: r.source.source_document_id for r in old.collect()}
+    got = sorted((ident[r.document_id], r.change, r.old_sequence, r.new_sequence) for r in segment_changes(old, new).collect())
+    assert got == [("n0", "inserted", None, 1), ("n1", "changed", 2, 2), ("n1", "moved", 3, 4), ("n2", "deleted", 2, None)]
+    assert segment_changes(old, old).count() == 0
