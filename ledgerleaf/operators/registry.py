@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import text
 from ledgerleaf.operators.jsonschema import kind
 from ledgerleaf.operators.quotation import bind
+from ledgerleaf.sources.scratch import new_folder
 
 #: Limits and statuses of the registry.
 MAX_FILE_BYTES = 20 * 1024 * 1024
@@ -140,29 +141,24 @@ def register_results(documents: DataFrame, results: DataFrame, incoming: DataFra
     Adds outcome (201 registered, 400 with a reason, 404 no such document, 409 there is a result already), and what
     is stored. Of several good results for a document the first arrival wins, a null one being last; of equal arrivals
     the payload with the smallest SHA-256; of rows equal in both any one. The rows of one document compete by an
-    aggregate that combines before the shuffle, and equal rows in two steps, first among those of a partition, so a
-    document with very many incoming results gathers nowhere.
+    aggregate that combines before the shuffle, so a document with very many incoming results gathers nowhere.
+
+    The judged rows are written to the shared folder first, so each payload is read once, and rows that are equal in
+    everything differ by their number.
     """
     reason, stored = check_result_payload(F.col("payload"))
     judged = incoming.withColumn("reason", reason).withColumn("stored", F.when(F.col("reason").isNull(), stored))
+    mark = F.when(F.col("reason").isNull(), F.sha2("payload", 256))
+    judged = judged.withColumn("_rank", F.struct(F.col("arrival").isNull().alias("late"), F.col("arrival").alias("arrival"), mark.alias("mark"), F.monotonically_increasing_id().alias("row")))
+    folder = new_folder(incoming.sparkSession, "judged")
+    judged.write.parquet(folder)
+    judged = incoming.sparkSession.read.schema(judged.schema).parquet(folder)
     known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("known")).dropDuplicates(["document_id"])
     taken = results.select("document_id", F.lit(True).alias("taken")).distinct()
-    judged = judged.withColumn("_rank", F.struct(F.col("arrival").isNull().alias("late"), F.col("arrival").alias("arrival"), F.sha2("payload", 256).alias("mark")))
     first = judged.where("reason is null").groupBy("document_id").agg(F.min("_rank").alias("_first"))
     joined = judged.join(known, "document_id", "left").join(taken, "document_id", "left").join(first, "document_id", "left")
     outcome = F.when(F.col("reason").isNotNull(), 400).when(F.col("known").isNull(), 404).when(F.col("taken").isNotNull() | ~F.col("_rank").eqNullSafe(F.col("_first")), 409).otherwise(201)
-    told = joined.withColumn("outcome", outcome).drop("known", "taken", "_first", "_rank")
-    return told.where("outcome <> 201").unionByName(_one_of_equals(told.where("outcome = 201")))
-
-
-def _one_of_equals(best: DataFrame) -> DataFrame:
-    """Keep one 201 of each document's equal rows and make the others 409."""
-    part = Window.partitionBy("document_id", "_part").orderBy("_part")
-    whole = Window.partitionBy("document_id", "_rest").orderBy("_part")
-    best = best.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.row_number().over(part))
-    # What is first in its partition meets in group 0; the others stay with their partition.
-    best = best.withColumn("_rest", F.when(F.col("_nth") == 1, 0).otherwise(F.col("_part") + 1)).withColumn("_nth", F.row_number().over(whole))
-    return best.withColumn("outcome", F.when((F.col("_rest") == 0) & (F.col("_nth") == 1), 201).otherwise(409)).drop("_part", "_nth", "_rest")
+    return joined.withColumn("outcome", outcome).drop("known", "taken", "_first", "_rank")
 
 
 def stored_results(registered: DataFrame, created_at: Column | None = None) -> DataFrame:
