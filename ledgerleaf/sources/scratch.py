@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         given = sc.getConf().get("spark.checkpoint.dir")
-        if not given and not sc.master.startswith("local["):
+        if not given and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
