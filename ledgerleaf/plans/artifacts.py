@@ -15,6 +15,7 @@ from ledgerleaf.plans import validation as V
 from ledgerleaf.plans.transcripts import distinct_turns, document_ctes, raw_transcripts, table, transcripts
 from ledgerleaf.sources import readers, sinks
 from ledgerleaf.sources.scratch import new_folder
+from ledgerleaf.streaming.keyed import write_results_keyed
 from ledgerleaf.streaming.registration import register_results_stream
 
 
@@ -125,6 +126,18 @@ def streamed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome_counts(spark.read.parquet(f"{path}/store"))
 
 
+def keyed_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tied results registered by keyed state, beside what earlier runs registered, and sent once more after a restart."""
+    path = new_folder(spark, "keyed")
+    V.registry_documents(spark, sf_dir).write.parquet(f"{path}/documents")
+    documents, earlier = spark.read.parquet(f"{path}/documents"), V.earlier_results(spark, sf_dir)
+    for _ in range(2):
+        tied_results(spark, sf_dir).repartition(2).write.mode("append").parquet(f"{path}/results")
+        stream = spark.readStream.schema("document_id string, arrival bigint, payload string").option("maxFilesPerTrigger", 1).parquet(f"{path}/results")
+        write_results_keyed(documents, earlier, stream, f"{path}/store", f"{path}/state").awaitTermination()
+    return _outcome_counts(spark.read.parquet(f"{path}/store"))
+
+
 def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured results by a registered engine that keeps its input's columns."""
     engines = EngineRegistry()
@@ -143,15 +156,15 @@ def response_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.response_envelope(done).select("document_id", F.sha2("response", 256).alias("response_sha256"), F.length("response").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (raw_document_files, stored_documents, published_artifacts, layout_files, stored_file_sizes, exported_items, streamed_documents, tied_registration, tied_document_status, streamed_registration, engine_results, response_envelopes)}
+QUERIES = {f.__name__: f for f in (raw_document_files, stored_documents, published_artifacts, layout_files, stored_file_sizes, exported_items, streamed_documents, tied_registration, tied_document_status, streamed_registration, keyed_registration, engine_results, response_envelopes)}
 
 _IDENTITY = f"with {document_ctes()} select document_id, fingerprint, len(segments)::int as segment_count from marked where {distinct_turns()}"
 
 # 201 at most once a document; the other good results of a known document are 409.
-def _tied(taken: str = "bool_or(doc_id % 23 = 22) and not starts_with(document_id, 'lost-')") -> str:
+def _tied(taken: str = "bool_or(doc_id % 23 = 22) and not starts_with(document_id, 'lost-')", times: int = 5) -> str:
     return f"""plain as (select case when doc_id % 19 = 18 then 'lost-' || doc_id else doc_id::varchar end as document_id,
       case when doc_id % 17 = 16 or doc_id % 4 = 3 or doc_id % 6 in (2, 3) then 1 else 0 end as bad, doc_id from labels),
-  counts as (select document_id, count(*) filter (where bad = 0) * 5 as good, count(*) filter (where bad = 1) * 5 as n400,
+  counts as (select document_id, count(*) filter (where bad = 0) * {times} as good, count(*) filter (where bad = 1) * {times} as n400,
       document_id in (select doc_id::varchar from documents) as known, {taken} as taken from plain group by document_id),
   told as (select document_id, case when known and not taken and good > 0 then 1 else 0 end as n201, n400, case when known then 0 else good end as n404,
       case when not known then 0 when taken or good = 0 then good else good - 1 end as n409 from counts)"""
@@ -169,6 +182,7 @@ ORACLES = {
     "exported_items": f"with {P._ITEMS} select quotation, line, sku, description, quantity, 'pcs' as unit, unit_price, null::int as lead_time_days, line_total from priced",
     "tied_registration": f"with {_tied()} {_TIED_COUNTS}",
     "streamed_registration": f"with {_tied('false')} {_TIED_COUNTS}",
+    "keyed_registration": f"with {_tied(times=10)} {_TIED_COUNTS}",
     "tied_document_status": f"""with {_tied()}, won as (select t.document_id, l.doc_id from told t join labels l on t.document_id = l.doc_id::varchar where n201 = 1)
         select d.doc_id::varchar as id, case when w.doc_id is null then 'Uploaded' when w.doc_id % 4 = 0 then 'Processed' else 'NeedsReview' end as status, case when w.doc_id is not null then 't' || (w.doc_id % 3) end as document_type
         from documents d left join won w on w.doc_id = d.doc_id""",
