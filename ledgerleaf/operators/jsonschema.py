@@ -13,6 +13,7 @@ see ``recursion``.
 from __future__ import annotations
 
 import json
+import math
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ from ledgerleaf.functions.nested import exploded
 from ledgerleaf.functions.regex import java_regex
 from ledgerleaf.operators.schema_graph import HOLD_LIST, HOLD_MEMBERS, HOLD_SCHEMA, SHAPES, SchemaGraph, SchemaRequestError, check_schema, schema_path
 
+#: A step of a path: the root, an index or a quoted member.
+STEP = r'^\$|\[[0-9]+\]|\["(?:[^"\\]|\\.)*"\]'
 ERROR = "array<struct<path:string,schema_path:string,validator:string,message:string>>"
 #: Keywords that check a value; those beside ``if`` and ``contains`` are applied by them.
 CHECKED = ({*SHAPES, *HOLD_SCHEMA, *HOLD_LIST, *HOLD_MEMBERS, "const"}) - {"then", "else", "minContains", "maxContains"}
@@ -476,6 +479,47 @@ def schema_error_summary(df: DataFrame) -> DataFrame:
     return errors.groupBy(place.alias("path"), F.col("e.validator").alias("validator")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def declared_names(schema: object) -> set[str]:
+    """The member names that a schema's ``properties`` declare, anywhere in it."""
+    if isinstance(schema, list):
+        return set().union(*map(declared_names, schema))
+    if not isinstance(schema, dict):
+        return set()
+    own = schema.get("properties")
+    return (set(own) if isinstance(own, dict) else set()).union(*map(declared_names, schema.values()))
+
+
+def declared_place(path: Column, names: set[str]) -> Column:
+    """A path without what the data put into it: an index becomes [], a member of no declared name ["*"]."""
+    steps = F.regexp_extract_all(path, F.lit(STEP), 0)
+    kept = ["$", *sorted(f"[{json.dumps(n, ensure_ascii=False)}]" for n in names)]
+    step = lambda x: F.when(x.rlike(r"^\[[0-9]+\]$"), "[]").when(x.isin(kept), x).otherwise('["*"]')
+    return F.array_join(F.transform(steps, step), "")
+
+
+def schema_error_hotspots(df: DataFrame, request: SchemaRequest, most: int = 10, tracked: int = 10_000) -> DataFrame:
+    """How often each validator fails at each declared place, and the real paths that fail most there.
+
+    Members that the schema does not name put data into paths, so paths grow with the data; places do not, unless the
+    schema is recursive. ``n`` is exact. ``frequent`` (path, n; of equal counts the least path first) holds the ``most``
+    most frequent paths of a place by a sketch that partial aggregates merge, of ``tracked`` paths a place: exact where
+    a place has no more errors than that; beyond, a count is wrong by ``n_error`` at most, and a path with more than twice
+    that is known to the sketch. Null or no errors count nowhere.
+    """
+    if not 1 <= most <= tracked <= 1_000_000:
+        raise ValueError("1 <= most <= tracked <= 1000000 must hold")
+    errors = exploded(df, "schema_errors", "_at", "e")
+    place = declared_place(F.col("e.path"), declared_names(request.schema))
+    sketch = F.call_function("approx_top_k", F.col("e.path"), F.lit(tracked), F.lit(tracked))
+    counted = errors.groupBy(place.alias("path"), F.col("e.validator").alias("validator")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("all"))
+    order = F.array_sort(F.transform("all", lambda x: F.struct((-x["count"]).alias("less"), x["item"].alias("path"))))
+    frequent = F.transform(F.slice(order, 1, most), lambda x: F.struct(x["path"].alias("path"), (-x["less"]).alias("n")))
+    # The sketch has room for the next power of two above tracked / 0.75, and errs by 3.5 parts in so many.
+    room = 1 << math.ceil(math.log2(tracked / 0.75))
+    error = F.when(F.col("n") <= tracked, 0).otherwise(F.ceil(F.col("n") * 3.5 / room)).cast("bigint")
+    return counted.select("path", "validator", "n", error.alias("n_error"), frequent.alias("frequent"))
+
+
 def is_text_identifier(c: Column) -> Column:
     """Whether a name is already normal: not blank, one line, nothing to strip."""
     return ~text.is_blank(c) & ~text.has_inner_break(c) & c.eqNullSafe(text.clean_text(c))

@@ -76,7 +76,19 @@ def schema_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _errors(table(spark, sf_dir, "documents").select(n, body.alias("body")), "doc_id", pattern_request())
 
 
-QUERIES = {f.__name__: f for f in (schema_recursive, schema_recursive_choice, schema_unevaluated, schema_patterns)}
+def price_request() -> J.SchemaRequest:
+    return J.schema_request("prices", 1, {"type": "object", "properties": {"spent": {"type": "object", "additionalProperties": {"items": {"maximum": 150000}}}}})
+
+
+def schema_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers with most orders above a price, found as the most frequent paths of one place of the orders' JSON."""
+    spent = F.concat(F.lit('{"spent":{"customer '), F.col("o_custkey").cast("string"), F.lit('":['), F.col("o_totalprice").cast("string"), F.lit("]}}"))
+    judged = J.validate_json(table(spark, sf_dir, "orders").select(spent.alias("body")), "body", price_request())
+    found = J.schema_error_hotspots(judged, price_request(), most=20)
+    return found.select("path", "validator", F.col("n").alias("n_place"), "n_error", F.inline("frequent").alias("frequent", "n"))
+
+
+QUERIES = {f.__name__: f for f in (schema_recursive, schema_recursive_choice, schema_unevaluated, schema_patterns, schema_hotspots)}
 
 _CHAINS = "chains as (select o_custkey, o_orderstatus as s, row_number() over (partition by o_custkey order by o_orderkey, o_orderstatus) as n from orders)"
 
@@ -95,4 +107,7 @@ ORACLES = {
         union all select doc_id, '$["pair"]', '#/properties/pair/pattern', 'pattern' from w where len(list_filter(range(1, length(w)), lambda i: w[i] = w[i + 1] and regexp_full_match(w[i], '[\p{L}\p{N}_]'))) = 0
         union all select doc_id, '$["number"]', '#/properties/number/pattern', 'pattern' from w where doc_id % 3 = 1
         union all select doc_id, '$["whole"]', '#/properties/whole/pattern', 'pattern' from w where doc_id % 3 <> 2""",
+    "schema_hotspots": """with counted as (select '$["spent"]["customer ' || o_custkey || '"][0]' as frequent, count(*) as n from orders where o_totalprice > 150000 group by o_custkey),
+          placed as (select *, row_number() over (order by n desc, frequent) as r, sum(n) over () as total from counted)
+        select '$["spent"]["*"][]' as path, 'maximum' as validator, total::bigint as n_place, case when total <= 10000 then 0 else ceil(total * 3.5 / 16384) end::bigint as n_error, frequent, n from placed where r <= 20""",
 }

@@ -197,3 +197,33 @@ def test_nothing_to_validate(spark):
     for schema in (RECURSIVE["tree"], RECURSIVE["choice"]):
         assert J.validate_json(df, "t", J.schema_request("s", 1, schema)).count() == 0
     assert malformed_schemas(spark.createDataFrame([], "schema string")).count() == 0
+
+
+def test_hotspots_fold_members_of_the_data(spark):
+    schema = {"type": "object", "properties": {"a": {"additionalProperties": {"type": "integer"}}, 'q"[0]': {"items": {"type": "string"}}}, "patternProperties": {"^x": {"type": "null"}}}
+    bodies = [{"a": {"k": "s", 'odd"]["a': "s"}}] * 3 + [{"a": {f"u{i}": None}} for i in range(40)] + [{'q"[0]': ["t", 1, 2]}, {"x1": 0}, {"a": {"a": None}}, {"a": {"k": 1}}]
+    frame = spark.createDataFrame([(json.dumps(b),) for b in bodies] + [("nope",), (None,)], "t string")
+    request = J.schema_request("s", 1, schema)
+    judged = J.validate_json(frame, "t", request)
+    got = {(r.path, r.validator): (r.n, r.n_error, [tuple(f) for f in r.frequent]) for r in J.schema_error_hotspots(judged, request, most=3).collect()}
+    many = [('$["a"]["k"]', 3), (r'$["a"]["odd\"][\"a"]', 3), ('$["a"]["a"]', 1)]
+    assert got.pop(('$["a"]["*"]', "type")) == (46, 0, many[:2] + [('$["a"]["u0"]', 1)])
+    assert got.pop(('$["a"]["a"]', "type")) == (1, 0, many[2:])
+    assert got.pop((r'$["q\"[0]"][]', "type")) == (2, 0, [(r'$["q\"[0]"][1]', 1), (r'$["q\"[0]"][2]', 1)])
+    assert got.pop(('$["*"]', "type")) == (1, 0, [('$["x1"]', 1)]) and not got
+    assert not J.schema_error_hotspots(judged.where("false"), request).collect()
+    for bad in ((0, 5), (6, 5), (1, 2_000_000)):
+        with pytest.raises(ValueError):
+            J.schema_error_hotspots(judged, request, *bad)
+
+
+def test_hotspots_beyond_what_is_tracked(spark):
+    """Counts keep within the stated error, and what is frequent is found, with far more paths than are tracked."""
+    member = F.when(F.col("id") % 4 == 0, F.col("id") % 3).otherwise(F.col("id"))
+    body = F.concat(F.lit('{"m":{"'), member.cast("string"), F.lit('":0}}'))
+    request = J.schema_request("s", 1, {"type": "object", "properties": {"m": {"additionalProperties": {"type": "string"}}}})
+    judged = J.validate_json(spark.range(40000, numPartitions=4).select(body.alias("t")), "t", request)
+    (row,) = J.schema_error_hotspots(judged, request, most=3, tracked=300).collect()
+    assert row.n == 40000 and row.n_error == -(-40000 * 7 // 1024)
+    assert {f.path for f in row.frequent} == {f'$["m"]["{i}"]' for i in range(3)}
+    assert all(abs(f.n - 10000 / 3) <= row.n_error + 2 for f in row.frequent)
