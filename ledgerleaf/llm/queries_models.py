@@ -33,7 +33,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
-    return identify_languages(docs, fit_language(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify_languages(docs, fit_language(docs, evidence=False)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op7_lm_scoring": op7_lm_scoring, "op8_language_id": op8_language_id}

@@ -277,6 +277,42 @@ def test_language_query_equals_plain_kernels(spark, small):
             assert got[r.doc_id].lang_pred == languages[int(raw.argmax())] or np.sort(raw)[-1] - np.sort(raw)[-2] < 1e-3
 
 
+def test_language_learns_from_every_row(spark, docs):
+    """Weights and cuts of all learning rows, redone with dense presences: 10 a language is no bound on rows, only on weight."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows += [(1000, "", "en"), (1001, "é", "de"), (1002, "zz " * 100_000, "en"), rows[0], rows[0], (None, "no id", "en"), (1003, "no lang", None)]
+    model = language_id.fit_language(docs(rows).repartition(3), per_language=10, landmarks=16)
+    learnt = [(t.encode(), lang) for i, t, lang in rows if i is not None and lang and t is not None and crc_fold(i, 4) != 2]
+    languages = sorted({lang for _, lang in learnt})
+    count = Counter(lang for _, lang in learnt)
+    assert model.languages == languages and max(count.values()) > 20 and any(len(t) > 1 << 18 for t, _ in learnt)
+    whole = lambda x: language_id.presences(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].astype(np.float64)
+    own = (model.landmarks > 0).astype(np.float64)
+    m = own / np.sqrt(np.maximum(own.sum(1, keepdims=True), 1))
+    present = [whole(t) for t, _ in learnt]
+    k = np.array([p / np.sqrt(max(p.sum(), 1)) @ m.T for p in present])
+    w = np.array([min(1, 10 / count[lang]) for _, lang in learnt])[:, None]
+    values, vectors = np.linalg.eigh(m @ m.T)
+    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    target = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in learnt])
+    z = k @ root
+    assert np.allclose(model.weights, root @ np.linalg.solve(z.T @ (w * z) + 1e-3 * w.sum() * np.eye(len(m)), z.T @ (w * target)), atol=2e-3)
+    found = defaultdict(list)
+    for (t, _), p in zip(learnt, present, strict=True):
+        low = language_id.fold_case(np.frombuffer(t, np.uint8)).tobytes()
+        others, known = own[(own != p).any(1)], {}
+        for n in (8 << k for k in range(9)):
+            for at in range(0, len(t) - n + 1, n):
+                if (x := low[at : at + n]) not in known:
+                    known[x] = (others @ (piece := whole(x))).max() / piece.sum()
+                found[n].append((known[x], 1 / (len(t) // n)))
+    for cut, n in zip(model.cuts, sorted(found), strict=True):
+        shares, each = zip(*sorted(found[n]), strict=True)
+        upto = np.cumsum(each)
+        want = shares[int(np.searchsorted(upto, 0.005 * upto[-1], side="right"))]
+        assert abs(cut / language_id.SLACK - want) <= 1 / 4096 + 1e-9
+
+
 def test_language_ties_repeats_and_long_texts(spark, docs):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("aaa bbb", "xx"), ("aaa bbb", "aa")] * 20)]
     rows += [(100, "ccc ddd " * 60_000, "aa"), (100, "ccc ddd " * 60_000, "aa"), (None, "aaa bbb", None)]
