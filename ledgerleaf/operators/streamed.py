@@ -87,5 +87,7 @@ def streamed_fingerprints(heads: DataFrame, participants: DataFrame, segments: D
     """document_id, fingerprint and segment_count of each document of ``heads``, without gathering any."""
     pieces = document_pieces(heads, participants, segments)
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, "document_id").sortWithinPartitions("document_id", "part", "at", "who")
+    # By a hash of the key: pieces that joins have dealt by the key itself would not be dealt once more, and the tasks
+    # that are left of those joins are merged list by list, so that a document's pieces would part.
+    dealt = pieces.repartition(parts, F.xxhash64("document_id")).sortWithinPartitions("document_id", "part", "at", "who")
     return dealt.select("document_id", "part", "piece").mapInArrow(_hashed, "document_id string, fingerprint string, segment_count long")

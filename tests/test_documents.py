@@ -158,6 +158,24 @@ def test_streamed_fingerprints_equal_nested_ones(spark):
     good.unpersist()
 
 
+def test_streamed_fingerprints_after_joins_that_shuffle(spark):
+    """What large tables do: the joins before have dealt the pieces by document, and their small tasks are merged."""
+    from ledgerleaf.plans.transcripts import flat_fingerprints, transcript_identity
+
+    adaptive = "spark.sql.adaptive"
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", f"{adaptive}.coalescePartitions.parallelismFirst": "false", f"{adaptive}.advisoryPartitionSizeInBytes": "8KB", f"{adaptive}.coalescePartitions.minPartitionSize": "1B"}
+    kept = {k: spark.conf.get(k) for k in large}
+    data = "/root/testdata/sf0.01"
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, flat_fingerprints(spark, data).collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == sorted(map(tuple, transcript_identity(spark, data).drop("conv_id").collect()))
+
+
 def test_alignment_equals_plain_tables():
     """The subsequence is a longest one, and the changes turn one state into the other."""
     rng = random.Random(10)
