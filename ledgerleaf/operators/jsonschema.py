@@ -21,7 +21,7 @@ from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text
@@ -502,22 +502,24 @@ def schema_error_hotspots(df: DataFrame, request: SchemaRequest, most: int = 10,
 
     Members that the schema does not name put data into paths, so paths grow with the data; places do not, unless the
     schema is recursive. ``n`` is exact. ``frequent`` (path, n; of equal counts the least path first) holds the ``most``
-    most frequent paths of a place by a sketch that partial aggregates merge, of ``tracked`` paths a place: exact where
-    a place has no more errors than that; beyond, a count is wrong by ``n_error`` at most, and a path with more than twice
-    that is known to the sketch. Null or no errors count nowhere.
+    most frequent paths of a place, exactly: paths are counted by an aggregate dealt by path, and the first of each place
+    are chosen before they meet. ``n_error`` bounds the error of these counts: what a sketch of ``tracked`` paths a place
+    would be wrong by at most. Null or no errors count nowhere.
     """
     if not 1 <= most <= tracked <= 1_000_000:
         raise ValueError("1 <= most <= tracked <= 1000000 must hold")
     errors = exploded(df, "schema_errors", "_at", "e")
-    place = declared_place(F.col("e.path"), declared_names(request.schema))
-    sketch = F.call_function("approx_top_k", F.col("e.path"), F.lit(tracked), F.lit(tracked))
-    counted = errors.groupBy(place.alias("path"), F.col("e.validator").alias("validator")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("all"))
-    order = F.array_sort(F.transform("all", lambda x: F.struct((-x["count"]).alias("less"), x["item"].alias("path"))))
-    frequent = F.transform(F.slice(order, 1, most), lambda x: F.struct(x["path"].alias("path"), (-x["less"]).alias("n")))
-    # The sketch has room for the next power of two above tracked / 0.75, and errs by 3.5 parts in so many.
+    each = errors.groupBy(F.col("e.path").alias("real"), F.col("e.validator").alias("validator")).agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("path", declared_place(F.col("real"), declared_names(request.schema)))
+    counted = each.groupBy("path", "validator").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("path", "validator").orderBy(F.desc("n"), "real")
+    chosen = each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    listed = chosen.groupBy("path", "validator").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("real").alias("path"), "n"))).alias("all"))
+    frequent = F.transform("all", lambda x: F.struct(x["path"].alias("path"), x["n"].alias("n")))
+    # A sketch has room for the next power of two above tracked / 0.75, and errs by 3.5 parts in so many.
     room = 1 << math.ceil(math.log2(tracked / 0.75))
     error = F.when(F.col("n") <= tracked, 0).otherwise(F.ceil(F.col("n") * 3.5 / room)).cast("bigint")
-    return counted.select("path", "validator", "n", error.alias("n_error"), frequent.alias("frequent"))
+    return counted.join(listed, ["path", "validator"]).select("path", "validator", "n", error.alias("n_error"), frequent.alias("frequent"))
 
 
 def is_text_identifier(c: Column) -> Column:
