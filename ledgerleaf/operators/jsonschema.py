@@ -176,6 +176,10 @@ class Compiler:
         finally:
             self.here = here
 
+    def within(self, v: Column, schema: dict | bool, path: Column, at: tuple[str, ...]) -> Column:
+        """``child`` with ``v``, a part that is cut out of a variant, made once, however often it is looked at."""
+        return F.element_at(F.transform(F.array(v), lambda x: self.child(x, schema, path, at)), 1)
+
     def place(self, at: tuple[str, ...]) -> Column:
         return F.lit(schema_path(at)) if self.start is None else F.concat(self.start, F.lit(schema_path(at)[1:]))
 
@@ -294,7 +298,7 @@ class Compiler:
         return self.each(F.transform(rest, lambda x, i: self.child(x, sub, instance_path(path, index=i + after), at)))
 
     def on_prefixitems(self, v, subs, schema, path, at):
-        return self.joined(self.child(F.get(self.items(v), F.lit(k)), s, instance_path(path, index=F.lit(k)), (*at, str(k))) for k, s in enumerate(subs))
+        return self.joined(self.within(F.get(self.items(v), F.lit(k)), s, instance_path(path, index=F.lit(k)), (*at, str(k))) for k, s in enumerate(subs) if not self.idle(s))
 
     def on_minitems(self, v, n, schema, path, at):
         return self.error(F.size(self.items(v)) < n, path, at, "minItems", f"must have {n} items or more")
@@ -323,7 +327,7 @@ class Compiler:
         return F.when(kind(v) == "object", F.map_keys(v.cast("map<string,variant>")))
 
     def on_properties(self, v, subs, schema, path, at):
-        return self.joined(self.child(member(v, k), s, instance_path(path, k), (*at, k)) for k, s in subs.items() if not self.idle(s))
+        return self.joined(self.within(member(v, k), s, instance_path(path, k), (*at, k)) for k, s in subs.items() if not self.idle(s))
 
     def on_required(self, v, names, schema, path, at):
         return self.joined(self.error(~F.array_contains(self.keys(v), k), path, at, "required", f"{json.dumps(k)} is required") for k in names)

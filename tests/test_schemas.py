@@ -84,6 +84,15 @@ def test_a_thousand_levels(spark):
     assert [(e.path, e.validator) for e in deep.schema_errors] == [("$" + '["n"]' * 990 + '["v"]', "type")] and flat.schema_valid
 
 
+@pytest.mark.parametrize("name", ["tree", "choice"])
+def test_errors_are_not_broadcast(spark, name):
+    """They grow with the data, whatever the size that Spark expects of them."""
+    df = J.validate_json(spark.createDataFrame([('{"v":9}',)], "t string"), "t", J.schema_request("s", 1, RECURSIVE[name]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [len(r.schema_errors) for r in df.collect()] == [1]
+
+
 def test_references_by_uri_and_anchor(spark):
     schema = {
         "$id": "https://a.test/root/",
