@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the code points that count as white space, for use inside a character class.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same code points one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Fixed value: what ends a line.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 OFFSET = r"(?i)(Z|[+-][0-9]{2}:?[0-9]{2})$"
@@ -19,7 +21,7 @@ def normalize_line_endings(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:

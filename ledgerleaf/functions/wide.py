@@ -20,11 +20,16 @@ def _bind(value: Column, use) -> Column:
 
 def number(c: Column) -> Column:
     """Text of an optional sign, digits and a point, in plain form; null for any other."""
-    fits = c.rlike(r"\A[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")
-    whole = F.regexp_extract(c, r"\A[-+]?0*([0-9]*)", 1)
-    fraction = F.regexp_extract(c, r"(\.[0-9]+)\z", 1)
-    sign = F.when(c.startswith("-"), "-").otherwise("")
-    return F.when(fits, F.concat(sign, F.when(whole == "", "0").otherwise(whole), fraction))
+
+    def made(c: Column) -> Column:
+        plain = c.rlike(r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?\z")
+        fits = c.rlike(r"\A[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)\z")
+        whole = F.regexp_extract(c, r"\A[-+]?0*([0-9]*)", 1)
+        fraction = F.regexp_extract(c, r"(\.[0-9]+)\z", 1)
+        sign = F.when(c.startswith("-"), "-").otherwise("")
+        return F.when(plain, c).when(fits, F.concat(sign, F.when(whole == "", "0").otherwise(whole), fraction))
+
+    return _bind(c, made)
 
 
 def scale_of(c: Column) -> Column:
@@ -37,9 +42,8 @@ def limbs(c: Column, scale: Column) -> Column:
     """Limbs of a number times ten to the power of ``scale``, which is at least its own."""
     plain = F.regexp_replace(c, r"[-.]", "")
     digits = F.concat(plain, F.repeat(F.lit("0"), scale - scale_of(c)))
-    sign = F.when(c.startswith("-"), -1).otherwise(1).cast("long")
-    cut = F.regexp_extract_all(F.reverse(digits), F.lit(f"[0-9]{{1,{WIDTH}}}"), F.lit(0))
-    return F.transform(cut, lambda x: sign * F.reverse(x).cast("long"))
+    cut = F.transform(F.regexp_extract_all(F.reverse(digits), F.lit(f"[0-9]{{1,{WIDTH}}}"), F.lit(0)), lambda x: F.reverse(x).cast("long"))
+    return F.when(c.startswith("-"), F.transform(cut, lambda x: -x)).otherwise(cut)
 
 
 def _sum(a: Column, b: Column) -> Column:
@@ -87,7 +91,9 @@ def _text(c: Column, scale: Column, places: int | None) -> Column:
 
     def pointed(x: Column) -> Column:
         full = F.concat(F.repeat(F.lit("0"), x["scale"] + 1), x["digits"], F.repeat(F.lit("0"), F.greatest(kept(x) - x["scale"], F.lit(0))))
-        long = F.length(full) - cut(x)
+        return _bind(F.struct(full.alias("full"), (F.length(full) - cut(x)).alias("long")), lambda y: cut_at(x, y["full"], y["long"]))
+
+    def cut_at(x: Column, full: Column, long: Column) -> Column:
         whole = F.regexp_replace(F.substring(full, F.lit(1), long - kept(x)), r"\A0+(?=.)", "")
         return F.concat(F.when(x["negative"], "-").otherwise(""), whole, F.when(kept(x) > 0, F.concat(F.lit("."), F.substring(full, long - kept(x) + 1, kept(x)))).otherwise(""))
 
@@ -114,7 +120,8 @@ def product(a: Column, b: Column, places: int | None = None, shift: int = 0) ->
 
 def rounded(c: Column, places: int) -> Column:
     """``c`` with so many digits behind the point, halves away from zero."""
-    return F.when(c.isNotNull(), _text(limbs(c, scale_of(c)), scale_of(c), places))
+    made = lambda c: F.when(c.rlike(rf"\A(0|[1-9][0-9]*)\.[0-9]{{{places}}}\z"), c).when(c.isNotNull(), _text(limbs(c, scale_of(c)), scale_of(c), places))
+    return _bind(c, made)
 
 
 def negated(c: Column) -> Column:
@@ -123,5 +130,5 @@ def negated(c: Column) -> Column:
 
 def exceeds(c: Column, limit: str) -> Column:
     """Whether the number without its sign is more than ``limit``, a number of the same scale."""
-    a, b = F.regexp_replace(F.regexp_replace(c, r"[-.]", ""), r"\A0+", ""), F.lit(limit.replace(".", "").lstrip("0"))
-    return (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b))
+    b = F.lit(limit.replace(".", "").lstrip("0"))
+    return _bind(F.regexp_replace(F.regexp_replace(c, r"[-.]", ""), r"\A0+", ""), lambda a: (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b)))

@@ -60,10 +60,12 @@ def clean_cell(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """The number in a cell, exactly, as plain text: with both marks a comma groups, alone it is the decimal mark;
     otherwise null."""
-    digits = F.regexp_replace(c, r"[^\d,.\-+]", "")
-    comma, dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
-    plain = F.when(comma & dot, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
-    return wide.number(plain)
+
+    def plain(digits: Column) -> Column:
+        comma, dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
+        return F.when(~comma, digits).when(dot, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
+
+    return wide.number(bind(F.regexp_replace(c, r"[^\d,.\-+]+", ""), plain))
 
 
 def parse_decimal(c: Column) -> Column:
@@ -73,9 +75,11 @@ def parse_decimal(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Year-month-day, or day, month and year between dots or slashes; otherwise null."""
-    value = text.strip(c)
-    shaped = lambda pattern, form: F.when(value.rlike(pattern), F.try_to_date(value, form))
-    return F.coalesce(shaped(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), shaped(r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), shaped(r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"))
+    def read(value: Column) -> Column:
+        shaped = lambda pattern, form: F.when(value.rlike(pattern), F.try_to_date(value, form))
+        return F.coalesce(shaped(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), shaped(r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), shaped(r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"))
+
+    return bind(text.strip(c), read)
 
 
 def _flat(pages: Column, part: str) -> Column:
@@ -165,8 +169,8 @@ def supplier_name(pages: Column) -> Column:
     def of_block(b: Column) -> Column:
         low = F.lower(b["text"])
         lines = F.filter(F.transform(text.split_lines(text.strip(b["text"])), text.strip), lambda x: x != "")
-        looks = ~F.contains(low, F.lit("quotation")) & (F.contains(b["text"], F.lit("@")) | F.contains(low, F.lit("vat")))
-        return bind(lines, lambda x: F.when(looks & (F.size(x) > 1), F.get(x, F.lit(0))))
+        looks = bind(low, lambda t: ~F.contains(t, F.lit("quotation")) & (F.contains(t, F.lit("@")) | F.contains(t, F.lit("vat"))))
+        return F.when(looks, bind(lines, lambda x: F.when(F.size(x) > 1, F.get(x, F.lit(0)))))
 
     def of_page(p: Column) -> Column:
         placed = F.transform(p["blocks"], lambda b, i: F.struct(b["bbox"]["y0"].alias("y"), b["bbox"]["x0"].alias("x"), i.alias("i"), b["text"].alias("text")))
@@ -188,22 +192,25 @@ def block_facts(pages: Column) -> Column:
 
     def of_block(raw: Column) -> Column:
         body = text.strip(F.coalesce(raw["text"], F.lit("")))
-        low = F.lower(body)
+        return bind(bind(body, lambda t: F.struct(t.alias("body"), F.lower(t).alias("low"))), lambda x: of_text(x["body"], x["low"]))
+
+    def of_text(body: Column, low: Column) -> Column:
+        said = low.rlike(r"\A(subtotal|vat|total)")
         numbers = F.array_compact(F.transform(F.regexp_extract_all(body, F.lit(NUMBER), F.lit(0)), parse_number))
 
         def told(n: Column) -> Column:
             some, last = F.size(n) > 0, F.try_element_at(n, F.lit(-1))
             is_sub, is_vat, is_total = (low.startswith(w) & some for w in ("subtotal", "vat", "total"))
-            said = is_sub | is_vat | is_total
             return F.struct(
                 F.when(is_sub, last).alias("subtotal"),
-                F.when(~is_sub & is_vat & F.contains(body, F.lit("%")) & (F.size(n) >= 2), F.get(n, F.lit(0))).alias("vat_rate"),
+                F.when(is_vat & F.contains(body, F.lit("%")) & (F.size(n) >= 2), F.get(n, F.lit(0))).alias("vat_rate"),
                 F.when(is_vat, last).alias("vat_amount"),
                 F.when(is_total, last).alias("total"),
-                *(F.when(~said & low.startswith(p), _after_colon(body)).alias(name) for name, p in TERMS.items()),
+                *(F.when(low.startswith(p), _after_colon(body)).alias(name) for name, p in TERMS.items()),
             )
 
-        return bind(numbers, told)
+        # Numbers are looked for only where a total may be said; no such text begins as a term does.
+        return bind(F.when(said, numbers).otherwise(F.array().cast("array<string>")), told)
 
     return F.transform(_flat(pages, "blocks"), of_block)
 
@@ -211,7 +218,8 @@ def block_facts(pages: Column) -> Column:
 def line_facts(pages: Column) -> Column:
     """What single lines of any block say, in reading order."""
     lines = F.flatten(F.transform(_flat(pages, "blocks"), lambda b: F.transform(text.split_lines(text.strip(F.coalesce(b["text"], F.lit("")))), text.strip)))
-    return F.transform(lines, lambda x: F.struct(*(F.when(F.lower(x).startswith(p), _after_colon(x)).alias(name) for name, p in LINE_FIELDS.items())))
+    told = lambda x, low: F.struct(*(F.when(low.startswith(p), _after_colon(x)).alias(name) for name, p in LINE_FIELDS.items()))
+    return F.transform(lines, lambda x: bind(F.lower(x), lambda low: told(x, low)))
 
 
 def extract_quotations(df: DataFrame) -> DataFrame:

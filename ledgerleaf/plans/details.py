@@ -15,7 +15,7 @@ from ledgerleaf.operators import registry as G
 from ledgerleaf.operators import results as X
 from ledgerleaf.plans import quotations as P
 from ledgerleaf.plans import validation as V
-from ledgerleaf.plans.transcripts import table
+from ledgerleaf.plans.transcripts import dealt_keys, table
 
 
 def backend_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def quirk_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.array(*(block(i, t) for i, t in enumerate(texts)))
     words = F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,block_number:int,line_number:int,word_number:int>>")
     page = F.struct(F.lit(1).alias("page_number"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), F.lit("x").alias("text"), blocks.alias("blocks"), words.alias("words"), tables.alias("tables"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array(page).alias("pages"))
+    return dealt_keys(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.array(page).alias("pages"))
 
 
 def quotation_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:

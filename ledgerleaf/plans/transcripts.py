@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_keys(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The keys of a table, dealt to as many tasks as the session has shuffle partitions: what is made of each costs far
+    more than a small file tells Spark."""
+    return table(spark, sf_dir, name).select(key).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def raw_transcripts(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
     """Raw documents, a conversation each; a turn's sequence is its number plus ``first``."""
     rows = table(spark, sf_dir, "conversations")

@@ -1,16 +1,18 @@
 """Extraction and reconciliation of quotations on small documents."""
 
 import random
+import re
 from datetime import date
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import wide
+from ledgerleaf.functions import text, wide
 from ledgerleaf.operators import layout as L
 from ledgerleaf.operators import quotation as Q
 from ledgerleaf.operators import reconcile as R
+from ledgerleaf.plans.details import quirk_layouts
 
 DECIMAL_ITEM = Q.ITEM.replace("quantity:string", "quantity:decimal(18,6)").replace("unit_price:string", "unit_price:decimal(18,6)").replace("line_total:string", "line_total:decimal(18,6)")
 BOX = (0.0, 0.0, 1.0, 1.0)
@@ -172,3 +174,27 @@ def test_an_item_of_any_width_is_kept(spark):
     assert checked["status"] == "failed" and '"expected":"55555555555555555555555.56"' in checked["details"]["mismatches"]
     (none,) = Q.as_decimals(Q.extract_quotations(df)).first()["items"]
     assert none.quantity is None
+
+
+@pytest.mark.parametrize("made", [quirk_layouts])
+def test_layouts_are_dealt_to_all_tasks(spark, made):
+    """A small file of keys is one task; what is made of a key costs more than it tells."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = made(spark, "/root/testdata/sf0.001")
+    assert parts > 1 and df.select(F.spark_partition_id().alias("p")).distinct().count() == parts
+
+
+def test_cells_are_read_once(spark):
+    """Nested expressions are interpreted, and each use of a part would make it anew."""
+    df = spark.createDataFrame([("EUR 1,234.50",)], "cell string")
+    for made in (Q.parse_number, Q.parse_date, lambda c: wide.exceeds(c, "0.01")):
+        uses = df.select(made(F.upper("cell")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert uses.count("upper(") == 1
+
+
+def test_strip_equals_its_pattern(spark):
+    spaces = [chr(i) for i in range(0x3100) if re.fullmatch(rf"[{text.SPACE}]", chr(i))]
+    texts = [a + b + c for a in (*spaces, "", "\r\n \t") for b in ("x", "é y", "", "​", "퟿") for c in (*spaces[::3], "", "　 ")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("got"))
+    assert all(r.got == re.sub(rf"\A[{text.SPACE}]+|[{text.SPACE}]+\Z", "", r.t) for r in df.collect())
+    assert text.SPACES == "".join(spaces)
