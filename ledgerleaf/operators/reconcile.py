@@ -108,7 +108,8 @@ def _in_texts(df: DataFrame) -> DataFrame:
         "_grand_total": (wide.total(F.array("subtotal", "vat_amount"), 2), c("total")),
     }
     df = df.withColumns({"_lines": F.transform("items", line), **{n: _amounts(n, e, wide.rounded(a, 2)) for n, (e, a) in pairs.items()}})
-    far = lambda x: wide.exceeds(wide.total(F.array(x["expected"], wide.negated(x["actual"]))), TOLERANCE)
+    apart = lambda x: wide.exceeds(wide.total(F.array(x["expected"], wide.negated(x["actual"]))), TOLERANCE)
+    far = lambda x: F.when(x["expected"] == x["actual"], F.lit(False)).otherwise(apart(x))
     return df.withColumns({"_lines": F.transform("_lines", lambda i: i.withField("wrong", far(i))), **{n: c(n).withField("wrong", far(c(n))) for n in pairs}})
 
 

@@ -13,6 +13,7 @@ from ledgerleaf.operators import layout as L
 from ledgerleaf.operators import quotation as Q
 from ledgerleaf.operators import reconcile as R
 from ledgerleaf.plans.details import quirk_layouts
+from ledgerleaf.plans.quotations import wide_layouts
 
 DECIMAL_ITEM = Q.ITEM.replace("quantity:string", "quantity:decimal(18,6)").replace("unit_price:string", "unit_price:decimal(18,6)").replace("line_total:string", "line_total:decimal(18,6)")
 BOX = (0.0, 0.0, 1.0, 1.0)
@@ -176,7 +177,7 @@ def test_an_item_of_any_width_is_kept(spark):
     assert none.quantity is None
 
 
-@pytest.mark.parametrize("made", [quirk_layouts])
+@pytest.mark.parametrize("made", [quirk_layouts, wide_layouts])
 def test_layouts_are_dealt_to_all_tasks(spark, made):
     """A small file of keys is one task; what is made of a key costs more than it tells."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
