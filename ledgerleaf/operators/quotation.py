@@ -49,8 +49,12 @@ def bind(value: Column, use) -> Column:
 
 def normalize_header(c: Column) -> Column:
     """Lower-case words of a header cell without what stands in brackets; null is empty."""
-    plain = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), r"\([^)]*\)", "")
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+
+    def words(low: Column) -> Column:
+        plain = F.regexp_replace(F.replace(low, F.lit("\n"), F.lit(" ")), r"\([^)]*\)", "")
+        return F.when(low.rlike(r"\A[a-z0-9]+(?: [a-z0-9]+)*\z"), low).otherwise(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")))
+
+    return bind(F.lower(F.coalesce(c, F.lit(""))), words)
 
 
 def clean_cell(c: Column) -> Column:
@@ -87,29 +91,31 @@ def _flat(pages: Column, part: str) -> Column:
     return F.flatten(F.transform(pages, lambda p: p[part]))
 
 
-def _headers(table: Column) -> Column:
-    return F.transform(F.get(table["rows"], F.lit(0)), normalize_header)
+def headed_tables(pages: Column) -> Column:
+    """All tables in reading order: their rows, and the cells of the first row as headers."""
+    headers = lambda rows: F.transform(F.get(rows, F.lit(0)), normalize_header)
+    return F.transform(_flat(pages, "tables"), lambda t: F.struct(t["rows"].alias("rows"), headers(t["rows"]).alias("headers")))
 
 
 def is_metadata_table(table: Column) -> Column:
     """Whether a table's first row has a quotation number's label and the currency's."""
-    return bind(_headers(table), lambda h: F.coalesce(F.arrays_overlap(h, F.array(*map(F.lit, NUMBER_LABELS))) & F.array_contains(h, "currency"), F.lit(False)))
+    h = table["headers"]
+    return F.coalesce(F.arrays_overlap(h, F.array(*map(F.lit, NUMBER_LABELS))) & F.array_contains(h, "currency"), F.lit(False))
 
 
 def is_item_table(table: Column) -> Column:
-    wanted = lambda h: F.array_contains(h, "sku") & F.array_contains(h, "description") & (F.array_contains(h, "qty") | F.array_contains(h, "quantity"))
-    return bind(_headers(table), lambda h: F.coalesce(wanted(h), F.lit(False)))
+    h = table["headers"]
+    return F.coalesce(F.array_contains(h, "sku") & F.array_contains(h, "description") & (F.array_contains(h, "qty") | F.array_contains(h, "quantity")), F.lit(False))
 
 
-def metadata_pairs(pages: Column) -> Column:
+def metadata_pairs(tables: Column) -> Column:
     """(key, value) cells of all metadata tables in order: columns 0 and 1, 2 and 3, ...; half-empty ones dropped."""
 
     def of_row(row: Column) -> Column:
         numbers = F.when(F.size(row) > 1, F.sequence(F.lit(0), F.floor(F.size(row) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(numbers, lambda i: F.struct(normalize_header(F.get(row, i * 2)).alias("key"), clean_cell(F.get(row, i * 2 + 1)).alias("value")))
 
-    tables = F.filter(_flat(pages, "tables"), is_metadata_table)
-    pairs = F.flatten(F.flatten(F.transform(tables, lambda t: F.transform(t["rows"], of_row))))
+    pairs = F.flatten(F.flatten(F.transform(F.filter(tables, is_metadata_table), lambda t: F.transform(t["rows"], of_row))))
     return F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
 
 
@@ -160,7 +166,7 @@ def extract_items(table: Column) -> Column:
         return F.filter(F.transform(rows, item), lambda i: F.coalesce((i["sku"] != "") & (i["description"] != ""), F.lit(False)) & i["quantity"].isNotNull())
 
     places = lambda h: F.struct(*(header_index(h, a).alias(n) for n, a in EXACT_COLUMNS.items()), *(header_prefix(h, p).alias(n) for n, p in PREFIX_COLUMNS.items()))
-    return F.coalesce(bind(bind(_headers(table), places), with_places), F.array().cast(f"array<{ITEM}>"))
+    return F.coalesce(bind(bind(table["headers"], places), with_places), F.array().cast(f"array<{ITEM}>"))
 
 
 def supplier_name(pages: Column) -> Column:
@@ -228,15 +234,16 @@ def extract_quotations(df: DataFrame) -> DataFrame:
     Amounts are texts that hold every digit; ``as_decimals`` makes them decimals.
     """
     pages = F.coalesce("pages", F.array().cast(df.schema["pages"].dataType))
-    item_table = F.get(F.filter(_flat(pages, "tables"), is_item_table), F.lit(0))
-    df = df.withColumns({"_pairs": metadata_pairs(pages), "_blocks": block_facts(pages), "_lines": line_facts(pages), "_items": item_table})
+    df = df.withColumn("_tables", headed_tables(pages))
+    item_table = F.get(F.filter("_tables", is_item_table), F.lit(0))
+    df = df.withColumns({"_pairs": metadata_pairs(F.col("_tables")), "_blocks": block_facts(pages), "_lines": line_facts(pages), "_items": item_table})
     fields = {name: metadata_value(F.col("_pairs"), aliases) for name, aliases in HEADER_FIELDS.items()}
     for name in ("quotation_date", "valid_until"):
         fields[name] = parse_date(fields[name])
     told = {name: _last(F.transform("_blocks", _field(name))) for name in ("subtotal", "vat_rate", "vat_amount", "total", *TERMS)}
     lines = {name: _last(F.transform("_lines", _field(name))) for name in LINE_FIELDS}
     made = {"engine": F.lit(ENGINE), "document_type": F.lit(DOCUMENT_TYPE), "confidence": F.lit(None).cast("double"), "supplier_name": supplier_name(pages)}
-    return df.withColumns({**made, **fields, "items": extract_items(F.col("_items")), **told, **lines}).drop("_pairs", "_blocks", "_lines", "_items")
+    return df.withColumns({**made, **fields, "items": extract_items(F.col("_items")), **told, **lines}).drop("_tables", "_pairs", "_blocks", "_lines", "_items")
 
 
 def as_decimals(df: DataFrame) -> DataFrame:

@@ -199,3 +199,9 @@ def test_strip_equals_its_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("got"))
     assert all(r.got == re.sub(rf"\A[{text.SPACE}]+|[{text.SPACE}]+\Z", "", r.t) for r in df.collect())
     assert text.SPACES == "".join(spaces)
+
+
+def test_headers_are_normalised_once_a_table(spark):
+    """Once for the first rows of tables, whatever asks for them, and once for the keys of metadata."""
+    df = Q.extract_quotations(spark.createDataFrame([], L.LAYOUT_SCHEMA))
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9]+") == 2
